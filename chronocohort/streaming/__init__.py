@@ -1,0 +1 @@
+"""No streaming operators: every flow this engine covers is a batch full refresh."""
