@@ -124,3 +124,15 @@ def weighted_rate(
             value = F.when(test, F.col(rate)) if value is None else value.when(test, F.col(rate))
         aggs.append(F.max(value).alias(name))
     return rates.groupBy(*keys).agg(*aggs)
+
+
+def flag_max(df: DataFrame, keys: Sequence[str], flags: dict[str, Column]) -> DataFrame:
+    """0/1 per key and flag: whether any row of the key meets the test (a null test does not)."""
+    return df.groupBy(*keys).agg(*[F.max(F.when(t, 1).otherwise(0)).alias(n) for n, t in flags.items()])
+
+
+def min_by_state(df: DataFrame, keys: Sequence[str], state: str, value: str, columns: dict[str, int]) -> DataFrame:
+    """The lowest value per key within each state, one column ``{name: state}`` each."""
+    return df.groupBy(*keys).agg(
+        *[F.min(F.when(F.col(state) == s, F.col(value))).alias(name) for name, s in columns.items()]
+    )

@@ -71,7 +71,7 @@ def match_by_rank(
         high = F.floor((i + 1).cast("double") * r)
         return (low <= F.col("_j")) & (F.col("_j") < high)
 
-    guess = F.floor(F.col("_j").cast("double") / r)
+    guess = F.ceil((F.col("_j") + 1).cast("double") / r) - 1
     # Rounding of i*r can move a border by one, so the neighbours are tested as well.
     exact = F.coalesce(*[F.when(holds(guess + d), guess + d) for d in (-1, 0, 1)])
     return (

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from chronocohort.functions.scalars import convert_units
 from chronocohort.operators.intervals import two_sided_proximity
 
 
@@ -16,3 +17,9 @@ def suspected_times(treatments: DataFrame, samples: DataFrame, key: str, t: str,
     near = two_sided_proximity(treatments, samples, key, t, clock, day, pairs=False)
     suspected = F.least(F.coalesce("last_time", "next_time"), F.col(t))
     return near.withColumn("suspected", suspected)
+
+
+def mean_weight(events: DataFrame, key: str, code: str, value: str, factors: dict) -> DataFrame:
+    """Average weight per entity over the weight codes, each converted by its factor."""
+    scaled = convert_units(code, value, {k: (f, 0) for k, f in factors.items()})
+    return events.where(F.col(code).isin(list(factors))).groupBy(key).agg(F.avg(scaled).alias("weight"))
