@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -230,3 +231,8 @@ def tail_labels(aligned: DataFrame, position: str, label: str, width: int, last:
     """Per-step label pair: the last ``last`` positions carry the label, earlier ones are negative."""
     y = F.when(F.col(position) >= width - last, F.col(label)).otherwise(0)
     return aligned.withColumn("y", y).withColumn("not_y", 1 - F.col("y"))
+
+
+def union_distinct(frames: Sequence[DataFrame]) -> DataFrame:
+    """Distinct rows of all frames; one de-duplication at the end, not one per union."""
+    return reduce(lambda a, b: a.union(b), frames).distinct()
