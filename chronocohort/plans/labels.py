@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Sequence
 
-from chronocohort.functions.scalars import convert_units
+from pyspark.sql import Column, DataFrame, functions as F
+
+from chronocohort.functions.scalars import convert_units, null_as_zero_sum
+from chronocohort.functions.timefn import hours, shift_hours
+from chronocohort.operators import reshape as R, windows as W
 from chronocohort.operators.intervals import two_sided_proximity
 
 
@@ -19,7 +23,72 @@ def suspected_times(treatments: DataFrame, samples: DataFrame, key: str, t: str,
     return near.withColumn("suspected", suspected)
 
 
+def infection_windows(suspected: DataFrame, key: str, time: str = "suspected", before: int = 48, after: int = 24) -> DataFrame:
+    """``(key, suspected, window_start, window_end)`` around each entity's first time of suspicion."""
+    first = suspected.groupBy(key).agg(F.min(time).alias("suspected"))
+    return first.withColumns(
+        {"window_start": F.col("suspected") - hours(before), "window_end": F.col("suspected") + hours(after)}
+    )
+
+
 def mean_weight(events: DataFrame, key: str, code: str, value: str, factors: dict) -> DataFrame:
     """Average weight per entity over the weight codes, each converted by its factor."""
     scaled = convert_units(code, value, {k: (f, 0) for k, f in factors.items()})
     return events.where(F.col(code).isin(list(factors))).groupBy(key).agg(F.avg(scaled).alias("weight"))
+
+
+def score_hours(measured: DataFrame, key: str, ladders: dict[str, Column]) -> DataFrame:
+    """Sub-scores per (key, hour) from the merged hourly measurements."""
+    return measured.select(key, "hour", *[ladder.alias(name) for name, ladder in ladders.items()])
+
+
+def look_back_scores(
+    spine: DataFrame,
+    scores: DataFrame,
+    key: str,
+    names: Sequence[str],
+    current: dict[str, str] | None = None,
+    span: int = 24,
+    total: str = "total",
+) -> DataFrame:
+    """Highest sub-scores of the ``span`` hours up to each spine hour, and their sum.
+
+    ``current`` maps a sub-score to a column of ``scores`` that only counts in its own hour, where the
+    larger of the two stands. Missing sub-scores add nothing to the sum.
+    """
+    current = current or {}
+    filled = R.gap_fill(spine, scores, key)
+    back = W.trailing_hours(filled, key, "hour", {f"_{n}": ("max", n) for n in names}, span)
+    # greatest() skips nulls, so an hour without a current value keeps the looked-back one.
+    best = {n: F.greatest(f"_{n}", current[n]) if n in current else F.col(f"_{n}") for n in names}
+    out = back.select(key, "hour", "end_time", *[c.alias(n) for n, c in best.items()])
+    return out.withColumn(total, null_as_zero_sum(*names))
+
+
+def onset_times(
+    scores: DataFrame,
+    windows: DataFrame,
+    starts: DataFrame,
+    key: str,
+    start: str,
+    total: str = "total",
+    names: Sequence[str] = (),
+    rise: int = 2,
+) -> DataFrame:
+    """First hour inside the infection window whose total is ``rise`` above its running minimum.
+
+    Hours run from one before the window to its end and from the start of the stay. Each row keeps the
+    scores of that hour and their rise (``<name>_delta``); ``onset_time`` counts whole hours from start.
+    """
+    columns = [total, *names]
+    timed = (
+        scores.where(F.col("hour") >= 0)
+        .join(starts.select(key, start), key)
+        .join(windows.select(key, "window_start", "window_end"), key)
+        .withColumn("onset_time", shift_hours(start, "hour"))
+    )
+    inside = timed.where(F.col("onset_time").between(F.col("window_start") - hours(1), F.col("window_end")))
+    rows = inside.select(key, "hour", "onset_time", *columns)
+    # The rows of an entity are the hours of its window, so the group is bounded.
+    risen = W.running_rise(rows, key, ["onset_time"], columns, bounded=True)
+    return W.first_crossing(risen, key, ["onset_time"], f"{total}_delta", rise)

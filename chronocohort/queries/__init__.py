@@ -1,4 +1,13 @@
 """Registered queries over the test tables, one per operator."""
 
-from chronocohort.queries import aggregates_q, joins_q, reshape_q, scalars_q, windows_q  # noqa: F401
+from chronocohort.queries import (  # noqa: F401
+    aggregates_q,
+    flows_q,
+    io_q,
+    joins_q,
+    reshape_q,
+    sampling_q,
+    scalars_q,
+    windows_q,
+)
 from chronocohort.queries.registry import ORACLES, QUERIES  # noqa: F401
