@@ -116,13 +116,14 @@ def asof_two_sources(
     value: str,
     tolerance: int,
     name: str,
+    other_name: str | None = None,
     max_group: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """The freshest of two readings within ``tolerance`` hours before each left row.
 
     Source one is column ``own`` of the left rows (a row may use its own reading), source two is
     ``value`` of ``other``. The later reading wins and source one wins a tie in time; if the winner
-    is null the other source fills in.
+    is null the other source fills in. ``other_name`` adds source two's own reading.
     """
     lookup = other.select(
         key,
@@ -144,7 +145,8 @@ def asof_two_sources(
         .when(one["at"] >= two["at"], F.coalesce(one["v"], two["v"]))
         .otherwise(F.coalesce(two["v"], one["v"]))
     )
-    return rows.withColumn(name, pick).drop("first", "second", "_first", "_second", "_side")
+    extra = {other_name: two["v"]} if other_name else {}
+    return rows.withColumns({name: pick, **extra}).drop("first", "second", "_first", "_second", "_side")
 
 
 def bucketed_window_join(

@@ -110,11 +110,19 @@ def first_crossing(df: DataFrame, key: str, order: Sequence[str], value: str, th
 
 
 def lag_within_state(
-    df: DataFrame, key: str, state: Column, t: str, value: Column, name: str, max_group: int = MAX_GROUP_ROWS
+    df: DataFrame,
+    key: str,
+    state: Column,
+    t: str,
+    value: Column,
+    name: str,
+    tie: Sequence[str] = (),
+    max_group: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """``value`` of the previous row of the same key that is in the same state."""
     staged = df.withColumn("_state", state)
-    return KeyedOrder(staged, [key, "_state"], [t], max_group).previous(value, name).rows().drop("_state")
+    ordered = KeyedOrder(staged, [key, "_state"], [t, *tie], max_group)
+    return ordered.previous(value, name).rows().drop("_state")
 
 
 def sessionize(
@@ -125,17 +133,19 @@ def sessionize(
     off: str,
     end: str,
     gap: int = 8,
+    tie: Sequence[str] = (),
     max_group: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Episodes of an ``on`` state as ``(key, episode, start, finish, hours)``.
 
     A new episode starts after an ``end`` marker, at an ``off`` row that is not ``on``, or when two
     ``on`` rows lie more than ``gap`` hours apart. Only ``on`` and ``end`` rows belong to episodes.
-    An episode needs an ``on`` row and two distinct times. Rows are unique per (key, ``t``).
+    An episode needs an ``on`` row and two distinct times. Rows of one time follow each other in the
+    order of the ``tie`` columns, which must make (key, ``t``, tie) unique, and share their episode.
     """
     in_state = F.when((F.col(on) == 1) | (F.col(end) == 1), 1).otherwise(0)
-    rows = lag_within_state(df, key, F.col(on), t, F.col(t), "_on_before", max_group)
-    rows = lag_within_state(rows, key, in_state, t, F.col(end), "_end_before", max_group)
+    rows = lag_within_state(df, key, F.col(on), t, F.col(t), "_on_before", tie, max_group)
+    rows = lag_within_state(rows, key, in_state, t, F.col(end), "_end_before", tie, max_group)
     waited = micros_between(F.col("_on_before"), F.col(t)) > gap * MICROS_PER_HOUR
     fresh = (
         F.when(F.col("_end_before") == 1, 1)

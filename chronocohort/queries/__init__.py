@@ -3,6 +3,7 @@
 from chronocohort.queries import (  # noqa: F401
     aggregates_q,
     flows_q,
+    icu_q,
     io_q,
     joins_q,
     reshape_q,
