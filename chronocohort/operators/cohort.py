@@ -54,10 +54,6 @@ def match_by_rank(
     Ranks come from range-partitioned sorts, ties broken by id. Slice numbers follow from the rank
     by arithmetic, so the match is one equi join on the slice.
     """
-    n_cases, n_controls = cases.count(), controls.count()
-    if n_cases == 0:
-        raise ValueError("no cases to match")
-    r = F.lit(n_controls / n_cases)
     ranked_cases = keyed_rank(
         cases.select(F.col(case_id).alias("matched_case"), F.col(onset_hour).alias("onset_hour")),
         [],
@@ -65,6 +61,11 @@ def match_by_rank(
         "_n",
     ).select("matched_case", "onset_hour", (F.col("_n") - 1).alias("_slice"))
     ranked = keyed_rank(controls, [], [length, control_id], "_n").withColumn("_j", F.col("_n") - 1)
+    # Both sides are stored by now, so counting them reads no more than the stored ranks.
+    n_cases, n_controls = ranked_cases.count(), ranked.count()
+    if n_cases == 0:
+        raise ValueError("no cases to match")
+    r = F.lit(n_controls / n_cases)
 
     def holds(i):
         low = F.floor(i.cast("double") * r)

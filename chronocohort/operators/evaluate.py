@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import MAX_GROUP_ROWS
 
 OVERALL = -1
 
 
 def curve_points(
-    scores: DataFrame, label: str, score: str, group: str, overall: bool = True, max_group: int = MAX_GROUP_ROWS
+    scores: DataFrame, label: str, score: str, group: str, overall: bool = True, **sizing
 ) -> DataFrame:
     """One row per (group, distinct score): positives, negatives and their sums down to that score.
 
@@ -29,7 +28,7 @@ def curve_points(
             .groupBy("group", "score")
             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
         )
-    ordered = KeyedOrder(folded, ["group"], ["-score"], max_group)
+    ordered = KeyedOrder(folded, ["group"], ["-score"], **sizing)
     return ordered.running("sum", F.col("pos"), "tp").running("sum", F.col("neg"), "fp").rows()
 
 

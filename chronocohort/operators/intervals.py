@@ -1,12 +1,17 @@
-"""Joins in time: windows around an index time, membership in intervals, as-of lookups."""
+"""Joins in time: windows around an index time, membership in intervals, as-of lookups.
+
+``sizing`` is what ``KeyedOrder`` takes: ``split`` where the group sizes are known, or ``max_group``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.functions.timefn import hour_bucket, hours
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import MAX_GROUP_ROWS, key_join
+from chronocohort.operators.skew import key_join
 
 
 def around_index(
@@ -17,12 +22,12 @@ def around_index(
     index_time: str,
     before: int = 48,
     after: int = 7,
-    max_group: int = MAX_GROUP_ROWS,
+    hot: Sequence | None = None,
 ) -> DataFrame:
     """Events of each entity from ``before`` hours ahead of its index time to ``after`` hours past it."""
     t0 = F.col(index_time)
     inside = F.col(t).between(t0 - hours(before), t0 + hours(after))
-    return key_join(events, index, key, inside, "inner", max_group)
+    return key_join(events, index, key, inside, "inner", hot)
 
 
 def in_stay(
@@ -33,12 +38,12 @@ def in_stay(
     start: str,
     end: str,
     lead: Column | None = None,
-    max_group: int = MAX_GROUP_ROWS,
+    hot: Sequence | None = None,
 ) -> DataFrame:
     """Events between ``start - lead`` (one day by default) and ``end`` of their stay."""
     lead = F.make_dt_interval(F.lit(1)) if lead is None else lead
     inside = F.col(t).between(F.col(start) - lead, F.col(end))
-    return key_join(events, stays, key, inside, "inner", max_group)
+    return key_join(events, stays, key, inside, "inner", hot)
 
 
 def point_in_interval(
@@ -49,7 +54,7 @@ def point_in_interval(
     start: str,
     end: str,
     flag: str = "inside",
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """Points with a 0/1 flag: does any interval of the entity hold the point (ends included)?
 
@@ -61,7 +66,7 @@ def point_in_interval(
         key, F.col(start).alias(t), F.col(end).alias("_until"), F.lit(0).alias("_side")
     ).where(F.col(t).isNotNull())
     both = points.withColumn("_side", F.lit(1)).unionByName(starts, allowMissingColumns=True)
-    ordered = KeyedOrder(both, [key], [t, "_side"], max_group).running("max", F.col("_until"), "_reach")
+    ordered = KeyedOrder(both, [key], [t, "_side"], **sizing).running("max", F.col("_until"), "_reach")
     return (
         ordered.rows()
         .where(F.col("_side") == 1)
@@ -70,9 +75,9 @@ def point_in_interval(
     )
 
 
-def _latest_at(both: DataFrame, key: str, t: str, sources: list[str], max_group: int) -> DataFrame:
+def _latest_at(both: DataFrame, key: str, t: str, sources: list[str], **sizing) -> DataFrame:
     """Running 'latest row of source s' for every row, as struct columns named after the sources."""
-    ordered = KeyedOrder(both, [key], [t, "_side"], max_group)
+    ordered = KeyedOrder(both, [key], [t, "_side"], **sizing)
     for source in sources:
         ordered = ordered.running("max", F.col(f"_{source}"), source)
     return ordered.rows()
@@ -87,7 +92,7 @@ def asof(
     value: str,
     tolerance: int,
     name: str | None = None,
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """Attach the latest right value at or before each left row, at most ``tolerance`` hours old.
 
@@ -101,7 +106,7 @@ def asof(
         F.lit(0).alias("_side"),
     ).where(F.col(t).isNotNull())
     both = left.withColumn("_side", F.lit(1)).unionByName(lookup, allowMissingColumns=True)
-    rows = _latest_at(both, key, t, ["found"], max_group).where(F.col("_side") == 1)
+    rows = _latest_at(both, key, t, ["found"], **sizing).where(F.col("_side") == 1)
     fresh = F.col("found.at") >= F.col(t) - hours(tolerance)
     return rows.withColumn(name, F.when(fresh, F.col("found.v"))).drop("found", "_found", "_side")
 
@@ -117,7 +122,7 @@ def asof_two_sources(
     tolerance: int,
     name: str,
     other_name: str | None = None,
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """The freshest of two readings within ``tolerance`` hours before each left row.
 
@@ -135,7 +140,7 @@ def asof_two_sources(
         "_side", F.lit(1)
     )
     both = mine.unionByName(lookup, allowMissingColumns=True)
-    rows = _latest_at(both, key, t, ["first", "second"], max_group).where(F.col("_side") == 1)
+    rows = _latest_at(both, key, t, ["first", "second"], **sizing).where(F.col("_side") == 1)
     oldest = F.col(t) - hours(tolerance)
     one = F.when(F.col("first.at") >= oldest, F.col("first"))
     two = F.when(F.col("second.at") >= oldest, F.col("second"))

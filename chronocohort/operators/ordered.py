@@ -33,7 +33,8 @@ def _sort_expr(name: str) -> Column:
 class KeyedOrder:
     """Rows of ``df`` in the order ``order`` within ``keys``; a leading ``-`` means descending.
 
-    With no keys the order is global and always range-partitioned.
+    With no keys the order is global and always range-partitioned. ``split`` says whether some key is
+    too large for one task; if it is not given the groups are counted.
     """
 
     def __init__(
@@ -42,10 +43,10 @@ class KeyedOrder:
         keys: list[str],
         order: list[str],
         max_group: int = MAX_GROUP_ROWS,
-        bounded: bool = False,
+        split: bool | None = None,
     ):
         self.keys, self.order = keys, order
-        self.split = not bounded and has_hot_group(df, keys, max_group)
+        self.split = has_hot_group(df, keys, max_group) if split is None else split
         if self.split:
             ranges = [F.col(k).asc() for k in keys] + [_sort_expr(c) for c in order]
             df = durable(df.repartitionByRange(*ranges).withColumn(RANGE, F.spark_partition_id()))

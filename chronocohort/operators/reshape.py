@@ -54,7 +54,13 @@ def sparse_wide(
 
 
 def top_per_group(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, max_group: int = MAX_GROUP_ROWS, salts: int = 64
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    n: int,
+    split: bool | None = None,
+    max_group: int = MAX_GROUP_ROWS,
+    salts: int = 64,
 ) -> DataFrame:
     """The first ``n`` rows per group in ``order``; a leading ``-`` means descending.
 
@@ -67,15 +73,15 @@ def top_per_group(
         place = F.row_number().over(Window.partitionBy(*groups).orderBy(*sort))
         return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
-    if has_hot_group(df, list(keys), max_group):
+    if has_hot_group(df, keys, max_group) if split is None else split:
         salt = F.pmod(F.xxhash64(*[c.lstrip("-") for c in order]), F.lit(salts))
         df = ranked(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
     return ranked(df, keys)
 
 
-def tail_n(long: DataFrame, key: str, order: Sequence[str], n: int, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def tail_n(long: DataFrame, key: str, order: Sequence[str], n: int, **sizing) -> DataFrame:
     """The last ``n`` observations per entity."""
-    return top_per_group(long, [key], [f"-{c}" for c in order], n, max_group)
+    return top_per_group(long, [key], [f"-{c}" for c in order], n, **sizing)
 
 
 def tail_grid(kept: DataFrame, key: str, t: str) -> DataFrame:
@@ -97,14 +103,14 @@ def series_arrays(
     var: str,
     value: str,
     chunk_rows: int = CHUNK_ROWS,
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """Observations in time order as arrays ``times, vars, values`` per (entity, chunk).
 
     Chunk 0 holds the first ``chunk_rows`` observations, chunk 1 the next, so an entity of ordinary
     length is one row and no row grows with the length of a series.
     """
-    placed = KeyedOrder(long, [key], [t, var, value], max_group).row_number("_pos").rows()
+    placed = KeyedOrder(long, [key], [t, var, value], **sizing).row_number("_pos").rows()
     packed = (
         placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)).cast("int"))
         .groupBy(key, "chunk")

@@ -9,16 +9,16 @@ from pyspark.sql import DataFrame, functions as F
 from chronocohort.functions.scalars import stable_hash
 from chronocohort.operators.ordered import keyed_rank
 from chronocohort.operators.reshape import top_per_group
-from chronocohort.operators.skew import MAX_GROUP_ROWS
 
 
 def entity_split(ids: DataFrame, key: str, train: float = 0.8, val: float = 0.9, salt: int = 0) -> DataFrame:
     """``(key, split)`` with exact shares: entities in hash order, cut at ``int(n*train)`` and ``int(n*val)``."""
     unique = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", stable_hash(key, salt))
-    n = unique.count()
+    ranked = keyed_rank(unique, [], ["_h", key], "_n")
+    n = ranked.count()
     place = F.col("_n") - 1
     split = F.when(place < int(n * train), "train").when(place < int(n * val), "val").otherwise("test")
-    return keyed_rank(unique, [], ["_h", key], "_n").select(key, split.alias("split"))
+    return ranked.select(key, split.alias("split"))
 
 
 def resplit(splits: DataFrame, key: str, salt: int = 1) -> DataFrame:
@@ -32,7 +32,7 @@ def resplit(splits: DataFrame, key: str, salt: int = 1) -> DataFrame:
     )
 
 
-def oversample(rows: DataFrame, label: str, row_id: str, salt: int = 3, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def oversample(rows: DataFrame, label: str, row_id: str, salt: int = 3, **sizing) -> DataFrame:
     """Both classes at the size of the larger one, as ``(draw, label, row columns)``.
 
     Rows of the larger class appear once. For each of them one row of the smaller class is drawn with
@@ -46,7 +46,7 @@ def oversample(rows: DataFrame, label: str, row_id: str, salt: int = 3, max_grou
     large = 1 if ones > zeros else 0
     small_size = min(ones, zeros)
     ranked = keyed_rank(
-        rows.withColumn("_h", stable_hash(row_id, salt)), [label], ["_h", row_id], "draw", max_group=max_group
+        rows.withColumn("_h", stable_hash(row_id, salt)), [label], ["_h", row_id], "draw", **sizing
     ).drop("_h")
     kept = ranked.where(F.col(label) == large)
     if ones == zeros:
@@ -56,21 +56,21 @@ def oversample(rows: DataFrame, label: str, row_id: str, salt: int = 3, max_grou
     return kept.unionByName(picks.join(pool, "_place").drop("_place"))
 
 
-def stratified(rows: DataFrame, label: str, row_id: str, k: int, salt: int = 5, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def stratified(rows: DataFrame, label: str, row_id: str, k: int, salt: int = 5, **sizing) -> DataFrame:
     """Up to ``k`` rows per class, without replacement."""
     hashed = rows.withColumn("_h", stable_hash(row_id, salt))
-    return top_per_group(hashed, [label], ["_h", row_id], k, max_group).drop("_h")
+    return top_per_group(hashed, [label], ["_h", row_id], k, **sizing).drop("_h")
 
 
-def epoch_order(rows: DataFrame, keys: Sequence[str], row_id: str, epoch: int, name: str, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def epoch_order(rows: DataFrame, keys: Sequence[str], row_id: str, epoch: int, name: str, **sizing) -> DataFrame:
     """Position of each row in the shuffled order of an epoch, within ``keys`` (none: over all rows)."""
     hashed = rows.withColumn("_h", stable_hash(row_id, epoch))
-    return keyed_rank(hashed, list(keys), ["_h", row_id], name, max_group=max_group).drop("_h")
+    return keyed_rank(hashed, list(keys), ["_h", row_id], name, **sizing).drop("_h")
 
 
-def balanced_batches(rows: DataFrame, label: str, row_id: str, size: int, epoch: int = 0, max_group: int = MAX_GROUP_ROWS) -> DataFrame:
+def balanced_batches(rows: DataFrame, label: str, row_id: str, size: int, epoch: int = 0, **sizing) -> DataFrame:
     """Batch b holds the b-th slice of ``size`` rows of every class in the epoch's order."""
-    placed = epoch_order(rows, [label], row_id, epoch, "_n", max_group)
+    placed = epoch_order(rows, [label], row_id, epoch, "_n", **sizing)
     return placed.withColumn("batch", F.floor((F.col("_n") - 1) / F.lit(size)).cast("int")).drop("_n")
 
 

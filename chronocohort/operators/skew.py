@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows of one key that a single task may hold. Beyond it the key is split.
@@ -19,7 +21,7 @@ def hot_keys(df: DataFrame, key: str, max_group: int = MAX_GROUP_ROWS) -> list:
     return [row[0] for row in top.collect()]
 
 
-def has_hot_group(df: DataFrame, keys: list[str], max_group: int = MAX_GROUP_ROWS) -> bool:
+def has_hot_group(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP_ROWS) -> bool:
     """Whether any group of ``keys`` is larger than one task should hold."""
     if not keys:
         return True
@@ -27,12 +29,33 @@ def has_hot_group(df: DataFrame, keys: list[str], max_group: int = MAX_GROUP_ROW
     return (largest or 0) > max_group
 
 
+class GroupSizes:
+    """Hot keys of a base table, measured once per key and valid for everything filtered from it.
+
+    Operators measure their own input unless they are told; inside a longer plan that would run the
+    plan up to that point once more, so a plan measures its base tables and passes the answer on.
+    """
+
+    def __init__(self, df: DataFrame, max_group: int = MAX_GROUP_ROWS):
+        self._df, self._max_group = df, max_group
+        self._hot: dict[str, list] = {}
+
+    def hot(self, key: str) -> list:
+        if key not in self._hot:
+            self._hot[key] = hot_keys(self._df, key, self._max_group)
+        return self._hot[key]
+
+    def split(self, key: str) -> bool:
+        return bool(self.hot(key))
+
+
 def key_join(
     events: DataFrame,
     index: DataFrame,
     key: str,
     condition: Column | None = None,
     how: str = "inner",
+    hot: Sequence | None = None,
     max_group: int = MAX_GROUP_ROWS,
     salts: int = SALTS,
 ) -> DataFrame:
@@ -40,6 +63,7 @@ def key_join(
 
     The rows of a hot key are dealt over ``salts`` sub-keys and only that key's index rows are
     repeated once per sub-key, so the copy grows with the hot keys and not with the index table.
+    ``hot`` lists the hot keys where they are known; otherwise they are counted first.
     ``how`` is inner, left, left_semi or left_anti: the event side is never repeated.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -47,7 +71,7 @@ def key_join(
     other = f"_{key}_index"
     index = index.withColumnRenamed(key, other)
     on = F.col(key) == F.col(other)
-    hot = hot_keys(events, key, max_group)
+    hot = hot_keys(events, key, max_group) if hot is None else list(hot)
     if hot:
         dealt = F.when(
             F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts))

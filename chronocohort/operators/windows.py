@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronocohort.functions.timefn import hours, hours_between, micros_between, MICROS_PER_HOUR
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import MAX_GROUP_ROWS
+from chronocohort.operators.skew import MAX_GROUP_ROWS, has_hot_group
 
 
 def _packed(df: DataFrame, first: Sequence[str]) -> Column:
@@ -47,11 +47,11 @@ def previous_within(
     columns: Sequence[str],
     tolerance: int,
     suffix: str = "_prev",
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """Columns of the row before, only if it is less than ``tolerance`` hours old."""
     seen = F.struct(F.col(t).alias("at"), *columns)
-    rows = KeyedOrder(df, [key], [t], max_group).previous(seen, "_before").rows()
+    rows = KeyedOrder(df, [key], [t], **sizing).previous(seen, "_before").rows()
     near = F.col("_before.at") > F.col(t) - hours(tolerance)
     named = {f"{c}{suffix}": F.when(near, F.col(f"_before.{c}")) for c in columns}
     return rows.withColumns(named).drop("_before")
@@ -93,11 +93,10 @@ def running_rise(
     key: str,
     order: Sequence[str],
     columns: Sequence[str],
-    max_group: int = MAX_GROUP_ROWS,
-    bounded: bool = False,
+    **sizing,
 ) -> DataFrame:
     """``x_min``: running minimum with missing values as 0; ``x_delta``: rise of ``x`` above it."""
-    ordered = KeyedOrder(df, [key], list(order), max_group, bounded)
+    ordered = KeyedOrder(df, [key], list(order), **sizing)
     for c in columns:
         ordered = ordered.running("min", F.coalesce(F.col(c), F.lit(0)), f"{c}_min", peers=False)
     deltas = {f"{c}_delta": F.coalesce(F.col(c), F.lit(0)) - F.col(f"{c}_min") for c in columns}
@@ -117,11 +116,11 @@ def lag_within_state(
     value: Column,
     name: str,
     tie: Sequence[str] = (),
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """``value`` of the previous row of the same key that is in the same state."""
     staged = df.withColumn("_state", state)
-    ordered = KeyedOrder(staged, [key, "_state"], [t, *tie], max_group)
+    ordered = KeyedOrder(staged, [key, "_state"], [t, *tie], **sizing)
     return ordered.previous(value, name).rows().drop("_state")
 
 
@@ -134,7 +133,7 @@ def sessionize(
     end: str,
     gap: int = 8,
     tie: Sequence[str] = (),
-    max_group: int = MAX_GROUP_ROWS,
+    **sizing,
 ) -> DataFrame:
     """Episodes of an ``on`` state as ``(key, episode, start, finish, hours)``.
 
@@ -143,9 +142,12 @@ def sessionize(
     An episode needs an ``on`` row and two distinct times. Rows of one time follow each other in the
     order of the ``tie`` columns, which must make (key, ``t``, tie) unique, and share their episode.
     """
+    split = sizing.get("split")
+    if split is None:
+        split = has_hot_group(df, [key], sizing.get("max_group", MAX_GROUP_ROWS))
     in_state = F.when((F.col(on) == 1) | (F.col(end) == 1), 1).otherwise(0)
-    rows = lag_within_state(df, key, F.col(on), t, F.col(t), "_on_before", tie, max_group)
-    rows = lag_within_state(rows, key, in_state, t, F.col(end), "_end_before", tie, max_group)
+    rows = lag_within_state(df, key, F.col(on), t, F.col(t), "_on_before", tie, split=split)
+    rows = lag_within_state(rows, key, in_state, t, F.col(end), "_end_before", tie, split=split)
     waited = micros_between(F.col("_on_before"), F.col(t)) > gap * MICROS_PER_HOUR
     fresh = (
         F.when(F.col("_end_before") == 1, 1)
@@ -154,14 +156,14 @@ def sessionize(
         .otherwise(0)
     )
     rows = rows.withColumn("_new", fresh)
-    rows = KeyedOrder(rows, [key], [t], max_group).running("sum", F.col("_new"), "_session").rows()
+    rows = KeyedOrder(rows, [key], [t], split=split).running("sum", F.col("_new"), "_session").rows()
     episodes = (
         rows.where(in_state == 1)
         .groupBy(key, "_session")
         .agg(F.min(t).alias("start"), F.max(t).alias("finish"), F.max(on).alias("_any_on"))
         .where((F.col("start") != F.col("finish")) & (F.col("_any_on") == 1))
     )
-    numbered = KeyedOrder(episodes, [key], ["_session"], max_group).row_number("episode").rows()
+    numbered = KeyedOrder(episodes, [key], ["_session"], split=split).row_number("episode").rows()
     return numbered.select(
         key, "episode", "start", "finish", hours_between("start", "finish").alias("hours")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from chronocohort.functions.timefn import hours, hours_between
 from chronocohort.operators import aggregates as A, reshape as R, sampling as P
 from chronocohort.operators.skew import key_join
+from chronocohort.plans.tables import Tables
 
 IDS = ["label", "icustay_id", "t", "subject_id", "sepsis_target"]
 
@@ -54,7 +55,7 @@ def onset_hours(case_static: DataFrame, control_static: DataFrame) -> DataFrame:
 
 
 def labelled_series(
-    t: dict[str, DataFrame],
+    t: Mapping[str, DataFrame] | Tables,
     horizon: int = 0,
     min_values: int = 500,
     min_length: float | None = None,

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
 from chronocohort.operators import aggregates as A, cohort as C, coding as CD, intervals as I, reshape as R, windows as W
 from chronocohort.operators.ordered import KeyedOrder, keyed_rank
 from chronocohort.plans import icu_codes as K
+from chronocohort.plans.tables import Tables
 
 
-def cohort_flags(t: dict[str, DataFrame], windows: DataFrame) -> DataFrame:
+def cohort_flags(t: Mapping[str, DataFrame] | Tables, windows: DataFrame) -> DataFrame:
     """Every intensive-care stay with age, first service, suspicion and the exclusion flags."""
     first_service = W.first_row(
         t["services"].select("hadm_id", "transfertime", "curr_service"), ["hadm_id"], ["transfertime"]
@@ -85,7 +86,7 @@ def matched_controls(case_stays: DataFrame, control_stays: DataFrame) -> DataFra
     )
 
 
-def static_variables(t: dict[str, DataFrame]) -> DataFrame:
+def static_variables(t: Mapping[str, DataFrame] | Tables) -> DataFrame:
     """Facts known at the start of each stay, with visit numbers per patient and per admission."""
     adm = t["admissions"].where(F.col("has_chartevents_data") == 1).select(
         "hadm_id", "admittime", "ethnicity", "admission_type", "admission_location"
@@ -163,21 +164,35 @@ def per_timestamp(sparse: DataFrame, columns: Sequence[str], target: str = "seps
     return rows.withColumns({"subject_id": F.col("subject_id").cast("bigint"), target: F.col(target).cast("int")})
 
 
-def cohort_tables(t: dict[str, DataFrame], labels: dict[str, DataFrame], keep=lambda df: df) -> dict[str, DataFrame]:
-    """Cohort and extraction tables from the sources and the label tables. ``keep`` stores the tables
-    that several others read: the cohort flags, the cases and the matched controls."""
-    out: dict[str, DataFrame] = {}
-    out["flags"] = keep(cohort_flags(t, labels["infection_windows"]))
-    out["cases"] = keep(cases(labels["onset_stays"], out["flags"]))
-    out["controls"] = controls(out["flags"], labels["onset_stays"], t["diagnoses_icd"])
-    out["matched_controls"] = keep(matched_controls(out["cases"], out["controls"]))
-    out["static"] = static_variables(t)
+def cohort_tables(t: Mapping[str, DataFrame] | Tables, labels: Tables, keep: Callable = lambda df: df) -> Tables:
+    """Cohort and extraction tables from the sources and the label tables, each built when asked for.
+
+    ``keep`` stores the tables that several others read: the cohort flags and the cases.
+    """
     sides = {"case": ("cases", "sepsis_onset", "sepsis_target"), "control": ("matched_controls", "control_onset_time", "pseudo_target")}
-    for side, (stays, onset, target) in sides.items():
-        vitals = vitals_around_onset(out[stays], onset, t["icustays"], t["chartevents"], target)
-        labs = labs_around_onset(out[stays], onset, t["icustays"], t["labevents"], target)
-        out[f"{side}_vitals"] = per_timestamp(vitals, K.VITAL_COLUMNS, target)
-        out[f"{side}_labs"] = per_timestamp(labs, K.LAB_COLUMNS, target)
-        own = out[stays].drop("intime", "outtime", "hadm_id")
-        out[f"{side}_static"] = out["static"].join(own, "icustay_id")
-    return out
+
+    def vitals(side):
+        stays, onset, target = sides[side]
+        return lambda own: per_timestamp(
+            vitals_around_onset(own[stays], onset, t["icustays"], t["chartevents"], target), K.VITAL_COLUMNS, target
+        )
+
+    def labs(side):
+        stays, onset, target = sides[side]
+        return lambda own: per_timestamp(
+            labs_around_onset(own[stays], onset, t["icustays"], t["labevents"], target), K.LAB_COLUMNS, target
+        )
+
+    def static(side):
+        return lambda own: own["static"].join(own[sides[side][0]].drop("intime", "outtime", "hadm_id"), "icustay_id")
+
+    builders = {
+        "flags": lambda own: keep(cohort_flags(t, labels["infection_windows"])),
+        "cases": lambda own: keep(cases(labels["onset_stays"], own["flags"])),
+        "controls": lambda own: controls(own["flags"], labels["onset_stays"], t["diagnoses_icd"]),
+        "matched_controls": lambda own: keep(matched_controls(own["cases"], own["controls"])),
+        "static": lambda own: static_variables(t),
+    }
+    for side in sides:
+        builders |= {f"{side}_vitals": vitals(side), f"{side}_labs": labs(side), f"{side}_static": static(side)}
+    return Tables(builders)

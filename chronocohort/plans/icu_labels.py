@@ -6,12 +6,15 @@ Every function takes source tables as DataFrames and returns one of the derived
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
-from chronocohort.operators import aggregates as A, cohort as C, coding as CD, intervals as I, reshape as R, windows as W
-from chronocohort.operators.skew import key_join
+from chronocohort.operators import aggregates as A, cohort as C, intervals as I, reshape as R, windows as W
+from chronocohort.operators.skew import GroupSizes, key_join
 from chronocohort.plans import icu_codes as K, labels as L
+from chronocohort.plans.tables import Tables
 
 SCORES = ["sofaresp", "sofacoag", "sofaliv", "sofacardio", "sofagcs", "sofaren"]
 
@@ -24,8 +27,26 @@ def _admission_spans(admissions: DataFrame) -> DataFrame:
     return admissions.select("hadm_id", "admittime", "dischtime")
 
 
-def _within_admission(events: DataFrame, admissions: DataFrame, t: str = "charttime", lead: Column | None = None) -> DataFrame:
-    return I.in_stay(events, _admission_spans(admissions), "hadm_id", t, "admittime", "dischtime", lead)
+def _within_admission(
+    events: DataFrame,
+    admissions: DataFrame,
+    t: str = "charttime",
+    lead: Column | None = None,
+    hot: Sequence | None = None,
+) -> DataFrame:
+    return I.in_stay(events, _admission_spans(admissions), "hadm_id", t, "admittime", "dischtime", lead, hot)
+
+
+class Sizes:
+    """Group sizes of one source table, measured on first use."""
+
+    def __init__(self, tables: Mapping[str, DataFrame] | Tables, name: str):
+        self._tables, self._name, self._sizes = tables, name, None
+
+    def __call__(self) -> GroupSizes:
+        if self._sizes is None:
+            self._sizes = GroupSizes(self._tables[self._name])
+        return self._sizes
 
 
 # --- suspicion of infection -------------------------------------------------------------------
@@ -119,12 +140,12 @@ def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
     return R.union_distinct([charted, procedural])
 
 
-def vent_durations(settings: DataFrame) -> DataFrame:
+def vent_durations(settings: DataFrame, split: bool | None = None) -> DataFrame:
     """Numbered ventilation episodes per stay. Rows of one time run ventilation first, extubation last."""
     ties = settings.withColumn("_not_vent", 1 - F.col("mechvent"))
     episodes = W.sessionize(
         ties, "icustay_id", "charttime", "mechvent", "oxygentherapy", "extubated", K.VENT_GAP_HOURS,
-        ["_not_vent", "extubated", "selfextubated", "oxygentherapy"],
+        ["_not_vent", "extubated", "selfextubated", "oxygentherapy"], split=split,
     )
     return episodes.select(
         "icustay_id", F.col("episode").alias("ventnum"), F.col("start").alias("starttime"),
@@ -132,10 +153,10 @@ def vent_durations(settings: DataFrame) -> DataFrame:
     )
 
 
-def blood_gases(admissions: DataFrame, labevents: DataFrame) -> DataFrame:
+def blood_gases(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Blood gas values per admission and time, one column per analyte; implausible values are null."""
     labs = labevents.where(F.col("itemid").isin(list(K.GAS_LABELS))).select("hadm_id", "itemid", "charttime", "value", "valuenum")
-    stay = _within_admission(labs, admissions).join(admissions.select("hadm_id", "subject_id"), "hadm_id")
+    stay = _within_admission(labs, admissions, hot=hot).join(admissions.select("hadm_id", "subject_id"), "hadm_id")
     v = F.col("valuenum")
     for item, low in K.GAS_LOWER.items():
         v = F.when((F.col("itemid") == item) & (F.col("valuenum") < low), None).otherwise(v)
@@ -166,15 +187,16 @@ def _fio2(chartevents: DataFrame) -> DataFrame:
     return rows.groupBy("hadm_id", "charttime").agg(F.max(percent).alias("fio2_read"))
 
 
-def arterial_ratios(gases: DataFrame, chartevents: DataFrame) -> DataFrame:
+def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None = None) -> DataFrame:
     """PaO2/FiO2 of the arterial samples, with the freshest oxygen setting of the last four hours.
 
     A sample is arterial if it says so or if the regression on its values exceeds the cutoff.
     """
     rows = gases.where(F.col("po2").isNotNull())
-    rows = I.asof(rows, _spo2(chartevents), "hadm_id", "charttime", "charttime", "spo2", 2)
+    rows = I.asof(rows, _spo2(chartevents), "hadm_id", "charttime", "charttime", "spo2", 2, split=split)
     rows = I.asof_two_sources(
-        rows, "fio2", _fio2(chartevents), "hadm_id", "charttime", "charttime", "fio2_read", 4, "fio2_val", "fio2_chart"
+        rows, "fio2", _fio2(chartevents), "hadm_id", "charttime", "charttime", "fio2_read", 4, "fio2_val", "fio2_chart",
+        split=split,
     )
     rows = rows.withColumn("specimen_prob", S.logistic_score(K.ARTERIAL_INTERCEPT, K.ARTERIAL_TERMS))
     arterial = (F.col("specimen") == "ART") | (F.col("specimen_prob") > K.ARTERIAL_CUTOFF)
@@ -183,11 +205,14 @@ def arterial_ratios(gases: DataFrame, chartevents: DataFrame) -> DataFrame:
     )
 
 
-def respiration_hours(ratios: DataFrame, episodes: DataFrame, icustays: DataFrame, admissions: DataFrame) -> DataFrame:
+def respiration_hours(
+    ratios: DataFrame, episodes: DataFrame, icustays: DataFrame, admissions: DataFrame, split: bool | None = None
+) -> DataFrame:
     """Lowest PaO2/FiO2 per admission hour, apart for ventilated and free-breathing samples."""
     spans = episodes.join(icustays.select("icustay_id", "hadm_id"), "icustay_id").select("hadm_id", "starttime", "endtime")
     flagged = I.point_in_interval(
-        ratios.select("hadm_id", "charttime", "pao2fio2"), spans, "hadm_id", "charttime", "starttime", "endtime", "isvent"
+        ratios.select("hadm_id", "charttime", "pao2fio2"), spans, "hadm_id", "charttime", "starttime", "endtime", "isvent",
+        split=split,
     )
     timed = flagged.join(admissions.select("hadm_id", "admittime"), "hadm_id").withColumn("hlos", _hour("charttime"))
     return A.min_by_state(
@@ -206,11 +231,11 @@ def echo_weights(notes: DataFrame) -> DataFrame:
     )
 
 
-def _weights(admissions: DataFrame, chartevents: DataFrame, echo: DataFrame) -> list[DataFrame]:
+def _weights(admissions: DataFrame, chartevents: DataFrame, echo: DataFrame, hot: Sequence | None) -> list[DataFrame]:
     charted = chartevents.where(
         F.col("itemid").isin(list(K.WEIGHT_FACTORS)) & (F.col("valuenum") != 0) & S.is_not("error", 1)
     ).select("hadm_id", "itemid", "charttime", "valuenum")
-    stay = _within_admission(charted, admissions, lead=F.make_ym_interval(F.lit(0), F.lit(2)))
+    stay = _within_admission(charted, admissions, lead=F.make_ym_interval(F.lit(0), F.lit(2)), hot=hot)
     scale = L.mean_weight(stay, "hadm_id", "itemid", "valuenum", K.WEIGHT_FACTORS)
     seen = (F.col("charttime") > F.col("admittime") - F.make_dt_interval(F.lit(7))) & (F.col("charttime") < F.col("dischtime"))
     echoed = key_join(echo.select("hadm_id", "charttime", "weight"), _admission_spans(admissions), "hadm_id", seen)
@@ -218,10 +243,15 @@ def _weights(admissions: DataFrame, chartevents: DataFrame, echo: DataFrame) ->
 
 
 def pressor_hours(
-    admissions: DataFrame, inputs_old: DataFrame, inputs_new: DataFrame, chartevents: DataFrame, echo: DataFrame
+    admissions: DataFrame,
+    inputs_old: DataFrame,
+    inputs_new: DataFrame,
+    chartevents: DataFrame,
+    echo: DataFrame,
+    hot: Sequence | None = None,
 ) -> DataFrame:
     """Highest vasopressor rates per admission hour; the older recording system counts first."""
-    weights = _weights(admissions, chartevents, echo)
+    weights = _weights(admissions, chartevents, echo, hot)
     old_codes = [c for pair in K.PRESSOR_CODES_OLD.values() for codes in pair for c in codes]
     new_codes = [c for pair in K.PRESSOR_CODES_NEW.values() for codes in pair for c in codes]
     old = inputs_old.where(F.col("itemid").isin(old_codes) & F.col("rate").isNotNull()).select(
@@ -239,18 +269,18 @@ def pressor_hours(
     return both.select(*keys, *[F.coalesce(f"old_{k}", f"new_{k}").alias(f"rate_{k}") for k in K.PRESSOR_CODES_OLD])
 
 
-def pressure_hours(admissions: DataFrame, chartevents: DataFrame) -> DataFrame:
+def pressure_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Lowest plausible mean arterial pressure per admission hour."""
     v = F.col("valuenum")
     rows = chartevents.where(F.col("itemid").isin(K.MEAN_PRESSURE_CODES) & S.is_not("error", 1)).select(
         "hadm_id", "charttime", F.when((v > 0) & (v < 300), v).alias("v")
     )
-    timed = _within_admission(rows, admissions)
+    timed = _within_admission(rows, admissions, hot=hot)
     return timed.groupBy("hadm_id", _hour("charttime")).agg(F.min("v").alias("minbp"))
 
 
 # --- consciousness ----------------------------------------------------------------------------
-def coma_hours(admissions: DataFrame, chartevents: DataFrame) -> DataFrame:
+def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Lowest coma score per admission hour; missing parts come from a reading under six hours old,
     else count as normal, and a verbal score of 0 (intubated) stands for a full score."""
     value = S.sentinel("itemid", "value", "valuenum", K.COMA_SENTINELS)
@@ -260,9 +290,9 @@ def coma_hours(admissions: DataFrame, chartevents: DataFrame) -> DataFrame:
         }).alias("part"), value.alias("v"),
     )
     parts = A.conditional_pivot(
-        _within_admission(rows, admissions), ["hadm_id", "charttime"], "part", "v", {p: ("max", p) for p in K.COMA_NORMAL}
+        _within_admission(rows, admissions, hot=hot), ["hadm_id", "charttime"], "part", "v", {p: ("max", p) for p in K.COMA_NORMAL}
     )
-    seen = W.previous_within(parts, "hadm_id", "charttime", list(K.COMA_NORMAL), 6)
+    seen = W.previous_within(parts, "hadm_id", "charttime", list(K.COMA_NORMAL), 6, split=None if hot is None else bool(hot))
 
     def total(with_previous: bool) -> Column:
         cols = [
@@ -283,13 +313,13 @@ def coma_hours(admissions: DataFrame, chartevents: DataFrame) -> DataFrame:
 
 
 # --- laboratory and kidney --------------------------------------------------------------------
-def lab_hours(admissions: DataFrame, labevents: DataFrame) -> DataFrame:
+def lab_hours(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
     """Worst platelet, bilirubin and creatinine value per admission hour, in one pass over the labs."""
     codes = {code: high for code, high, _ in K.SCORE_LABS.values()}
     rows = labevents.where(F.col("itemid").isin(list(codes)) & (F.col("valuenum") > 0)).select(
         "hadm_id", "itemid", "charttime", S.clamp_null("itemid", "valuenum", codes).alias("v")
     )
-    timed = _within_admission(rows, admissions).withColumn("hlos", _hour("charttime"))
+    timed = _within_admission(rows, admissions, hot=hot).withColumn("hlos", _hour("charttime"))
     return A.conditional_pivot(
         timed, ["hadm_id", "hlos"], "itemid", "v", {name: (fn, code) for name, (code, _, fn) in K.SCORE_LABS.items()}
     )
@@ -418,34 +448,62 @@ def onset_stays(onset: DataFrame, icustays: DataFrame, diagnoses: DataFrame, min
     )
 
 
-def label_tables(t: dict[str, DataFrame], keep=lambda df: df) -> dict[str, DataFrame]:
-    """All derived label tables from the source tables. ``keep`` stores the ones read more than once
-    (pass ``session.durable``): the hourly score and the onsets."""
-    out: dict[str, DataFrame] = {}
-    out["antibiotic_drugs"] = antibiotic_drugs(t["prescriptions"])
-    given = antibiotic_times(t["prescriptions"], out["antibiotic_drugs"])
-    samples = cultures(t["microbiologyevents"])
-    out["suspicions"] = suspicions(given, samples, t["admissions"])
-    out["infection_windows"] = infection_windows(suspicions(given, samples, t["admissions"], pairs=False))
-    out["vent_settings"] = vent_settings(t["chartevents"], t["procedureevents_mv"])
-    out["vent_durations"] = vent_durations(out["vent_settings"])
-    out["blood_gases"] = blood_gases(t["admissions"], t["labevents"])
-    out["arterial_ratios"] = arterial_ratios(out["blood_gases"], t["chartevents"])
-    out["respiration"] = respiration_hours(out["arterial_ratios"], out["vent_durations"], t["icustays"], t["admissions"])
-    out["echo"] = echo_weights(t["noteevents"])
-    out["pressors"] = pressor_hours(
-        t["admissions"], t["inputevents_cv"], t["inputevents_mv"], t["chartevents"], out["echo"]
-    )
-    out["pressure"] = pressure_hours(t["admissions"], t["chartevents"])
-    out["coma"] = coma_hours(t["admissions"], t["chartevents"])
-    out["labs"] = lab_hours(t["admissions"], t["labevents"])
-    out["urine"] = urine_hours(t["admissions"], t["outputevents"], t["icustays"])
-    out["running_urine"] = running_urine(out["urine"])
-    out["scores"] = keep(
-        hourly_score(
-            t["admissions"], out["respiration"], out["pressors"], out["pressure"], out["coma"], out["labs"], out["running_urine"]
-        )
-    )
-    out["onsets"] = keep(onsets(out["scores"], out["infection_windows"], t["admissions"]))
-    out["onset_stays"] = onset_stays(out["onsets"], t["icustays"], t["diagnoses_icd"])
-    return out
+def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df: df) -> Tables:
+    """All derived label tables from the source tables, each built when asked for.
+
+    ``keep`` stores the tables that several others read (pass ``session.durable``): ventilation
+    episodes, the hourly score and the onsets. The chart and the laboratory table are measured for
+    hot admissions and stays once.
+    """
+    chart, labs = Sizes(t, "chartevents"), Sizes(t, "labevents")
+
+    def given(_):
+        return antibiotic_times(t["prescriptions"], antibiotic_drugs(t["prescriptions"]))
+
+    def samples():
+        return cultures(t["microbiologyevents"])
+
+    def windows(own):
+        return infection_windows(suspicions(own["antibiotic_times"], samples(), t["admissions"], pairs=False))
+
+    def ratios(own):
+        split = chart().split("hadm_id") or labs().split("hadm_id")
+        return arterial_ratios(own["blood_gases"], t["chartevents"], split=split)
+
+    def respiration(own):
+        split = labs().split("hadm_id")
+        return respiration_hours(own["arterial_ratios"], own["vent_durations"], t["icustays"], t["admissions"], split=split)
+
+    def pressors(own):
+        sources = (t["inputevents_cv"], t["inputevents_mv"], t["chartevents"], own["echo"])
+        return pressor_hours(t["admissions"], *sources, hot=chart().hot("hadm_id"))
+
+    def scores(own):
+        parts = ("respiration", "pressors", "pressure", "coma", "labs", "running_urine")
+        return keep(hourly_score(t["admissions"], *[own[p] for p in parts]))
+
+    return Tables(
+        {
+            "antibiotic_drugs": lambda own: antibiotic_drugs(t["prescriptions"]),
+            "antibiotic_times": given,
+            "suspicions": lambda own: suspicions(own["antibiotic_times"], samples(), t["admissions"]),
+            "infection_windows": windows,
+            "vent_settings": lambda own: vent_settings(t["chartevents"], t["procedureevents_mv"]),
+            "vent_durations": lambda own: keep(
+                vent_durations(own["vent_settings"], split=chart().split("icustay_id"))
+            ),
+            "blood_gases": lambda own: blood_gases(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
+            "arterial_ratios": ratios,
+            "respiration": respiration,
+            "echo": lambda own: echo_weights(t["noteevents"]),
+            "pressors": pressors,
+            "pressure": lambda own: pressure_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id")),
+            "coma": lambda own: coma_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id")),
+            "labs": lambda own: lab_hours(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
+            "urine": lambda own: urine_hours(t["admissions"], t["outputevents"], t["icustays"]),
+            "running_urine": lambda own: running_urine(own["urine"]),
+            "scores": scores,
+            "onsets": lambda own: keep(onsets(own["scores"], own["infection_windows"], t["admissions"])),
+            "onset_stays": lambda own: onset_stays(own["onsets"], t["icustays"], t["diagnoses_icd"]),
+        }
+    )

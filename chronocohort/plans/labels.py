@@ -90,5 +90,5 @@ def onset_times(
     inside = timed.where(F.col("onset_time").between(F.col("window_start") - hours(1), F.col("window_end")))
     rows = inside.select(key, "hour", "onset_time", *columns)
     # The rows of an entity are the hours of its window, so the group is bounded.
-    risen = W.running_rise(rows, key, ["onset_time"], columns, bounded=True)
+    risen = W.running_rise(rows, key, ["onset_time"], columns, split=False)
     return W.first_crossing(risen, key, ["onset_time"], f"{total}_delta", rise)

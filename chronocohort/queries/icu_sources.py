@@ -6,9 +6,10 @@ output, infusion, order, culture and note rows whose codes and values follow fro
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
+from chronocohort.plans.tables import Tables
 from chronocohort.queries.registry import table
 
 STAY = "user_id * 10 + CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END"
@@ -98,11 +99,15 @@ SOURCES: dict[str, str] = {
 }
 
 
-def icu_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    events = table(spark, folder, "events")
-    out = {}
-    for name, sql in SOURCES.items():
-        df = spark.sql(sql, events=events)
-        local = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
-        out[name] = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in local})
-    return out
+def icu_tables(spark: SparkSession, folder: str) -> Tables:
+    """The derived source tables, with local times as ``timestamp_ntz``."""
+
+    def build(sql: str):
+        def built(_):
+            df = spark.sql(sql, events=table(spark, folder, "events"))
+            local = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
+            return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in local})
+
+        return built
+
+    return Tables({name: build(sql) for name, sql in SOURCES.items()})

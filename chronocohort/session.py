@@ -19,12 +19,13 @@ SETTINGS = {
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
     """A session for tests and benchmarks; on a cluster pass your own session instead."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("chronocohort")
         .config("spark.ui.enabled", "false")
+        .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
     for name, value in {**SETTINGS, **extra}.items():
