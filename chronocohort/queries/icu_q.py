@@ -224,11 +224,21 @@ def with_steps(sql: str) -> str:
     return "WITH " + ", ".join(f"{n} AS MATERIALIZED ({b})" for n, b in ctes.items()) + " " + sql
 
 
+# Read by most label tables.
+STORED = ("chartevents", "labevents")
+
+
 def _labels(spark, d):
     t = icu_tables(spark, d)
     return t, IL.label_tables(t)
 
 
+def _stored_labels(spark, d):
+    """Labels for the queries that need the whole chain: shared tables are written once."""
+    t = icu_tables(spark, d, STORED)
+    return t, IL.label_tables(t, durable)
+
+
 @query("icu_drugs", with_steps("SELECT p.drug, count(*) AS numobs FROM prescriptions p JOIN drugs d ON d.drug = p.drug WHERE drug_type IN ('MAIN','ADDITIVE')"
        " AND route NOT IN ('OU','OS','OD','AU','AS','AD','TP') AND lower(route) NOT LIKE '%ear%' AND lower(route) NOT LIKE '%eye%' GROUP BY 1"))
 def icu_drugs(spark, d):
@@ -313,7 +323,7 @@ def icu_running_urine(spark, d):
 
 @query("icu_hourly_score", with_steps("SELECT * FROM score"))
 def icu_hourly_score(spark, d):
-    return _labels(spark, d)[1]["scores"]
+    return _stored_labels(spark, d)[1]["scores"]
 
 
 @query(
@@ -321,13 +331,13 @@ def icu_hourly_score(spark, d):
     with_steps("""SELECT icustay_id, hadm_id, intime, outtime, sofa, sepsis_onset, delta_score, h_from_intime, 1 AS septic, (h_from_intime < 7)::INTEGER AS excluded, icd_positive FROM delta"""),
 )
 def icu_onset_stays(spark, d):
-    rows = _labels(spark, d)[1]["onset_stays"]
+    rows = _stored_labels(spark, d)[1]["onset_stays"]
     return rows.drop(*IL.SCORES, *[f"{s}_delta" for s in IL.SCORES])
 
 
 @query("icu_onsets", with_steps("SELECT hadm_id, sofa, sepsis_time, 1 AS sepsis_onset, sofa_delta AS delta_score, " + ", ".join(f"{s}, {s}_delta" for s in IL.SCORES) + " FROM onset"))
 def icu_onsets(spark, d):
-    return _labels(spark, d)[1]["onsets"]
+    return _stored_labels(spark, d)[1]["onsets"]
 
 
 @query("icu_cohort_flags", with_steps("SELECT * FROM flags"))
@@ -337,19 +347,19 @@ def icu_cohort_flags(spark, d):
 
 
 def _cohort(spark, d):
-    t = icu_tables(spark, d)
-    return IC.cohort_tables(t, IL.label_tables(t, durable), durable)
+    t, labels = _stored_labels(spark, d)
+    return IC.cohort_tables(t, labels, durable)
 
 
 @query("icu_cases", with_steps("SELECT * FROM cases"))
 def icu_cases(spark, d):
-    t, labels = _labels(spark, d)
+    t, labels = _stored_labels(spark, d)
     return IC.cases(labels["onset_stays"], IC.cohort_flags(t, labels["infection_windows"]))
 
 
 @query("icu_controls", with_steps("SELECT * FROM ctrl"))
 def icu_controls(spark, d):
-    t, labels = _labels(spark, d)
+    t, labels = _stored_labels(spark, d)
     flags = IC.cohort_flags(t, labels["infection_windows"])
     return IC.controls(flags, labels["onset_stays"], t["diagnoses_icd"])
 

@@ -6,11 +6,14 @@ output, infusion, order, culture and note rows whose codes and values follow fro
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import TimestampType
 
 from chronocohort.plans.tables import Tables
 from chronocohort.queries.registry import table
+from chronocohort.session import scratch_path
 
 STAY = "user_id * 10 + CASE WHEN day(ts) <= 10 THEN 0 WHEN day(ts) <= 20 THEN 1 ELSE 2 END"
 
@@ -99,15 +102,26 @@ SOURCES: dict[str, str] = {
 }
 
 
-def icu_tables(spark: SparkSession, folder: str) -> Tables:
-    """The derived source tables, with local times as ``timestamp_ntz``."""
+def icu_tables(spark: SparkSession, folder: str, stored: Sequence[str] = ()) -> Tables:
+    """The derived source tables, with local times as ``timestamp_ntz``.
+
+    Tables named in ``stored`` are written once, as real source tables are, and not derived anew by
+    every reader.
+    """
 
-    def build(sql: str):
+    def build(name: str, sql: str):
         def built(_):
             df = spark.sql(sql, events=table(spark, folder, "events"))
             local = [f.name for f in df.schema.fields if isinstance(f.dataType, TimestampType)]
-            return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in local})
+            df = df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in local})
+            return stored_copy(df, name) if name in stored else df
 
         return built
 
-    return Tables({name: build(sql) for name, sql in SOURCES.items()})
+    return Tables({name: build(name, sql) for name, sql in SOURCES.items()})
+
+
+def stored_copy(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, f"icu-{name}")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
