@@ -65,25 +65,22 @@ def age_hour_index(t: Column | str, ref: Column | str) -> Column:
     between the two stamps, with 8760 h per year, 730 h per month, minutes rounded half to even and
     seconds ignored. A borrowed month has the length of the earlier stamp's month.
     """
+    # Few references to the inputs: the optimizer may copy the whole expression into a filter or a
+    # join condition, where shared parts are computed as often as they are written.
     t, ref = _col(t), _col(ref)
-    low, high = F.least(t, ref), F.greatest(t, ref)
-    sign = F.when(t < ref, F.lit(-1.0)).otherwise(F.lit(1.0))
-
-    def clock(x: Column) -> Column:
-        return micros_between(F.date_trunc("day", x).cast("timestamp_ntz"), x)
-
-    months = (F.year(high) - F.year(low)) * 12 + (F.month(high) - F.month(low))
-    rest = (F.dayofmonth(high) - F.dayofmonth(low)).cast("bigint") * MICROS_PER_DAY + (
-        clock(high) - clock(low)
+    low = F.when(t <= ref, t).when(t > ref, ref)
+    high = F.when(t <= ref, ref).when(t > ref, t)
+    low_month, high_month = F.trunc(low, "MM"), F.trunc(high, "MM")
+    months = F.months_between(high_month, low_month, roundOff=False)
+    # Time into the month of the later stamp minus that of the earlier one.
+    gap = micros_between(low, high) - F.datediff(high_month, low_month).cast("bigint") * MICROS_PER_DAY
+    month_micros = F.dayofmonth(F.last_day(low)).cast("bigint") * MICROS_PER_DAY
+    # 31 minutes or more round up, so adding 29 minutes and cutting to hours gives the rounded hour.
+    rounding, hour = F.lit(29 * 60_000_000), F.lit(float(MICROS_PER_HOUR))
+    rest = F.when(gap < 0, F.floor((gap + month_micros + rounding) / hour) - 730).otherwise(
+        F.floor((gap + rounding) / hour)
     )
-    borrow = rest < 0
-    months = months - borrow.cast("int")
-    month_days = F.dayofmonth(F.last_day(low)).cast("bigint")
-    rest = rest + F.when(borrow, month_days * MICROS_PER_DAY).otherwise(F.lit(0))
-    whole_hours = F.floor(rest / F.lit(float(MICROS_PER_HOUR)))
-    minutes = F.floor((rest - whole_hours * MICROS_PER_HOUR) / F.lit(60_000_000.0))
-    total = months * F.lit(730.0) + whole_hours + F.rint(minutes / F.lit(60.0))
-    return F.when(t.isNotNull() & ref.isNotNull(), sign * total + F.lit(0.0))
+    return F.when(t < ref, -1.0).otherwise(1.0) * (months * 730.0 + rest) + F.lit(0.0)
 
 
 def age_years(birth: Column | str, at: Column | str, over: float = 89, capped: float = 91.4) -> Column:

@@ -112,8 +112,14 @@ def gp_interpolate(
         F.lit(None).cast("double").alias("value"),
     )
     schema = f"{key} bigint, sample int, t double, var_id int, value double"
-    return observed.unionByName(targets).groupBy(key).applyInPandas(
-        _interpolator(key, params, draws, jitter, seed), schema
+    # The rows are few and the work per entity is large, so the partition count is set rather than
+    # left to be merged by size.
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        observed.unionByName(targets)
+        .repartition(parts, key)
+        .groupBy(key)
+        .applyInPandas(_interpolator(key, params, draws, jitter, seed), schema)
     )
 
 

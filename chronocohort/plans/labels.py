@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.functions.scalars import convert_units, null_as_zero_sum
 from chronocohort.functions.timefn import hours, shift_hours
-from chronocohort.operators import reshape as R, windows as W
+from chronocohort.operators import windows as W
 from chronocohort.operators.intervals import two_sided_proximity
 
 
@@ -50,18 +50,23 @@ def look_back_scores(
     current: dict[str, str] | None = None,
     span: int = 24,
     total: str = "total",
+    lead: int = 24,
 ) -> DataFrame:
     """Highest sub-scores of the ``span`` hours up to each spine hour, and their sum.
 
     ``current`` maps a sub-score to a column of ``scores`` that only counts in its own hour, where the
-    larger of the two stands. Missing sub-scores add nothing to the sum.
+    larger of the two stands. Missing sub-scores add nothing to the sum. Score rows join the spine rows
+    in one ordered stack per entity, so filling the gaps costs no join: one shuffle serves the spine,
+    the look-back and the current hour. ``scores`` has one row per (key, hour).
     """
     current = current or {}
-    filled = R.gap_fill(spine, scores, key)
-    back = W.trailing_hours(filled, key, "hour", {f"_{n}": ("max", n) for n in names}, span)
+    marked = spine.withColumn("_spine", F.lit(1))
+    stacked = marked.unionByName(scores.where(F.col("hour") >= -lead), allowMissingColumns=True)
+    back = W.trailing_hours(stacked, key, "hour", {f"_{n}": ("max", n) for n in names}, span)
+    own = W.trailing_hours(back, key, "hour", {f"_now_{n}": ("max", c) for n, c in current.items()}, 0)
     # greatest() skips nulls, so an hour without a current value keeps the looked-back one.
-    best = {n: F.greatest(f"_{n}", current[n]) if n in current else F.col(f"_{n}") for n in names}
-    out = back.select(key, "hour", "end_time", *[c.alias(n) for n, c in best.items()])
+    best = {n: F.greatest(f"_{n}", f"_now_{n}") if n in current else F.col(f"_{n}") for n in names}
+    out = own.where(F.col("_spine") == 1).select(key, "hour", "end_time", *[c.alias(n) for n, c in best.items()])
     return out.withColumn(total, null_as_zero_sum(*names))
 
 
