@@ -11,11 +11,6 @@ from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import MAX_GROUP_ROWS, has_hot_group
 
 
-def _packed(df: DataFrame, first: Sequence[str]) -> Column:
-    rest = [c for c in df.columns if c not in first]
-    return F.struct(*first, *rest)
-
-
 def first_row(df: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
     """The whole first row of each key in ascending ``order``.
 

@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from chronocohort.functions.scalars import category_map, round_tens
 from chronocohort.functions.timefn import hours, hours_between
 from chronocohort.operators import aggregates as A, reshape as R, sampling as P
 from chronocohort.operators.skew import key_join
+from chronocohort.plans.icu_codes import ETHNIC_GROUPS
 from chronocohort.plans.tables import Tables
 
 IDS = ["label", "icustay_id", "t", "subject_id", "sepsis_target"]
@@ -90,6 +92,15 @@ def static_features(case_static: DataFrame, control_static: DataFrame, categorie
     return A.one_hot(rows, list(categories))
 
 
+def grouped_static_features(case_static: DataFrame, control_static: DataFrame) -> DataFrame:
+    """The older form: 0/1 columns for gender, age in tens (capped at 90), ethnic group and care unit."""
+    columns = ["icustay_id", "gender", "admission_age", "ethnicity", "first_careunit"]
+    rows = case_static.select(*columns).unionByName(control_static.select(*columns))
+    age = F.least(round_tens("admission_age"), F.lit(90.0)).cast("string")
+    grouped = rows.withColumns({"admission_age": age, "ethnicity": category_map("ethnicity", ETHNIC_GROUPS)})
+    return A.one_hot(grouped, columns[1:])
+
+
 def normalised(series: DataFrame, static: DataFrame, splits: DataFrame, scale_age: bool = False) -> tuple[DataFrame, DataFrame]:
     """Series (and age, on request) scaled by mean and deviation of the training stays."""
     train = splits.where(F.col("split") == "train").select("icustay_id")

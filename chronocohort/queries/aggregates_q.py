@@ -6,8 +6,7 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions import timefn as T
 from chronocohort.operators import aggregates as A, cohort as C, evaluate as E, intervals as I
-from chronocohort.operators.skew import key_join
-from chronocohort.queries.registry import EVENT_TYPES, cents, hash_sql, query, table
+from chronocohort.queries.registry import hash_sql, query, table
 
 HOUR = "date_trunc('hour', ts)::TIMESTAMP"
 
@@ -190,8 +189,8 @@ POINTS = f"""s AS ({SCORED}), g AS (SELECT class AS "group", y, score FROM s UNI
 
 @query(
     "a_auc_by_class",
-    f"""WITH {POINTS} SELECT "group", np AS n_pos, nn AS n_neg, round(sum((fp2 - fp) * (tp2 + tp) / 2.0) / (np * nn), 9) AS auroc,
-          round(sum((tp2 - tp) * (prec2 + prec) / 2.0) / np, 9) AS aupr FROM z GROUP BY 1, 2, 3""",
+    f"""WITH {POINTS} SELECT "group", np AS n_pos, nn AS n_neg, round(sum((fp2 - fp) * (tp2 + tp) / 2.0) / nullif(np * nn, 0), 9) AS auroc,
+          round(sum((tp2 - tp) * (prec2 + prec) / 2.0) / nullif(np, 0), 9) AS aupr FROM z GROUP BY 1, 2, 3""",
 )
 def a_auc_by_class(spark, d):
     areas = E.auc_by_group(E.curve_points(scored(spark, d), "y", "score", "class"))
@@ -202,11 +201,11 @@ def a_auc_by_class(spark, d):
     "a_curve_resample",
     f"""WITH {POINTS}, k AS (SELECT unnest(generate_series(0, 99))::INTEGER AS k),
           roc AS (SELECT z."group", k.k, CASE WHEN k.k = 0 THEN 0.0 ELSE (tp + (tp2 - tp) * (k.k * nn / 99.0 - fp) / (fp2 - fp)) / np END AS value
-                  FROM z JOIN k ON fp2 > fp AND fp * 99 <= k.k * nn AND k.k * nn < fp2 * 99
-                  UNION ALL SELECT DISTINCT "group", 99, 1.0::DOUBLE FROM z),
+                  FROM z JOIN k ON np > 0 AND fp2 > fp AND fp * 99 <= k.k * nn AND k.k * nn < fp2 * 99
+                  UNION ALL SELECT DISTINCT "group", 99, 1.0::DOUBLE FROM z WHERE np > 0 AND nn > 0),
           pr AS (SELECT z."group", k.k, prec + (prec2 - prec) * (k.k * np / 99.0 - tp) / (tp2 - tp) AS value
-                 FROM z JOIN k ON tp2 > tp AND tp * 99 <= k.k * np AND k.k * np < tp2 * 99
-                 UNION ALL SELECT "group", 99, max(prec) FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY rn) AS o FROM q WHERE tp = np) WHERE o = 1 GROUP BY 1)
+                 FROM z JOIN k ON nn > 0 AND tp2 > tp AND tp * 99 <= k.k * np AND k.k * np < tp2 * 99
+                 UNION ALL SELECT "group", 99, max(prec) FROM (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY rn) AS o FROM q WHERE tp = np AND np > 0 AND nn > 0) WHERE o = 1 GROUP BY 1)
         SELECT "group", 'roc' AS curve, k, k / 99.0::DOUBLE AS x, round(value, 8) AS value FROM roc
         UNION ALL SELECT "group", 'pr', k, k / 99.0::DOUBLE, round(value, 8) FROM pr""",
 )

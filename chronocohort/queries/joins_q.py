@@ -6,17 +6,8 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions import timefn as T
 from chronocohort.operators import aggregates as A, cohort as C, intervals as I, reshape as R, windows as W
-from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import key_join
-from chronocohort.queries.registry import (
-    FIRST_ERROR,
-    USER_STAYS,
-    cents,
-    first_error,
-    query,
-    table,
-    user_stays,
-)
+from chronocohort.queries.registry import FIRST_ERROR, cents, first_error, query, table
 
 
 @query(

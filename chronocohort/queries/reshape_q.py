@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronocohort.functions import timefn as T
 from chronocohort.operators import reshape as R
 from chronocohort.queries.joins_q import HOURLY, hourly
 from chronocohort.queries.registry import EVENT_TYPES, USER_STAYS, cents, query, table, user_stays

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronocohort.functions import timefn as T
 from chronocohort.operators import intervals as I, models as M, reshape as R, sampling as K
 from chronocohort.queries.registry import EVENT_TYPES, first_error, hash_sql, query, table
-from chronocohort.queries.reshape_q import aligned, expanded_horizons, var_id
+from chronocohort.queries.reshape_q import aligned, var_id
 
 SPLIT = f"""SELECT user_id, CASE WHEN rn - 1 < floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn - 1 < floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (
      SELECT user_id, row_number() OVER (ORDER BY {hash_sql('user_id')}, user_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))"""

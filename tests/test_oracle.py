@@ -12,6 +12,10 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables are
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
+# The columns this one keeps depend on the number of rows, which SQL text cannot follow.
+LARGER = {"p_drop_sparse_cols": DATA.replace("sf0.001", "sf0.01")}
+
+
 @pytest.fixture(scope="module")
 def con():
     return connect(DATA)
@@ -19,7 +23,9 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
-    assert difference(QUERIES[name](spark, DATA), ORACLES[name], con) is None
+    folder = LARGER.get(name, DATA)
+    source = con if folder == DATA else connect(folder)
+    assert difference(QUERIES[name](spark, folder), ORACLES[name], source) is None
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))

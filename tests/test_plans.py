@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from chronocohort.operators import aggregates as A, reshape as R, sampling as P
+from chronocohort.operators import aggregates as A, sampling as P
 from chronocohort.plans import features as P2, icu_cohort as IC, icu_codes as K, icu_labels as IL
 from chronocohort.queries import QUERIES
 from chronocohort.queries.icu_sources import icu_tables
@@ -65,6 +65,8 @@ def test_feature_flow(spark, cohort):
     static = P2.static_features(cohort["case_static"], cohort["control_static"])
     assert {"gender_F", "gender_M"} <= set(static.columns)
     assert static.agg(F.max("admission_age")).first()[0] <= 90
+    grouped = P2.grouped_static_features(cohort["case_static"], cohort["control_static"]).columns
+    assert "ethnicity_asian" in grouped and "admission_age_60.0" in grouped
     splits = durable(P.entity_split(static, "icustay_id"))
     scaled, aged = P2.normalised(series, static, splits, scale_age=True)
     train = scaled.join(splits.where("split = 'train'"), "icustay_id")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
-from chronocohort.operators import aggregates as A, cohort as C, evaluate as E, intervals as I, models as M, reshape as R, sampling as P, windows as W
+from chronocohort.operators import aggregates as A, cohort as C, evaluate as E, intervals as I, models as M, reshape as R, sampling as P
 from chronocohort.plans import icu_codes as K, icu_labels as IL
 
 
