@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronocohort.llm import byte_bpe, licenses, merge_counts, url_models
+from chronocohort.llm import byte_bpe, licenses, merge_counts, recompression, url_models
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -15,6 +15,24 @@ URL_RULES = [
     url_models.Rule("org/fr/", True),
 ]
 
+OP3_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+win AS (SELECT doc_id, p, list_slice(words, p, p + 12) AS win FROM w, unnest(range(1, len(words) - 11)) AS t(p) WHERE len(words) >= 13),
+least AS (SELECT win, min(doc_id) AS first_doc FROM win GROUP BY win),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS q FROM win JOIN least USING (win) WHERE doc_id > first_doc),
+gone_of AS (SELECT doc_id, list(q) AS places FROM gone GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN words
+              ELSE list_filter(words, lambda x, i: NOT list_contains(places, i)) END AS left_over
+  FROM w LEFT JOIN gone_of USING (doc_id))
+SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
+       sha256(array_to_string(left_over, ' ')) AS kept_sha256
+FROM kept
+"""
+
 
 @query("op1_url_filters")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -22,6 +40,14 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query("op3_substring_dedup", OP3_SQL)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    cut = recompression.dedup(table(spark, folder, "documents"))
+    # Where nothing went, the operator gives the text as it was; the digest is of its words joined by one space.
+    words = F.btrim(F.regexp_replace(F.coalesce("kept", F.lit("")), "[ \\x09-\\x0D]+", " "), F.lit(" "))
+    return cut.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
 @query("op6_license_scans")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
