@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronocohort.llm import byte_bpe, licenses, merge_counts, recompression, url_models
+from chronocohort.llm import byte_bpe, jaccard, licenses, merge_counts, recompression, url_models
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -48,6 +48,12 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
+@query("op4_ngram_jaccard")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    joined = jaccard.join(table(spark, folder, "documents"))
+    return joined.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("op6_license_scans")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))

@@ -43,6 +43,21 @@ def sent(chunk: int, tokens: np.ndarray, columns: list[np.ndarray], count: int)
     return pa.table({"part": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), chunk), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
+def sent6(chunk: int, tokens: np.ndarray, codes: np.ndarray, count: int) -> pa.Table:
+    """As ``sent``, with 48-bit codes in six bytes in place of the tokens."""
+    cut = parts(tokens, count)
+    used = np.flatnonzero(np.diff(cut))
+    raw = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+    payload = [raw[cut[p] : cut[p + 1]].tobytes() for p in used]
+    return pa.table({"part": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), chunk), pa.int64()), "payload": pa.array(payload, pa.binary())})
+
+
+def unpack6(payload: bytes) -> list[np.ndarray]:
+    raw = np.zeros((len(payload) // 6, 8), np.uint8)
+    raw[:, :6] = np.frombuffer(payload, np.uint8).reshape(-1, 6)
+    return [raw.view("<u8").ravel()]
+
+
 def unpack(payload: bytes, kinds: list) -> list[np.ndarray]:
     width = sum(np.dtype(k).itemsize for k in kinds)
     n, at, out = len(payload) // width, 0, []
@@ -52,7 +67,7 @@ def unpack(payload: bytes, kinds: list) -> list[np.ndarray]:
     return out
 
 
-def answer_by_range(sent_rows: DataFrame, kinds: list, combine: Callable) -> DataFrame:
+def answer_by_range(sent_rows: DataFrame, kinds: list, combine: Callable, six: bool = False) -> DataFrame:
     """``combine(tokens, chunk index, columns)`` sees all that a range got and returns a mask and columns to send back.
 
     The answer to a chunk holds the tokens that the mask keeps, then the columns, packed as they were sent.
@@ -60,7 +75,7 @@ def answer_by_range(sent_rows: DataFrame, kinds: list, combine: Callable) -> Dat
 
     def run(table: pa.Table) -> pa.Table:
         chunks = np.asarray(table.column("chunk"))
-        received = [unpack(p.as_py(), kinds) for p in table.column("payload")]
+        received = [unpack6(p.as_py()) if six else unpack(p.as_py(), kinds) for p in table.column("payload")]
         sizes = np.array([len(r[0]) for r in received])
         whole = [np.concatenate([r[k] for r in received]) for k in range(len(kinds))]
         del received
