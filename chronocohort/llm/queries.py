@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronocohort.llm import byte_bpe, jaccard, licenses, merge_counts, recompression, url_models
+from chronocohort.llm import byte_bpe, decontaminate, jaccard, licenses, merge_counts, recompression, toxicity, url_models
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -40,6 +40,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+@query("op2_benchmark_decontamination")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"), "score", "word_start", "word_end")
+
+
 @query("op3_substring_dedup", OP3_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     cut = recompression.dedup(table(spark, folder, "documents"))
@@ -67,6 +73,16 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op9_toxicity")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+    return scored.select(
+        F.col("key").alias("doc_id"), toxicity.held_out(F.col("key")).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "evidence",
+    )
+
+
 @query("op10_byte_bpe")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
