@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from chronocohort.llm import byte_bpe, decontaminate, jaccard, licenses, merge_counts, recompression, toxicity, url_models
+from chronocohort.llm import (
+    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, posting_lists, recompression, toxicity, url_models,
+)
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -60,6 +62,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+@query("op5_nearest_neighbours")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return posting_lists.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op6_license_scans")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
@@ -73,6 +80,13 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scored = cotraining.score(docs, cotraining.fit(docs, table(spark, folder, "labels")))
+    return scored.select(F.col("key").alias("doc_id"), "score", "text_score", "meta_score", (F.col("score") >= 0.5).alias("keep"))
+
+
 @query("op9_toxicity")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
