@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words that labelled examples tie to toxicity: the log-odds of a word's distinct contexts (the word after it,
-so that copies of one text count once) must stand out. Examples are a bounded sample of labelled rows, a stated number
+Terms are words that labelled examples tie to toxicity by a likelihood ratio of the documents that hold them; a word
+counts no more often than it has distinct contexts (the word after it), so that copies of one text count once. Examples are a bounded sample of labelled rows, a stated number
 per class in order of a hash. Document frequencies of the terms are counted over all documents. The index holds the
 examples in blocks with the largest weight of each term; a search takes blocks in falling order of their bound and ends
 when no block can beat the k-th neighbour, so the neighbours are exact. Votes are weighted by cosine and by class, and
@@ -112,9 +112,17 @@ def _rising(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
+def _likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
+    """G of a word in a of n1 toxic and b of n0 other examples, 0 where it is not at least four times as common in the first."""
+    share = n1 / (n1 + n0)
+    both = a + b
+    half = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
+    return F.when(a * float(n0) >= 4.0 * b * n1, 2 * (half(a, share) + half(b, 1 - share))).otherwise(0.0)
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = 4000, max_terms: int = 256,
-    least_z: float = 5.0, k: int = 15,
+    least_ratio: float = 36.0, k: int = 15,
 ) -> Model:
     """Learn from the rows of ``labels`` that are not held out."""
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("y")).where("key is not null and y in (0, 1)").where(~held_out(F.col("key")))
@@ -125,14 +133,14 @@ def fit(
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
     sample = source.join(F.broadcast(part[0].union(part[1])), "key")  # at most 2 * max_per_class short rows
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = sample.select("y", F.filter(F.split(lower, GAP), lambda x: x != "").alias("w")).where("size(w) > 0")
-    pairs = tokens.select("y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p")).select("y", "p.*").distinct()
-    counted = pairs.groupBy("w").agg(F.count_if(F.col("y") == 1).alias("a"), F.count_if(F.col("y") == 0).alias("b"))
-    sums = counted.agg(F.sum("a"), F.sum("b")).first()
-    odds = F.log((F.col("a") + 0.5) / float((sums[0] or 0) + 1)) - F.log((F.col("b") + 0.5) / float((sums[1] or 0) + 1))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    chosen = counted.select("w", z.alias("z"), odds.alias("odds")).where((F.col("z") >= least_z) & (F.col("odds") >= float(np.log(4))))
-    terms = sorted(r["w"] for r in chosen.orderBy(F.desc("z"), "w").limit(max_terms).collect())
+    tokens = sample.select("key", "y", F.filter(F.split(lower, GAP), lambda x: x != "").alias("w")).where("size(w) > 0")
+    pairs = tokens.select("key", "y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p")).select("key", "y", "p.*").distinct()
+    toxic = F.col("y") == 1
+    documents = pairs.select("key", "y", "w").distinct().groupBy("w").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"))
+    contexts = pairs.where(toxic).select("w", "next").distinct().groupBy("w").agg(F.count("*").alias("c"))
+    counted = documents.join(contexts, "w").select("w", F.least("a", "c").alias("a"), "b")
+    chosen = counted.select("w", _likelihood_ratio(F.col("a"), F.col("b"), min(totals[1], max_per_class), min(totals[0], max_per_class)).alias("g"))
+    terms = sorted(r["w"] for r in chosen.where(F.col("g") >= least_ratio).orderBy(F.desc("g"), "w").limit(max_terms).collect())
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(len(terms), np.int64), 0
@@ -176,9 +184,11 @@ def fit(
     return model
 
 
-def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Columns key, score and evidence (ids of the nearest examples): one row per input row."""
+def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Columns key, score, evidence (ids of the nearest examples) and the input columns named by ``keep``, in struct row."""
     remembered: dict[tuple, tuple[float, list[int]]] = {}
+    carried = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
+    source = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +204,6 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text")
                     share, rows, _ = model.vote(term[own], count[own])
                     remembered[pattern] = model.calibrated(share) if len(rows) else model.without, model.ids[rows].tolist()
                 scores[i], evidence[i] = remembered[pattern]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["key", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), batch.column(2)], names=["key", "score", "evidence", "row"])
 
-    source = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(run, "key bigint, score double, evidence array<bigint>")
+    return source.mapInArrow(run, f"key bigint, score double, evidence array<bigint>, row {source.schema['row'].dataType.simpleString()}")
