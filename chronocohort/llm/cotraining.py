@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronocohort.llm.words import SPACE, words
+from chronocohort.llm.words import SPACE, sliced, words
 
 SOURCES, LANGS = 64, 16
 _KINDS = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"!?", b"|#$%&*+<=>@[]^_{}~\\/", b".,;:'\"()-", b"\n"]
@@ -145,7 +145,7 @@ def fit(
     chosen = some.union(other.select("key", F.lit(None).cast("int")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             a, b = _features(batch, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(a), pa.list_(pa.float64())), pa.array(list(b), pa.list_(pa.float64()))], names=["key", "y", "a", "b"])
 
@@ -173,7 +173,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     """Columns key, score, text_score, meta_score: probabilities of good quality, one row per input row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             s = model.scores(*_features(batch, 1))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s[:, i]) for i in range(3))], names=["key", "score", "text_score", "meta_score"])
 

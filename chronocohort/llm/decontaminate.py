@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from chronocohort.llm.words import PUNCTUATION, ngrams, words
+from chronocohort.llm.words import PUNCTUATION, ngrams, sliced, words
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 FOUND = "key bigint, item bigint, score double, word_start bigint, word_end bigint"
@@ -114,7 +114,7 @@ def matches(
 
         def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             total = np.zeros(len(block.distinct), np.int64)
-            for batch in batches:
+            for batch in sliced(batches, 0):
                 w = words(batch.column(0), PUNCTUATION)
                 position, row = block.hits(w.hash, w.left() >= block.n)
                 owner = np.searchsorted(w.first, position, side="right") - 1
@@ -128,7 +128,7 @@ def matches(
         block.keep_rare(counts)
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in sliced(batches, 1):
                 rows = list(_aligned(batch.column(1), block, threshold))
                 pick = lambda i, kind: pa.array([r[i] for r in rows], kind)
                 yield pa.RecordBatch.from_arrays(

@@ -20,7 +20,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from chronocohort.llm.presplit import WHITE, safe_pieces
 
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 LONGEST_REMEMBERED = 64
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 # Fixed value: the pre-tokenizer's pattern, with its white space spelled out.

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronocohort.llm.words import PUNCTUATION, words
+from chronocohort.llm.words import PUNCTUATION, sliced, words
 
 BLOCK = 64
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -144,7 +144,7 @@ def fit(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(len(terms), np.int64), 0
-        for batch in batches:
+        for batch in sliced(batches, 0):
             _, term, _, n = _counted(batch.column(0), terms)
             total, texts = total + np.bincount(term, minlength=len(terms)), texts + n
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.append(texts, total))], names=["term", "df"])
@@ -156,7 +156,7 @@ def fit(
     idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 2):
             owner, term, count, n = _counted(batch.column(2), terms)
             cut = np.searchsorted(owner, np.arange(n + 1))
             lists = [[term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]] for i in range(n)]
@@ -191,7 +191,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
     source = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, 1):
             owner, term, count, n = _counted(batch.column(1), model.terms)
             cut = np.searchsorted(owner, np.arange(n + 1))
             scores, evidence = np.full(n, model.without), [[] for _ in range(n)]

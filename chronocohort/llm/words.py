@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -55,6 +56,16 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def sliced(batches, column: int, limit: int = 1 << 22):
+    """The same rows in smaller batches, each of about ``limit`` bytes of text or one longer text, to bound memory."""
+    for batch in batches:
+        size = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size, dtype=np.int64) // limit
+        first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else [0]
+        for a, b in zip(first, [*first[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 @dataclass
 class Words:
     """Of a batch of texts: hash, byte start and byte end of each word, and the first word of each text (n + 1 entries)."""
