@@ -90,6 +90,7 @@ class Words:
 def words(column, gap: np.ndarray = SPACE, lower: bool = True) -> Words:
     """Maximal runs of bytes outside ``gap`` (ASCII only, so characters stay whole), A-Z lower-cased for the hash if asked."""
     data, offsets = utf8(column)
+    gap = gap[LOWER] if lower else gap  # letters count as what they become
     starts, ends, hashes = [], [], []
     breaks = np.unique(offsets)
     at = 0
@@ -133,7 +134,7 @@ _WEIGHTS = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN + _BASE) | np.uint64
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n words from each word on; the last n - 1 entries run over the end and mean nothing."""
     total = np.zeros(len(hashes), np.uint64)
-    for k in range(n):
+    for k in range(min(n, len(hashes))):
         weight = _WEIGHTS[k]
         total[: len(hashes) - k] += hashes[k:] * weight
         total ^= total >> np.uint64(29)
