@@ -84,12 +84,14 @@ def drop_sparse_columns(df: DataFrame, candidates: Sequence[str], min_count: int
     return df.drop(*[c for c in candidates if counts[c] < min_count])
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], max_categories: int = 1_000) -> DataFrame:
-    """A 0/1 column ``name_category`` per category, in place of each listed column."""
+def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, Sequence] | None = None) -> DataFrame:
+    """A 0/1 column ``name_category`` per category, in place of each listed column.
+
+    ``categories`` names them by column where they are known; otherwise they are read from the data, one job a column.
+    """
     for c in columns:
-        found = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_categories + 1).collect()
-        if len(found) > max_categories:
-            raise ValueError(f"{c} has more than {max_categories} categories")
+        known = (categories or {}).get(c)
+        found = [(x,) for x in known] if known is not None else df.where(F.col(c).isNotNull()).select(c).distinct().collect()
         flags = {
             f"{c}_{value}": F.when(F.col(c) == value, 1).otherwise(0) for value in sorted(r[0] for r in found)
         }

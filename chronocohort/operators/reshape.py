@@ -9,10 +9,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronocohort.functions.timefn import ceil_hour, hours_between, shift_hours
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import MAX_GROUP_ROWS, has_hot_group
-
-# Longest array one row may hold; a longer series continues in the next chunk.
-CHUNK_ROWS = 4_096
 
 
 def hour_spine(stays: DataFrame, key: str, start: str, end: str, lead: int = 24) -> DataFrame:
@@ -58,14 +54,13 @@ def top_per_group(
     keys: Sequence[str],
     order: Sequence[str],
     n: int,
-    split: bool | None = None,
-    max_group: int = MAX_GROUP_ROWS,
+    split: bool = False,
     salts: int = 64,
 ) -> DataFrame:
     """The first ``n`` rows per group in ``order``; a leading ``-`` means descending.
 
-    Where a group is too large for one task its rows are dealt over sub-groups, each keeps its own
-    first ``n``, and the final choice is made among at most ``salts * n`` rows.
+    Each task keeps its first ``n`` rows of a group before the shuffle, so a group of any size meets as at most ``n``
+    rows per task. For an ``n`` so large that this is too much, ``split`` deals a group over ``salts`` sub-groups first.
     """
     sort = [F.col(c[1:]).desc() if c.startswith("-") else F.col(c).asc() for c in order]
 
@@ -73,7 +68,7 @@ def top_per_group(
         place = F.row_number().over(Window.partitionBy(*groups).orderBy(*sort))
         return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
 
-    if has_hot_group(df, keys, max_group) if split is None else split:
+    if split:
         salt = F.pmod(F.xxhash64(*[c.lstrip("-") for c in order]), F.lit(salts))
         df = ranked(df.withColumn("_salt", salt), [*keys, "_salt"]).drop("_salt")
     return ranked(df, keys)
@@ -102,17 +97,17 @@ def series_arrays(
     t: str,
     var: str,
     value: str,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int | None = None,
     **sizing,
 ) -> DataFrame:
     """Observations in time order as arrays ``times, vars, values`` per (entity, chunk).
 
-    Chunk 0 holds the first ``chunk_rows`` observations, chunk 1 the next, so an entity of ordinary
-    length is one row and no row grows with the length of a series.
+    One row per entity, in chunk 0. With ``chunk_rows`` chunk 0 holds the first that many observations, chunk 1
+    the next, so that no row grows with a series; limit series of unknown length first, or keep them long.
     """
     placed = KeyedOrder(long, [key], [t, var, value], **sizing).row_number("_pos").rows()
     packed = (
-        placed.withColumn("chunk", F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)).cast("int"))
+        placed.withColumn("chunk", (F.floor((F.col("_pos") - 1) / F.lit(chunk_rows)) if chunk_rows else F.lit(0)).cast("int"))
         .groupBy(key, "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("_pos", t, var, value))).alias("_s"))
     )

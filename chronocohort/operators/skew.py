@@ -8,17 +8,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 # Rows of one key that a single task may hold. Beyond it the key is split.
 MAX_GROUP_ROWS = 1_000_000
-# Only the largest keys are listed on the driver. A key that is not listed is smaller than
-# every listed one, so it holds less than 1/MAX_LISTED_KEYS of the rows.
-MAX_LISTED_KEYS = 2_000
-SALTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, max_group: int = MAX_GROUP_ROWS) -> list:
-    """Values of ``key`` with more than ``max_group`` rows, largest first (a bounded list)."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    top = counts.where(F.col("count") > max_group).orderBy(F.desc("count")).limit(MAX_LISTED_KEYS)
-    return [row[0] for row in top.collect()]
+def hot_keys(df: DataFrame, key: str, max_group: int = MAX_GROUP_ROWS) -> dict:
+    """Every value of ``key`` (null too) with more than ``max_group`` rows, and its rows: at most rows / max_group entries."""
+    counts = df.groupBy(key).count().where(F.col("count") > max_group)
+    return {row[0]: row[1] for row in counts.collect()}
 
 
 def has_hot_group(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP_ROWS) -> bool:
@@ -38,9 +33,9 @@ class GroupSizes:
 
     def __init__(self, df: DataFrame, max_group: int = MAX_GROUP_ROWS):
         self._df, self._max_group = df, max_group
-        self._hot: dict[str, list] = {}
+        self._hot: dict[str, dict] = {}
 
-    def hot(self, key: str) -> list:
+    def hot(self, key: str) -> dict:
         if key not in self._hot:
             self._hot[key] = hot_keys(self._df, key, self._max_group)
         return self._hot[key]
@@ -55,15 +50,14 @@ def key_join(
     key: str,
     condition: Column | None = None,
     how: str = "inner",
-    hot: Sequence | None = None,
+    hot: dict | None = None,
     max_group: int = MAX_GROUP_ROWS,
-    salts: int = SALTS,
 ) -> DataFrame:
     """Join a long event table to an index table on ``key``, spreading the keys with most events.
 
-    The rows of a hot key are dealt over ``salts`` sub-keys and only that key's index rows are
-    repeated once per sub-key, so the copy grows with the hot keys and not with the index table.
-    ``hot`` lists the hot keys where they are known; otherwise they are counted first.
+    The rows of a hot key are dealt over as many sub-keys as it holds multiples of ``max_group`` rows, and only that
+    key's index rows are repeated once per sub-key, so the copy grows with the hot keys and not with the index table.
+    ``hot`` gives the hot keys and their rows where they are known; otherwise they are counted first.
     ``how`` is inner, left, left_semi or left_anti: the event side is never repeated.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -71,14 +65,13 @@ def key_join(
     other = f"_{key}_index"
     index = index.withColumnRenamed(key, other)
     on = F.col(key) == F.col(other)
-    hot = hot_keys(events, key, max_group) if hot is None else list(hot)
-    if hot:
-        dealt = F.when(
-            F.col(key).isin(hot), F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts))
-        ).otherwise(F.lit(0)).cast("int")
-        every = F.when(F.col(other).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-            F.array(F.lit(0))
-        )
+    hot = hot_keys(events, key, max_group) if hot is None else hot
+    salts = {k: -(-rows // max_group) for k, rows in hot.items() if k is not None}
+    if salts:
+        listed = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+        hashed = [F.col(f.name) for f in events.schema.fields if "map<" not in f.dataType.simpleString()]
+        dealt = F.pmod(F.xxhash64(*hashed), F.coalesce(listed[F.col(key)], F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce(listed[F.col(other)], F.lit(1)) - 1)
         events = events.withColumn("_salt", dealt)
         index = index.withColumn("_salt_index", F.explode(every))
         on = on & (F.col("_salt") == F.col("_salt_index"))

@@ -62,7 +62,7 @@ def insert_typed(df: DataFrame, name: str, schema: StructType | str, path: str |
 
 
 def write_csv(df: DataFrame, path: str, index: bool = False) -> str:
-    """CSV files with header. With ``index`` a leading number column is added, as data frames do."""
+    """CSV files with header. With ``index`` a leading column of unique, rising numbers (with gaps) is added."""
     out = df.select(F.monotonically_increasing_id().alias(INDEX_ARTEFACT), "*") if index else df
     out.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
     return path

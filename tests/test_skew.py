@@ -7,7 +7,7 @@ from chronocohort.functions.timefn import hours
 from chronocohort.operators import cohort as C, intervals as I, reshape as R, sampling as P, windows as W
 from chronocohort.operators.evaluate import curve_points
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import hot_keys, key_join
+from chronocohort.operators.skew import GroupSizes, hot_keys, key_join
 from chronocohort.queries.windows_q import states
 
 
@@ -71,12 +71,18 @@ def test_global_rank_is_gapless(skewed):
 def test_key_join(skewed):
     index = skewed.groupBy("user_id").agg(F.min("ts").alias("t0"))
     near = F.col("ts") <= F.col("t0") + hours(200)
-    assert hot_keys(skewed, "user_id", 100) == [7]
+    hot = hot_keys(skewed, "user_id", 100)
+    assert hot == {7: skewed.where("user_id = 7").count()}
+    every = hot_keys(skewed, "user_id", 1)
+    assert len(every) == skewed.groupBy("user_id").count().where("count > 1").count()
+    withheld = skewed.withColumn("user_id", F.when(F.col("user_id") == 7, None).otherwise(F.col("user_id")))
+    assert GroupSizes(withheld, 100).split("user_id") and key_join(withheld, skewed.select("user_id").distinct(), "user_id", how="left", max_group=100).count() == skewed.count()
     for how in ("inner", "left", "left_semi", "left_anti"):
         condition = near if how != "left_semi" else None
-        salted = key_join(skewed, index, "user_id", condition, how, hot=[7])
-        plain = key_join(skewed, index, "user_id", condition, how, hot=[])
+        salted = key_join(skewed, index, "user_id", condition, how, hot=hot, max_group=100)
+        plain = key_join(skewed, index, "user_id", condition, how, hot={})
         assert rows(salted) == rows(plain)
+        assert rows(key_join(skewed, index, "user_id", condition, how, max_group=1)) == rows(plain)
 
 
 def test_time_operators(skewed):
@@ -90,11 +96,14 @@ def test_time_operators(skewed):
         lambda **z: I.point_in_interval(purchases, spans, "user_id", "ts", "s", "f", **z),
         lambda **z: W.previous_within(unique, "user_id", "ts", ["value"], 6, **z),
         lambda **z: W.running_rise(unique, "user_id", ["ts"], ["event_id"], **z),
-        lambda **z: R.tail_n(unique, "user_id", ["ts", "event_id"], 9, **z),
         lambda **z: R.series_arrays(unique, "user_id", "ts", "event_id", "value", 8, **z),
-        lambda **z: P.stratified(unique, "event_type", "event_id", 4, **z),
     ):
         assert rows(build(max_group=4)) == rows(build(split=False))
+    for build in (
+        lambda **z: R.tail_n(unique, "user_id", ["ts", "event_id"], 9, **z),
+        lambda **z: P.stratified(unique, "event_type", "event_id", 4, **z),
+    ):
+        assert rows(build(split=True)) == rows(build())
 
 
 def test_sessions(spark):
@@ -104,6 +113,8 @@ def test_sessions(spark):
 
 
 def test_series_chunks_hold_everything(skewed):
+    whole = R.series_arrays(skewed, "user_id", "ts", "event_id", "value")
+    assert whole.count() == skewed.select("user_id").distinct().count()
     chunks = R.series_arrays(skewed, "user_id", "ts", "event_id", "value", 8)
     assert chunks.select(F.max(F.size("times"))).first()[0] == 8
     assert chunks.select(F.sum(F.size("times"))).first()[0] == skewed.count()
@@ -122,3 +133,11 @@ def test_not_in_nulls(spark):
     for listed, kept in (([(1,)], [2]), ([(1,), (None,)], []), ([], [1, 2, None])):
         got = C.not_in(left, spark.createDataFrame(listed, "k int"), "k")
         assert sorted([r[0] for r in got.collect()], key=str) == sorted(kept, key=str)
+
+
+def test_long_series_stay_whole(spark):
+    long = spark.range(5000).select(F.lit(1).alias("e"), F.col("id").cast("double").alias("t"), (F.col("id") % 7).alias("v"), F.lit(1.5).alias("x"))
+    series = R.series_arrays(long, "e", "t", "v", "x")
+    row = R.feature_order(series, "e", "vars").first()
+    assert len(row["times"]) == 5000 and sorted(row["ind_t"]) == list(range(5000)) and row["ind_k"] == sorted(row["vars"])
+    assert R.pad_right(series, ["values"]).first()["values_len"] == 5000
