@@ -183,7 +183,16 @@ def bucketed_window_join(
     return spread.join(tagged, on).drop(other, "_bucket", "_bucket_right")
 
 
-def two_sided_proximity(
+def _seen(samples: DataFrame, key: str, clock: str, day: str) -> DataFrame:
+    """Samples as (key, ``_seen``, ``_kind``); one without clock time counts at its date."""
+    return samples.select(
+        F.col(key),
+        F.coalesce(clock, day).alias("_seen"),
+        F.when(F.col(clock).isNull(), "date").otherwise("time").alias("_kind"),
+    )
+
+
+def earliest_on_sides(
     treatments: DataFrame,
     samples: DataFrame,
     key: str,
@@ -192,37 +201,59 @@ def two_sided_proximity(
     day: str,
     back: int = 72,
     forward: int = 24,
-    pairs: bool = True,
+    **sizing,
 ) -> DataFrame:
-    """Treatments with the samples of the ``back`` hours before and the ``forward`` hours after them.
+    """Treatments with the earliest sample of the ``back`` hours before and of the ``forward`` hours after.
 
-    A sample without clock time counts at its date. Treatments (unique per key and ``t``) with no
-    sample on either side are dropped. With ``pairs`` there is a row per combination of an earlier
-    and a later sample; without, one row per treatment with the earliest sample of each side, all
-    that the time of suspicion needs.
+    A sample stands once at its time and once ``back`` hours later. In falling order the running
+    minimum of the first kind is the earliest sample from ``t`` on, that of the second kind the
+    earliest from ``t - back`` on: linear in both inputs, with no pairs. Treatments without a sample
+    on either side, a key or a time are dropped.
     """
-    seen = samples.select(
-        F.col(key),
-        F.coalesce(clock, day).alias("_seen"),
-        F.when(F.col(clock).isNull(), "date").otherwise("time").alias("_kind"),
+    seen = _seen(samples, key, clock, day).where(F.col(key).isNotNull() & F.col("_seen").isNotNull())
+    found = F.struct("_seen", "_kind")
+    stand = {"_next": F.col("_seen"), "_last": F.col("_seen") + hours(back)}
+    both = treatments.where(F.col(key).isNotNull() & F.col(t).isNotNull()).withColumn("_side", F.lit(1))
+    for side, at in stand.items():
+        rows = seen.select(key, at.alias(t), F.lit(0).alias("_side"), found.alias(side))
+        both = both.unionByName(rows, allowMissingColumns=True)
+    ordered = KeyedOrder(both, [key], [f"-{t}"], **sizing)
+    for side in stand:
+        ordered = ordered.running("min", F.col(side), f"{side}_min")
+    limit = {"last": F.col(t), "next": F.col(t) + hours(forward)}
+    near = {s: F.when(F.col(f"_{s}_min._seen") <= limit[s], F.col(f"_{s}_min")) for s in limit}
+    out = ordered.rows().where(F.col("_side") == 1).withColumns(
+        {f"{s}_{part}": near[s][f"_{name}"] for s in limit for part, name in (("time", "seen"), ("kind", "kind"))}
+    )
+    out = out.where(F.coalesce("last_time", "next_time").isNotNull()).select(
+        *treatments.columns, "last_time", "last_kind", "next_time", "next_kind"
     )
+    return out.withColumns({f"{s}_kind": F.coalesce(f"{s}_kind", F.lit("date")) for s in limit})
+
+
+def two_sided_proximity(
+    treatments: DataFrame,
+    samples: DataFrame,
+    key: str,
+    t: str,
+    clock: str,
+    day: str,
+    back: int = 72,
+    forward: int = 24,
+) -> DataFrame:
+    """Treatments with every pair of a sample of the ``back`` hours before and one of the ``forward`` hours after.
+
+    A sample without clock time counts at its date. Treatments with no sample on either side are
+    dropped. The pairs are the result; where the earliest samples are enough use
+    ``earliest_on_sides``, which forms none.
+    """
+    seen = _seen(samples, key, clock, day)
     base = treatments.select(key, t)
     sides = {"last": (back, 0), "next": (0, forward)}
     out = treatments
     for side, (b, f) in sides.items():
         near = bucketed_window_join(base, seen, key, t, "_seen", b, f)
-        if pairs:
-            found = near.select(
-                key, t, F.col("_seen").alias(f"{side}_time"), F.col("_kind").alias(f"{side}_kind")
-            )
-        else:
-            first = F.min(F.struct("_seen", "_kind")).alias("_first")
-            found = near.groupBy(key, t).agg(first).select(
-                key,
-                t,
-                F.col("_first._seen").alias(f"{side}_time"),
-                F.col("_first._kind").alias(f"{side}_kind"),
-            )
+        found = near.select(key, t, F.col("_seen").alias(f"{side}_time"), F.col("_kind").alias(f"{side}_kind"))
         out = out.join(found, [key, t], "left")
     out = out.where(F.coalesce("last_time", "next_time").isNotNull())
     return out.withColumns({f"{s}_kind": F.coalesce(f"{s}_kind", F.lit("date")) for s in sides})

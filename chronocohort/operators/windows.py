@@ -66,19 +66,19 @@ def trailing_hours(
 
 
 def hour_step_flag(
-    hourly: DataFrame, key: str, hour: str, score: str, step: int = 2, rising: bool = True, name: str = "flag"
+    hourly: DataFrame, key: str, hour: str, score: str, step: int = 2, rise: str | None = "flag", fall: str | None = None
 ) -> DataFrame:
-    """1 where the score changed by ``step`` since exactly one hour earlier, for hours that have one.
+    """0/1: did the score change by ``step`` since exactly one hour earlier, for hours that have one?
 
-    ``rising`` asks for current - previous >= step; otherwise previous - current. One row per hour.
+    ``rise`` and ``fall`` name the flags for each direction; both come from one window. One row per hour.
     """
     w = Window.partitionBy(key).orderBy(hour)
     change = F.col(score) - F.col("_score")
-    change = change if rising else -change
+    flags = {name: F.when(c >= step, 1).otherwise(0) for name, c in ((rise, change), (fall, -change)) if name}
     return (
         hourly.withColumns({"_score": F.lag(score).over(w), "_hour": F.lag(hour).over(w)})
         .where((F.col(hour) - F.col("_hour") == 1) & (F.col(hour) >= 0))
-        .withColumn(name, F.when(change >= step, 1).otherwise(0))
+        .withColumns(flags)
         .drop("_score", "_hour")
     )
 

@@ -81,8 +81,8 @@ def suspicions(antibiotics: DataFrame, samples: DataFrame, admissions: DataFrame
 
     With ``pairs`` there is a row per pair of cultures; the infection window needs only the other form.
     """
-    near = I.two_sided_proximity(
-        antibiotics.select("hadm_id", "antibiotic_time"), samples, "hadm_id", "antibiotic_time", "charttime", "chartdate", pairs=pairs
+    near = (I.two_sided_proximity if pairs else I.earliest_on_sides)(
+        antibiotics.select("hadm_id", "antibiotic_time"), samples, "hadm_id", "antibiotic_time", "charttime", "chartdate"
     )
     suspected = F.least(F.coalesce("last_time", "next_time"), "antibiotic_time")
     timed = near.withColumn("suspected_infection_time", suspected).join(

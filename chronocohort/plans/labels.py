@@ -9,16 +9,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chronocohort.functions.scalars import convert_units, null_as_zero_sum
 from chronocohort.functions.timefn import hours, shift_hours
 from chronocohort.operators import windows as W
-from chronocohort.operators.intervals import two_sided_proximity
+from chronocohort.operators.intervals import earliest_on_sides
 
 
-def suspected_times(treatments: DataFrame, samples: DataFrame, key: str, t: str, clock: str, day: str) -> DataFrame:
+def suspected_times(treatments: DataFrame, samples: DataFrame, key: str, t: str, clock: str, day: str, **sizing) -> DataFrame:
     """Treatments near a sample with the time of suspicion: the earlier of sample and treatment.
 
     The sample of the hours before counts ahead of the one after. The earliest sample of each side
     gives the earliest suspicion, so no pairs of samples are formed.
     """
-    near = two_sided_proximity(treatments, samples, key, t, clock, day, pairs=False)
+    near = earliest_on_sides(treatments, samples, key, t, clock, day, **sizing)
     suspected = F.least(F.coalesce("last_time", "next_time"), F.col(t))
     return near.withColumn("suspected", suspected)
 

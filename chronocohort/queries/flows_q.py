@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
 from chronocohort.operators import aggregates as A, intervals as I, reshape as R
-from chronocohort.operators.skew import key_join
+from chronocohort.operators.skew import GroupSizes, key_join
 from chronocohort.plans import features as P, labels as L
 from chronocohort.queries.joins_q import SAMPLED, TREATED, _treated_sampled
-from chronocohort.queries.registry import FIRST_ERROR, USER_STAYS, age_sql, first_error, query, table, user_stays
+from chronocohort.queries.registry import EVENT_TYPES, FIRST_ERROR, USER_STAYS, age_sql, first_error, query, table, user_stays
 from chronocohort.queries.reshape_q import SPINE
 from chronocohort.queries.sampling_q import SPLIT, user_split
 
@@ -19,17 +19,17 @@ from chronocohort.queries.sampling_q import SPLIT, user_split
     f"""WITH i AS ({FIRST_ERROR}), w AS (SELECT e.user_id, floor((epoch_us(ts) - epoch_us(t0)) / 3600000000.0)::INTEGER AS hour,
              CASE WHEN ts < t0 THEN 0 WHEN ts <= t0 + INTERVAL 5 HOUR THEN 1 ELSE 2 END AS phase, value, event_type
            FROM events e JOIN i ON e.user_id = i.user_id AND ts BETWEEN t0 - INTERVAL 48 HOUR AND t0 + INTERVAL 7 HOUR),
-         m AS (SELECT user_id, hour, max(phase) AS phase, round(avg(CASE WHEN event_type = 'view' THEN value END), 9) AS view_mean,
-                 round(avg(CASE WHEN event_type = 'click' THEN value END), 9) AS click_mean FROM w GROUP BY 1, 2),
+         m AS (SELECT user_id, hour, max(phase) AS phase,
+                 {', '.join(f"round(avg(CASE WHEN event_type = '{k}' THEN value END), 9) AS {k}_mean" for k in EVENT_TYPES)} FROM w GROUP BY 1, 2),
          s AS (SELECT user_id, unnest(generate_series(-48, 7))::INTEGER AS hour FROM i)
-       SELECT s.user_id, s.hour, m.phase, m.view_mean, m.click_mean FROM s LEFT JOIN m ON s.user_id = m.user_id AND s.hour = m.hour""",
+       SELECT s.user_id, s.hour, m.phase, {', '.join(f'm.{k}_mean' for k in EVENT_TYPES)} FROM s LEFT JOIN m ON s.user_id = m.user_id AND s.hour = m.hour""",
 )
 def e_hourly_means_around_onset(spark, d):
     """Mean readings per hour from 48 h before to 7 h after each user's first error, gaps kept as nulls."""
     ev = table(spark, d, "events").select("user_id", "ts", "value", "event_type")
     index = first_error(ev)
     near = I.around_index(ev, index, "user_id", "ts", "t0", 48, 7)
-    reading = {k: F.when(F.col("event_type") == k, F.col("value")) for k in ("view", "click")}
+    reading = {k: F.when(F.col("event_type") == k, F.col("value")) for k in EVENT_TYPES}
     means = near.groupBy("user_id", F.floor(T.hours_between("t0", "ts")).cast("int").alias("hour")).agg(
         F.max(T.phase_label("ts", "t0")).alias("phase"),
         *[F.round(F.avg(c), 9).alias(f"{k}_mean") for k, c in reading.items()],
@@ -65,7 +65,9 @@ def e_onset_labels(spark, d):
     """Suspicion window, hourly scores with a 24 h look-back, and the first rise by two points."""
     ev = table(spark, d, "events").select("user_id", "ts", "value", "event_type")
     treated, sampled = _treated_sampled(spark, d)
-    windows = L.infection_windows(L.suspected_times(treated, sampled, "user_id", "t", "clock", "day"), "user_id")
+    split = GroupSizes(ev).split("user_id")
+    suspected = L.suspected_times(treated, sampled, "user_id", "t", "clock", "day", split=split)
+    windows = L.infection_windows(suspected, "user_id")
     stays = user_stays(ev)
     timed = key_join(ev, stays.select("user_id", "admit"), "user_id")
     timed = timed.withColumn("hour", T.age_hour_index("ts", "admit").cast("int"))

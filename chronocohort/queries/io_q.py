@@ -62,7 +62,7 @@ def io_csv_roundtrip(spark, d):
     ev = table(spark, d, "events").select(
         "event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_type", "value"
     )
-    path = io.write_csv(ev, scratch_path(spark, "csv"), index=True)
+    path = io.write_csv(ev, scratch_path(spark, "csv"), index=["event_id"])
     schema = "`Unnamed: 0` bigint, event_id bigint, user_id bigint, ts string, event_type string, value double"
     return io.parse_times(io.drop_artefact(io.read_csv(spark, path, schema)), ["ts"])
 

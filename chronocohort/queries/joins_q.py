@@ -294,9 +294,7 @@ def j_full_outer(spark, d):
 )
 def j_prev_hour_flag(spark, d):
     h = hourly(spark, d).select("user_id", "hour", F.floor(F.col("cents") / 5000).alias("score"))
-    rise = W.hour_step_flag(h, "user_id", "hour", "score", 1, True, "rise")
-    fall = W.hour_step_flag(h, "user_id", "hour", "score", 1, False, "fall")
-    return rise.join(fall.drop("score"), ["user_id", "hour"])
+    return W.hour_step_flag(h, "user_id", "hour", "score", 1, "rise", "fall")
 
 
 @query(

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from chronocohort.functions.timefn import parse_ts
+from chronocohort.operators.ordered import KeyedOrder
+from chronocohort.operators.skew import key_join
 
 # Column pandas writes for an unnamed index.
 INDEX_ARTEFACT = "Unnamed: 0"
@@ -29,13 +32,19 @@ def jdbc_table(
 
 
 def refresh_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Replace a table with the rows of ``df`` and return the table."""
-    writer = df.write.mode("overwrite").format("parquet")
+    """Replace a table with the rows of ``df``, which may come from the old table, and return the table.
+
+    The rows are written under another name first, so a failed write leaves the old table as it was.
+    ``path`` is a folder that the old table does not use.
+    """
+    spark, staged = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet")
     if path:
         writer = writer.option("path", path)
-    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
-    writer.saveAsTable(name)
-    return df.sparkSession.table(name)
+    writer.saveAsTable(staged)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    return spark.table(name)
 
 
 def refresh_view(df: DataFrame, name: str) -> DataFrame:
@@ -61,9 +70,12 @@ def insert_typed(df: DataFrame, name: str, schema: StructType | str, path: str |
     return spark.table(name)
 
 
-def write_csv(df: DataFrame, path: str, index: bool = False) -> str:
-    """CSV files with header. With ``index`` a leading column of unique, rising numbers (with gaps) is added."""
-    out = df.select(F.monotonically_increasing_id().alias(INDEX_ARTEFACT), "*") if index else df
+def write_csv(df: DataFrame, path: str, index: Sequence[str] = ()) -> str:
+    """CSV files with header. ``index`` names columns with a unique order; a leading column then numbers the rows from 0."""
+    out = df
+    if index:
+        ranked = KeyedOrder(df, [], list(index)).row_number(INDEX_ARTEFACT).rows()
+        out = ranked.select((F.col(f"`{INDEX_ARTEFACT}`") - 1).alias(INDEX_ARTEFACT), *df.columns)
     out.write.mode("overwrite").option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]").csv(path)
     return path
 
@@ -85,8 +97,8 @@ def parse_times(df: DataFrame, columns: list[str], fmt: str = "yyyy-MM-dd HH:mm:
 
 
 def write_splits(df: DataFrame, splits: DataFrame, key: str, path: str) -> str:
-    """One folder per split of the entities, ``path/split=<name>``."""
-    df.join(splits, key).write.mode("overwrite").partitionBy("split").parquet(path)
+    """One folder per split of the entities, ``path/split=<name>``; an entity with very many rows is dealt over tasks."""
+    key_join(df, splits, key).write.mode("overwrite").partitionBy("split").parquet(path)
     return path
 
 

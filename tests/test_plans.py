@@ -24,6 +24,11 @@ def test_time_joins_are_equi_joins(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+@pytest.mark.parametrize("name", ["j_suspected_time", "e_onset_labels"])
+def test_suspicion_forms_no_pairs(spark, name):
+    assert "_bucket" not in plan(QUERIES[name](spark, DATA))
+
+
 def test_spine_merge_is_one_shuffle(spark, events):
     keys = ["user_id", "event_id"]
     sources = [events.select(*keys, F.col("value").alias(f"v{i}")) for i in range(4)]

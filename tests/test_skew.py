@@ -9,6 +9,7 @@ from chronocohort.operators.evaluate import curve_points
 from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import GroupSizes, hot_keys, key_join
 from chronocohort.queries.windows_q import states
+from chronocohort.sources import io
 
 
 def rows(df):
@@ -106,6 +107,32 @@ def test_time_operators(skewed):
         assert rows(build(split=True)) == rows(build())
 
 
+def test_earliest_on_sides_equals_the_pairs(skewed):
+    treated = skewed.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("t")).distinct()
+    sampled = skewed.where("event_type = 'view'").select(
+        "user_id", F.when(F.col("value") >= 40, F.col("ts")).alias("clock"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")
+    )
+    args = ("user_id", "t", "clock", "day")
+    first = {f"{s}_{k}": F.min(F.struct(f"{s}_time", f"{s}_kind"))[f"{s}_{k}"] for s in ("last", "next") for k in ("time", "kind")}
+    pairs = I.two_sided_proximity(treated, sampled, *args).groupBy("user_id", "t").agg(*[c.alias(n) for n, c in first.items()])
+    plain = I.earliest_on_sides(treated, sampled, *args, split=False)
+    assert rows(plain) == rows(pairs)
+    assert rows(I.earliest_on_sides(treated, sampled, *args, max_group=5)) == rows(plain)
+    lost = treated.withColumn("user_id", F.lit(None).cast("bigint")), sampled.withColumn("user_id", F.lit(None).cast("bigint"))
+    assert I.earliest_on_sides(*lost, *args).collect() == []
+    assert I.earliest_on_sides(treated, sampled.limit(0), *args).collect() == []
+
+
+def test_csv_index_and_table_from_itself(spark, skewed, tmp_path):
+    path = io.write_csv(skewed.select("event_id", "value"), str(tmp_path / "csv"), index=["event_id"])
+    got = io.read_csv(spark, path).orderBy("event_id").collect()
+    assert [r[io.INDEX_ARTEFACT] for r in got] == list(range(skewed.count()))
+    io.refresh_table(skewed.select("event_id"), "refreshed_once", str(tmp_path / "one"))
+    again = io.refresh_table(spark.table("refreshed_once").where("event_id % 2 = 0"), "refreshed_once", str(tmp_path / "two"))
+    assert again.count() == skewed.where("event_id % 2 = 0").count()
+    spark.sql("DROP TABLE refreshed_once")
+
+
 def test_sessions(spark):
     s = states(spark, "/root/testdata/sf0.001")
     hot = W.sessionize(s, "user_id", "ts", "is_on", "is_off", "is_end", 8, split=True)
