@@ -29,26 +29,27 @@ def chunked(df: DataFrame, key: str, text: str, chunks: int, row: str | None = N
     return chosen.select(F.pmod(F.xxhash64("key", "text"), F.lit(chunks)).alias("chunk"), *chosen.columns)
 
 
-def parts(tokens: np.ndarray, count: int) -> np.ndarray:
-    """Where sorted 64-bit tokens pass from one of ``count`` equal ranges to the next (count + 1 entries)."""
-    edges = (np.arange(1, count, dtype=np.float64) * (2.0**64 / count)).astype(np.uint64)
-    return np.concatenate([[0], np.searchsorted(tokens, edges), [len(tokens)]]).astype(np.int64)
+def parts(tokens: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``count`` equal ranges sorted 64-bit tokens are in, and where each of these starts (one more entry)."""
+    of = ((tokens >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    head = np.ones(len(of), bool)
+    head[1:] = of[1:] != of[:-1]
+    first = np.flatnonzero(head)
+    return of[first].astype(np.int64), np.append(first, len(of))
 
 
 def sent(chunk: int, tokens: np.ndarray, columns: list[np.ndarray], count: int) -> pa.Table:
     """One row per range that has some of the chunk's tokens (sorted, distinct): tokens, then the other columns, packed."""
-    cut = parts(tokens, count)
-    used = np.flatnonzero(np.diff(cut))
-    payload = [b"".join(c[cut[p] : cut[p + 1]].tobytes() for c in (tokens, *columns)) for p in used]
+    used, cut = parts(tokens, count)
+    payload = [b"".join(c[a:b].tobytes() for c in (tokens, *columns)) for a, b in zip(cut, cut[1:])]
     return pa.table({"part": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), chunk), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 
 def sent6(chunk: int, tokens: np.ndarray, codes: np.ndarray, count: int) -> pa.Table:
     """As ``sent``, with 48-bit codes in six bytes in place of the tokens."""
-    cut = parts(tokens, count)
-    used = np.flatnonzero(np.diff(cut))
+    used, cut = parts(tokens, count)
     raw = codes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
-    payload = [raw[cut[p] : cut[p + 1]].tobytes() for p in used]
+    payload = [raw[a:b].tobytes() for a, b in zip(cut, cut[1:])]
     return pa.table({"part": pa.array(used, pa.int64()), "chunk": pa.array(np.full(len(used), chunk), pa.int64()), "payload": pa.array(payload, pa.binary())})
 
 

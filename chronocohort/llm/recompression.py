@@ -111,7 +111,8 @@ def seeds(w: Words, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.n
             np.minimum.at(best, first[fits] + k, rank[fits])
     found = best[starts]
     own = ngrams(w.hash, window)[starts] | (np.uint64(15) << np.uint64(60))
-    return starts, np.where(found == none, own, found)
+    # Ranks fill few of the top bits; mixed, seeds spread evenly over ranges of hashes.
+    return starts, mix(np.where(found == none, own, found))
 
 
 def _ordered(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
