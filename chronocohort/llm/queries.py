@@ -35,6 +35,51 @@ SELECT doc_id, len(words)::BIGINT AS n_words, n_removed::BIGINT AS n_removed,
 FROM kept
 """
 
+LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+
+OP4_SQL = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda p: array_to_string(list_slice(words, p, p + 4), ' '))
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_have JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
+"""
+
+_WORDS6 = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_NOTICES = ", ".join(f"('{label}', {licenses.tokens_of(text)})" for label, text in licenses.TEMPLATES)
+_PLACES = ", ".join(
+    "list_filter(range(len(words)), lambda i: " + " AND ".join(f"words[i + {k}] = '{part}'" for k, part in enumerate(phrase.split(" "), 1)) + f") AS p_{label}"
+    for phrase, label in licenses.PHRASES.items()
+)
+_BASE = "list_concat(" * (len(licenses.PHRASES) - 1) + "{0}" + "".join(f", {{{k}}})" for k in range(1, len(licenses.PHRASES)))
+
+OP6_SQL = f"""
+WITH t AS (SELECT doc_id, {LOWERED} AS lowered FROM documents),
+w AS (SELECT doc_id, {_WORDS6.format('lowered')} AS words FROM t),
+p AS (SELECT doc_id, len(words)::BIGINT AS n_words, {_PLACES} FROM w),
+b AS (
+  SELECT doc_id, n_words, {_BASE.format(*(f'p_{x}' for x in licenses.PHRASES.values()))} AS places,
+         {_BASE.format(*(f"CASE WHEN len(p_{x}) > 0 THEN ['{x}'] ELSE [] END" for x in licenses.PHRASES.values()))} AS base FROM p),
+line AS (SELECT doc_id, unnest(string_split(lowered, chr(10))) AS line FROM t),
+block AS (SELECT doc_id, list_distinct({_WORDS6.format('line')}) AS tokens FROM line),
+notice AS (SELECT * FROM (VALUES {_NOTICES}) AS v(label, tokens)),
+met AS (
+  SELECT doc_id, label, len(list_intersect(block.tokens, notice.tokens)) AS common, len(notice.tokens) AS size FROM block, notice
+  WHERE len(list_intersect(block.tokens, notice.tokens)) >= ceil(0.8 * len(notice.tokens) - 1e-9)),
+alike AS (SELECT doc_id, list(DISTINCT label) AS labels, max(common / size) AS share FROM met GROUP BY 1)
+SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+       array_to_string(list_sort(base), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(base, coalesce(labels, [])))), ',') AS labels,
+       CASE WHEN len(places) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM b LEFT JOIN alike USING (doc_id)
+"""
+
 
 @query("op1_url_filters")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +101,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
-@query("op4_ngram_jaccard")
+@query("op4_ngram_jaccard", OP4_SQL)
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     joined = jaccard.join(table(spark, folder, "documents"))
     return joined.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -67,7 +112,7 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return posting_lists.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-@query("op6_license_scans")
+@query("op6_license_scans", OP6_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
     return found.drop("text")
