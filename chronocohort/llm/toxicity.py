@@ -187,8 +187,18 @@ def fit(
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns key, score, evidence (ids of the nearest examples) and the input columns named by ``keep``, in struct row."""
     remembered: dict[tuple, tuple[float, list[int]]] = {}
-    carried = F.struct(*(F.col(f"`{c}`") for c in keep)) if keep else F.lit(None).cast("struct<none:int>")
+    kept = keep or []
+    once = text in kept and df.schema[text].dataType.simpleString() == "string"  # texts then go to the workers once
+    others = [c for c in kept if not (once and c == text)]
+    carried = F.struct(*(F.col(f"`{c}`") for c in others)) if others else F.lit(None).cast("struct<none:int>")
     source = df.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), carried.alias("row"))
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row")) if kept else source
+
+    def row_of(batch: pa.RecordBatch):
+        if not once:
+            return batch.column(2)
+        fields = {c: batch.column(2).field(i) for i, c in enumerate(others)} | {text: batch.column(1)}
+        return pa.StructArray.from_arrays([fields[c] for c in kept], names=kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
@@ -199,11 +209,11 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
                 own = slice(cut[i], cut[i + 1])
                 pattern = (term[own].tobytes(), count[own].tobytes())
                 if pattern not in remembered:
-                    if len(remembered) > 100_000:
+                    if len(remembered) > 20_000:
                         remembered.clear()
                     share, rows, _ = model.vote(term[own], count[own])
                     remembered[pattern] = model.calibrated(share) if len(rows) else model.without, model.ids[rows].tolist()
                 scores[i], evidence[i] = remembered[pattern]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), batch.column(2)], names=["key", "score", "evidence", "row"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), row_of(batch)], names=["key", "score", "evidence", "row"])
 
-    return source.mapInArrow(run, f"key bigint, score double, evidence array<bigint>, row {source.schema['row'].dataType.simpleString()}")
+    return source.mapInArrow(run, f"key bigint, score double, evidence array<bigint>, row {whole.schema['row'].dataType.simpleString()}")

@@ -248,6 +248,9 @@ def test_toxicity_finds_marked_words(spark):
     got = {r["key"]: r["score"] for r in toxicity.score(docs, model).collect()}
     assert all((got[i] >= 0.5) == bool(t) for i, t in labels) and all(0 <= s <= 1 for s in got.values())
     assert got[600] == got[601] < 0.5
+    for keep in (["doc_id", "text", "score"], ["text"], ["n_words"]):
+        rows = [r["row"].asDict() for r in toxicity.score(docs, model, keep=keep).collect()]
+        assert sorted(rows, key=str) == sorted((r.asDict() for r in docs.select(keep).collect()), key=str)
     assert toxicity.fit(docs, marks.limit(0)).without == 0 and toxicity.score(docs.limit(0), model).count() == 0
 
 
