@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.operators.ordered import KeyedOrder
@@ -58,6 +60,12 @@ def auc_by_group(points: DataFrame) -> DataFrame:
     )
 
 
+def class_slots(areas: DataFrame, classes: Sequence[int]) -> DataFrame:
+    """One row per listed class and for all classes together; a class without rows, or without an area, reports 0."""
+    slots = areas.sparkSession.range(1).select(F.explode(F.array(*(F.lit(int(c)) for c in (OVERALL, *classes)))).alias("group"))
+    return slots.join(areas, "group", "left").fillna(0)
+
+
 def _piece_values(rows: DataFrame, x: str, total: str, y: Column, before_y: Column, step: str, at_end: Column, n: int) -> DataFrame:
     """Interpolated values on the grid ``k/(n-1)`` of the curve pieces that end in ``rows``.
 

@@ -66,12 +66,15 @@ def key_join(
     index = index.withColumnRenamed(key, other)
     on = F.col(key) == F.col(other)
     hot = hot_keys(events, key, max_group) if hot is None else hot
-    salts = {k: -(-rows // max_group) for k, rows in hot.items() if k is not None}
+    salts = {k: -(-rows // max_group) for k, rows in hot.items()}
     if salts:
-        listed = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair])
+        # Null keys meet no index row, but an outer or anti join keeps them: they are dealt as well.
+        nulls = F.when(F.col(key).isNull(), salts.pop(None, 1))
+        listed = F.create_map(*[F.lit(x) for pair in salts.items() for x in pair]) if salts else None
+        count = lambda c: listed[F.col(c)] if salts else F.lit(None).cast("int")
         hashed = [F.col(f.name) for f in events.schema.fields if "map<" not in f.dataType.simpleString()]
-        dealt = F.pmod(F.xxhash64(*hashed), F.coalesce(listed[F.col(key)], F.lit(1))).cast("int")
-        every = F.sequence(F.lit(0), F.coalesce(listed[F.col(other)], F.lit(1)) - 1)
+        dealt = F.pmod(F.xxhash64(*hashed), F.coalesce(nulls, count(key), F.lit(1))).cast("int")
+        every = F.sequence(F.lit(0), F.coalesce(count(other), F.lit(1)) - 1)
         events = events.withColumn("_salt", dealt)
         index = index.withColumn("_salt_index", F.explode(every))
         on = on & (F.col("_salt") == F.col("_salt_index"))

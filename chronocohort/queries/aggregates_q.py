@@ -187,16 +187,28 @@ POINTS = f"""s AS ({SCORED}), g AS (SELECT class AS "group", y, score FROM s UNI
      z AS (SELECT *, lead(tp) OVER w AS tp2, lead(fp) OVER w AS fp2, lead(prec) OVER w AS prec2 FROM q WINDOW w AS (PARTITION BY "group" ORDER BY rn))"""
 
 
-@query(
-    "a_auc_by_class",
-    f"""WITH {POINTS} SELECT "group", np AS n_pos, nn AS n_neg, round(sum((fp2 - fp) * (tp2 + tp) / 2.0) / nullif(np * nn, 0), 9) AS auroc,
-          round(sum((tp2 - tp) * (prec2 + prec) / 2.0) / nullif(np, 0), 9) AS aupr FROM z GROUP BY 1, 2, 3""",
-)
+AREAS = """SELECT "group", np AS n_pos, nn AS n_neg, round(sum((fp2 - fp) * (tp2 + tp) / 2.0) / nullif(np * nn, 0), 9) AS auroc,
+          round(sum((tp2 - tp) * (prec2 + prec) / 2.0) / nullif(np, 0), 9) AS aupr FROM z GROUP BY 1, 2, 3"""
+
+
+@query("a_auc_by_class", f"WITH {POINTS} {AREAS}")
 def a_auc_by_class(spark, d):
     areas = E.auc_by_group(E.curve_points(scored(spark, d), "y", "score", "class"))
     return areas.withColumns({c: F.round(c, 9) for c in ("auroc", "aupr")})
 
 
+@query(
+    "a_auc_class_slots",
+    f"""WITH {POINTS}, r AS ({AREAS}), k AS (SELECT unnest(generate_series(-1, 8))::INTEGER AS "group")
+        SELECT k."group", coalesce(n_pos, 0)::BIGINT AS n_pos, coalesce(n_neg, 0)::BIGINT AS n_neg, coalesce(auroc, 0)::DOUBLE AS auroc, coalesce(aupr, 0)::DOUBLE AS aupr
+        FROM k LEFT JOIN r ON r."group" = k."group" """,
+)
+def a_auc_class_slots(spark, d):
+    """As by class, with a row for every expected class; two of these have no rows."""
+    areas = E.auc_by_group(E.curve_points(scored(spark, d), "y", "score", "class"))
+    return E.class_slots(areas, range(9)).withColumns({c: F.round(c, 9) for c in ("auroc", "aupr")})
+
+
 @query(
     "a_curve_resample",
     f"""WITH {POINTS}, k AS (SELECT unnest(generate_series(0, 99))::INTEGER AS k),

@@ -88,6 +88,29 @@ def k_late_cohort(spark, d):
     return whole.unionByName(K.late_cohort(r, "entity", "class", only_first=True).withColumn("part", F.lit("first")))
 
 
+def _late_batches_sql(part: str, only: str) -> str:
+    return f"""SELECT '{part}' AS part, entity, class, doc_id, y, ((row_number() OVER (PARTITION BY y ORDER BY {hash_sql('doc_id', 2)}, doc_id) - 1) // 16)::INTEGER AS batch
+       FROM r WHERE entity IN (SELECT entity FROM late){only}"""
+
+
+@query(
+    "k_late_batches",
+    f"""WITH r AS (SELECT doc_id % 50 AS entity, (doc_id % 9)::INTEGER AS class, doc_id, (doc_id % 3 = 0)::INTEGER AS y FROM documents),
+          late AS (SELECT DISTINCT entity FROM r WHERE class = 6)
+        {_late_batches_sql('all', '')} UNION ALL {_late_batches_sql('first', ' AND class = 0')}""",
+)
+def k_late_batches(spark, d):
+    """Balanced batches of the late cohort, over all its classes and over class 0 alone."""
+    r = table(spark, d, "documents").select(
+        (F.col("doc_id") % 50).alias("entity"), (F.col("doc_id") % 9).cast("int").alias("class"), "doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("y")
+    )
+    parts = []
+    for part, only_first in (("all", False), ("first", True)):
+        batches = K.balanced_batches(K.late_cohort(r, "entity", "class", only_first=only_first), "y", "doc_id", 16, epoch=2)
+        parts.append(batches.select(F.lit(part).alias("part"), "entity", "class", "doc_id", "y", "batch"))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "k_epoch_shuffle",
     f"SELECT event_id, row_number() OVER (ORDER BY {hash_sql('event_id', 7)}, event_id) AS place FROM events",
