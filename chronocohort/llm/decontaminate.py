@@ -1,11 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds find test items in documents, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: n-gram seeds find test items in documents, Smith-Waterman alignment scores them.
 
-Test items are taken in blocks of a stated number of rows; each block passes over all documents twice, first to count
-in how many documents each of its n-grams occurs, then to align. Seeds of an item are its n-grams up to the median of
-these counts, so every item keeps at least half of its n-grams however often it leaked. Hits of one item in one
-document are gathered by diagonal, and the passage around each gathering is aligned word by word with the item: the
-score is the best local alignment over that of the whole item with itself. No documents or hits are shuffled, only
-counts and results.
+Test items are taken in blocks of a stated number of rows; each block passes over all documents once. Every n-gram of
+an item is a seed, however often it occurs, so copies and other leaks never hide an edited one. Hits of one item in one
+document are gathered by diagonal. A passage reaches as far around its hits as gaps can lead within the threshold, so
+it holds every sufficient alignment through them; where it shares too few words with the item to reach the threshold it
+is left, and the others are aligned word by word: the score is the best local alignment over that of the whole item
+with itself. An alignment without n words in a row in common is not found. No documents or hits are shuffled, only
+results.
 
 Words are letters, digits and non-ASCII characters, A-Z lower-cased. Null and empty texts match nothing, nor do items
 with fewer words than a seed. Rows with a null key are aligned too. Repeated rows and items give one row per pair.
@@ -50,54 +51,50 @@ class Items:
         gram, owner = ngrams(w.hash, n)[inside], w.text_of_word()[inside]
         order = np.argsort(gram, kind="stable")
         self.gram, self.owner, self.place = gram[order], owner[order], (inside - w.first[owner])[order]
-        self.distinct, self.of = np.unique(self.gram, return_inverse=True)
-
-    def keep_rare(self, counts: np.ndarray) -> None:
-        """Keep each item's n-grams up to the median count of its own."""
-        own = counts[self.of]
-        keep = np.zeros(len(own), bool)
-        for i in range(len(self.ids)):
-            mine = self.owner == i
-            if mine.any():
-                keep[mine] = own[mine] <= np.median(own[mine])
-        self.gram, self.owner, self.place = self.gram[keep], self.owner[keep], self.place[keep]
-
-    def hits(self, hashes: np.ndarray, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word positions and rows of this block's n-grams that meet there; one position may meet several rows."""
+
+    def hits(self, hashes: np.ndarray, usable: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Word positions and rows of this block's n-grams that meet there, about ``limit`` at a time; one position may meet several rows."""
+        if not len(self.gram):
+            return
         grams = ngrams(hashes, self.n)
         low = np.searchsorted(self.gram, grams)
-        met = np.flatnonzero(usable & (self.gram[np.minimum(low, max(len(self.gram) - 1, 0))] == grams)) if len(self.gram) else np.zeros(0, np.int64)
-        high = np.searchsorted(self.gram, grams[met], side="right")
-        each = high - low[met]
-        position = np.repeat(met, each)
-        return position, np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(low[met], each)
+        met = np.flatnonzero(usable & (self.gram[np.minimum(low, len(self.gram) - 1)] == grams))
+        each = np.searchsorted(self.gram, grams[met], side="right") - low[met]
+        part = np.cumsum(each) // limit
+        for some in np.split(np.arange(len(met)), np.flatnonzero(part[1:] != part[:-1]) + 1) if len(met) else []:
+            n, at = each[some], met[some]
+            yield np.repeat(at, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[at], n)
 
 
 def _aligned(text_column, items: Items, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """Of a batch: text number, item number, score, first and last word of each passage that reaches the threshold."""
     w = words(text_column, PUNCTUATION)
-    position, row = items.hits(w.hash, w.left() >= items.n)
-    if not len(position):
-        return
-    text = np.searchsorted(w.first, position, side="right") - 1
-    item, diagonal = items.owner[row], position - items.place[row]
-    order = np.lexsort((diagonal, item, text))
-    text, item, diagonal = text[order], item[order], diagonal[order]
-    slack = 10
-    head = np.ones(len(text), bool)
-    head[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack)
-    first = np.flatnonzero(head)
-    last = np.append(first[1:], len(head)) - 1
-    for a, b in zip(first, last):
-        own = items.words[item[a]]
-        low = max(int(w.first[text[a]]), int(diagonal[a]) - slack)
-        high = min(int(w.first[text[a] + 1]), int(diagonal[b]) + len(own) + slack)
-        best, end = align(own, w.hash[low:high])
-        score = best / (MATCH * len(own))
-        if score >= threshold:
-            back, length = align(own[::-1], w.hash[low : low + end][::-1])
-            start = low + end - length
-            yield int(text[a]), int(item[a]), score, start - int(w.first[text[a]]), low + end - int(w.first[text[a]])
+    need = np.array([threshold * len(own) for own in items.words])
+    # Each gap costs a point, and what is left of the points of all matches must reach the threshold.
+    reach = np.array([int(max(0.0, MATCH * len(own) * (1 - threshold)) / -GAP) for own in items.words], np.int64)
+    for position, row in items.hits(w.hash, w.left() >= items.n):
+        text = np.searchsorted(w.first, position, side="right") - 1
+        item, diagonal = items.owner[row], position - items.place[row]
+        order = np.lexsort((diagonal, item, text))
+        text, item, diagonal = text[order], item[order], diagonal[order]
+        head = np.ones(len(text), bool)
+        head[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > reach[item[1:]])
+        first = np.flatnonzero(head)
+        last = np.append(first[1:], len(head)) - 1
+        for a, b in zip(first, last):
+            own, slack = items.words[item[a]], int(reach[item[a]])
+            low = max(int(w.first[text[a]]), int(diagonal[a]) - slack)
+            high = min(int(w.first[text[a] + 1]), int(diagonal[b]) + len(own) + slack)
+            passage = w.hash[low:high]
+            # No alignment has more matches than the item has words that the passage holds.
+            if np.isin(own, passage).sum() < need[item[a]] - 1e-9:
+                continue
+            best, end = align(own, passage)
+            score = best / (MATCH * len(own))
+            if score >= threshold:
+                back, length = align(own[::-1], passage[:end][::-1])
+                start = low + end - length
+                yield int(text[a]), int(item[a]), score, start - int(w.first[text[a]]), low + end - int(w.first[text[a]])
 
 
 def matches(
@@ -112,21 +109,6 @@ def matches(
     for k in range(blocks):
         block = Items(sorted(map(tuple, listed.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).distinct().collect())), n)
 
-        def count(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(len(block.distinct), np.int64)
-            for batch in sliced(batches, 0):
-                w = words(batch.column(0), PUNCTUATION)
-                position, row = block.hits(w.hash, w.left() >= block.n)
-                owner = np.searchsorted(w.first, position, side="right") - 1
-                gram = np.unique(owner * (len(block.distinct) + 1) + block.of[row]) % (len(block.distinct) + 1)
-                total += np.bincount(gram, minlength=len(total))
-            yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["gram", "docs"])
-
-        counts = np.zeros(len(block.distinct), np.int64)
-        for gram, n_docs in source.select("text").mapInArrow(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs")).collect():
-            counts[gram] = n_docs
-        block.keep_rare(counts)
-
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             for batch in sliced(batches, 1):
                 rows = list(_aligned(batch.column(1), block, threshold))

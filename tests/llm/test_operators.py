@@ -271,6 +271,34 @@ def test_alignment_and_leaks(spark):
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_edited_leaks_against_brute_force(spark):
+    rng = random.Random(31)
+    items = [prose(rng, 26 + 3 * i) for i in range(8)]
+
+    def edited(item, places):
+        return " ".join(f"other{k}" if k in places else word for k, word in enumerate(items[item].split()))
+
+    leaks = [(i, edited(i, range(step - 1, 60, step))) for i in range(4) for step in (5, 6)]  # no full copy of these items
+    leaks += [(i, edited(i, rng.sample(range(26), round(26 * share)))) for i in range(4, 8) for share in (0.15, 0.2, 0.25, 0.3)]
+    leaks += [(i, items[i]) for i in range(4, 8) for _ in range(3)]
+    half = items[5].split()
+    leaks += [(5, " ".join([*half[:16], *(f"inside{k}" for k in range(14)), *half[16:]]))]
+    texts = [prose(rng, rng.randrange(5, 40)) + " " + leak + " " + prose(rng, rng.randrange(5, 40)) for _, leak in leaks] + [prose(rng, 150) for _ in range(20)] + EDGE
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = {}
+    code = {w: i for i, w in enumerate(sorted({w for t in [*texts, *items] if t for w in plain_words(t, lower=True)}))}
+    for key, text in enumerate(texts):
+        for item, words_of in enumerate(items):
+            whole = np.array([code[w] for w in plain_words(text or "", lower=True)])
+            own = np.array([code[w] for w in plain_words(words_of, lower=True)])
+            best = decontaminate.align(own, whole)[0] / (2 * len(own))
+            if best >= 0.5:
+                want[key, item] = best
+    assert {(key, item) for key, (item, _) in enumerate(leaks)} <= set(want)
+    got = {(r["key"], r["item"]): r["score"] for r in decontaminate.matches(documents(spark, texts), bench).collect()}
+    assert got == want
+
+
 def test_co_training(spark):
     rng = random.Random(8)
     rows, labels = [], []
