@@ -1,12 +1,13 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
+"""Toxicity by nearest labelled examples: exact cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words that labelled examples tie to toxicity by a likelihood ratio of the documents that hold them; a word
-counts no more often than it has distinct contexts (the word after it), so that copies of one text count once. Examples are a bounded sample of labelled rows, a stated number
-per class in order of a hash. Document frequencies of the terms are counted over all documents. The index holds the
-examples in blocks with the largest weight of each term; a search takes blocks in falling order of their bound and ends
-when no block can beat the k-th neighbour, so the neighbours are exact. Votes are weighted by cosine and by class, and
-calibrated on the examples themselves, each without itself. Broadcast: at most ``max_per_class * 2`` examples by
-``max_terms`` weights.
+Terms are all words of the examples. A term weighs its TF-IDF times 1 plus the root of G, the likelihood ratio of the
+examples of both classes that hold it, so that words tied to a class count most and none is dropped; in G a word counts
+no more often than it has distinct contexts (the word after it), so that copies of one text count once. Examples are a
+bounded sample of labelled rows, a stated number per class in order of a hash. Document frequencies of the terms are
+counted over all documents. The index holds each term's postings in blocks of examples with the largest weight of each;
+a search counts the blocks of highest bound, then all whose bound reaches the k-th neighbour so far, so the neighbours
+are exact. Votes are weighted by cosine and by class, and calibrated on the examples themselves, each without itself.
+Broadcast: the postings of at most ``max_per_class * 2`` examples and the hashes of their words.
 
 Null and empty texts, and texts without a term, get the calibrated rate of examples without a term. With no label of
 one class everything gets the base rate. Repeated rows are scored alike; ties between neighbours go to the smaller id.
@@ -14,8 +15,9 @@ one class everything gets the base rate. Repeated rows are scored alike; ties be
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from chronocohort.llm.words import PUNCTUATION, sliced, words
 
 BLOCK = 64
+FIRST_BLOCKS = 4
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -32,39 +35,72 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 5 == 0
 
 
+def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them, one span after the other."""
+    return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+
+
 @dataclass
 class Neighbours:
-    """TF-IDF weights of the examples in blocks, and each block's largest weight of each term."""
+    """Postings of each term in order of examples, cut into cells of a term and a block, with each cell's largest weight."""
 
-    weights: np.ndarray
-    bounds: np.ndarray
+    n_rows: int
+    row: np.ndarray
+    weight: np.ndarray
+    cell_first: np.ndarray
+    cell_block: np.ndarray
+    cell_top: np.ndarray
+    term_cell: np.ndarray
+
+    @staticmethod
+    def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int) -> Neighbours:
+        order = np.lexsort((row, term))
+        row, term, weight = row[order], term[order], weight[order]
+        new = np.ones(len(row), bool)
+        new[1:] = (term[1:] != term[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK)
+        first = np.flatnonzero(new)
+        top = np.maximum.reduceat(weight, first) if len(first) else weight
+        cells = np.searchsorted(term[first], np.arange(n_terms + 1))
+        return Neighbours(n_rows, row.astype(np.int32), weight, np.append(first, len(row)).astype(np.int32), (row[first] // BLOCK).astype(np.int32), top, cells.astype(np.int32))
 
     @staticmethod
     def of(weights: np.ndarray) -> Neighbours:
-        full = np.zeros((-(-len(weights) // BLOCK) * BLOCK, weights.shape[1]))
-        full[: len(weights)] = weights
-        return Neighbours(weights, full.reshape(-1, BLOCK, weights.shape[1]).max(axis=1) if len(weights) else full)
+        row, term = np.nonzero(weights)
+        return Neighbours.build(row, term, weights[row, term], *weights.shape)
 
     def nearest(self, terms: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and cosines of the k examples closest to a unit query, closest first, positive cosines only."""
-        bound = self.bounds[:, terms] @ query if len(self.bounds) else np.zeros(0)
+        size = self.term_cell[terms + 1] - self.term_cell[terms]
+        cell, asked = _spans(self.term_cell[terms], size), np.repeat(query, size)
+        block = self.cell_block[cell]
+        bound = np.bincount(block, self.cell_top[cell] * asked, minlength=-(-self.n_rows // BLOCK))
         rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(rows) == k and bound[b] < least - 1e-12):
-                break
-            own = self.weights[b * BLOCK : (b + 1) * BLOCK, terms] @ query
-            found = np.flatnonzero(own > 0)
-            rows, scores = np.append(rows, found + b * BLOCK), np.append(scores, own[found])
+        todo = np.zeros(len(bound), bool)
+        todo[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        done = np.zeros(len(bound), bool)
+        for _ in range(2):
+            some = np.flatnonzero((todo & (bound > 0))[block])
+            length = self.cell_first[cell[some] + 1] - self.cell_first[cell[some]]
+            posting = _spans(self.cell_first[cell[some]], length)
+            cosine = np.bincount(self.row[posting], self.weight[posting] * np.repeat(asked[some], length), minlength=self.n_rows)
+            found = np.flatnonzero(cosine > 0)
+            rows, scores = np.append(rows, found), np.append(scores, cosine[found])
+            if len(rows) > k:
+                close = scores >= np.partition(scores, -k)[-k] - 1e-11
+                rows, scores = rows[close], scores[close]
             order = np.lexsort((rows, -np.round(scores, 12)))[:k]
             rows, scores = rows[order], scores[order]
-            least = scores[-1] if len(scores) else 0.0
+            least = scores[-1] if len(rows) == k else 0.0
+            done |= todo
+            todo = ~done & (bound >= least - 1e-11)
         return rows, scores
 
 
 @dataclass
 class Model:
     terms: list[str] = field(default_factory=list)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    hashes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     index: Neighbours | None = None
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     toxic: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -75,7 +111,7 @@ class Model:
 
     def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """Uncalibrated share of toxic weight among the neighbours of a text with these terms."""
-        query = (1 + np.log(counts)) * self.idf[terms]
+        query = (1 + np.log(counts)) * self.scale[terms]
         rows, cosine = self.index.nearest(terms, query / np.sqrt((query**2).sum()), self.k + (skip >= 0))
         if skip >= 0:
             other = rows != skip
@@ -87,17 +123,15 @@ class Model:
         return float(np.interp(share, *self.steps)) if len(self.steps[0]) else self.without
 
 
-def _counted(batch_text, terms: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """Text number, term number and count of every term in every text of a batch."""
-    vocabulary = words(pa.array(terms, pa.string()), PUNCTUATION).hash
-    order = np.argsort(vocabulary)
+def _counted(batch_text, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Text number, term number and count of every term (by its place in sorted hashes) in every text of a batch."""
     w = words(batch_text, PUNCTUATION)
-    if not len(terms) or not len(w):
+    if not len(hashes) or not len(w):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), len(w.first) - 1
-    at = np.minimum(np.searchsorted(vocabulary[order], w.hash), len(order) - 1)
-    hit = np.flatnonzero(vocabulary[order][at] == w.hash)
-    code, count = np.unique(w.text_of_word()[hit] * len(terms) + order[at[hit]], return_counts=True)
-    return code // len(terms), code % len(terms), count, len(w.first) - 1
+    at = np.minimum(np.searchsorted(hashes, w.hash), len(hashes) - 1)
+    hit = np.flatnonzero(hashes[at] == w.hash)
+    code, count = np.unique(w.text_of_word()[hit] * len(hashes) + at[hit], return_counts=True)
+    return code // len(hashes), code % len(hashes), count, len(w.first) - 1
 
 
 def _rising(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,17 +146,15 @@ def _rising(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[n
     return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
-def _likelihood_ratio(a: Column, b: Column, n1: int, n0: int) -> Column:
-    """G of a word in a of n1 toxic and b of n0 other examples, 0 where it is not at least four times as common in the first."""
-    share = n1 / (n1 + n0)
-    both = a + b
-    half = lambda x, p: F.when(x > 0, x * F.log(x / (both * p))).otherwise(0.0)
-    return F.when(a * float(n0) >= 4.0 * b * n1, 2 * (half(a, share) + half(b, 1 - share))).otherwise(0.0)
+def _likelihood_ratio(a: np.ndarray, b: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """G of words in a of n1 toxic and b of n0 other examples."""
+    share, both = n1 / (n1 + n0), np.maximum(a + b, 1)
+    half = lambda x, p: x * np.log(np.maximum(x, 1) / (both * p))
+    return np.maximum(0.0, 2 * (half(a, share) + half(b, 1 - share)))
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = 4000, max_terms: int = 256,
-    least_ratio: float = 36.0, k: int = 15,
+    docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_per_class: int = 4000, k: int = 15,
 ) -> Model:
     """Learn from the rows of ``labels`` that are not held out."""
     known = labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").alias("y")).where("key is not null and y in (0, 1)").where(~held_out(F.col("key")))
@@ -138,55 +170,62 @@ def fit(
     toxic = F.col("y") == 1
     documents = pairs.select("key", "y", "w").distinct().groupBy("w").agg(F.count_if(toxic).alias("a"), F.count_if(~toxic).alias("b"))
     contexts = pairs.where(toxic).select("w", "next").distinct().groupBy("w").agg(F.count("*").alias("c"))
-    counted = documents.join(contexts, "w").select("w", F.least("a", "c").alias("a"), "b")
-    chosen = counted.select("w", _likelihood_ratio(F.col("a"), F.col("b"), min(totals[1], max_per_class), min(totals[0], max_per_class)).alias("g"))
-    terms = sorted(r["w"] for r in chosen.where(F.col("g") >= least_ratio).orderBy(F.desc("g"), "w").limit(max_terms).collect())
+    found = documents.join(contexts, "w", "left").select("w", F.least("a", "c").alias("a"), "b").toArrow()  # the words of the examples
+    hashes = words(found["w"], PUNCTUATION).hash
+    order = np.argsort(hashes)
+    terms, hashes = found["w"].take(order).to_pylist(), hashes[order]
+    a, b = (found[c].to_numpy()[order] for c in "ab")
+    strength = 1 + np.sqrt(_likelihood_ratio(a, b, min(totals[1], max_per_class), min(totals[0], max_per_class)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, texts = np.zeros(len(terms), np.int64), 0
+        total, texts = np.zeros(len(hashes), np.int64), 0
         for batch in sliced(batches, 0):
-            _, term, _, n = _counted(batch.column(0), terms)
-            total, texts = total + np.bincount(term, minlength=len(terms)), texts + n
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(terms))), pa.array(np.append(texts, total))], names=["term", "df"])
+            _, term, _, n = _counted(batch.column(0), hashes)
+            total, texts = total + np.bincount(term, minlength=len(total)), texts + n
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, held)), pa.array(np.append(texts, total[held]))], names=["term", "df"])
 
-    counts = source.select("text").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df")).collect()
+    counts = source.select("text").mapInArrow(frequencies, "term bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     df = np.zeros(len(terms) + 1)
-    for term, n in counts:
-        df[term + 1] = n
-    idf = np.log((1 + df[0]) / (1 + df[1:])) + 1
+    df[counts["term"].to_numpy() + 1] = counts["df"].to_numpy()
+    scale = (np.log((1 + df[0]) / (1 + df[1:])) + 1) * strength
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2):
-            owner, term, count, n = _counted(batch.column(2), terms)
+            owner, term, count, n = _counted(batch.column(2), hashes)
             cut = np.searchsorted(owner, np.arange(n + 1))
             lists = [[term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]] for i in range(n)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in lists], pa.list_(pa.int64())), pa.array([x[1] for x in lists], pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array([x[0] for x in lists], pa.list_(pa.int32())), pa.array([x[1] for x in lists], pa.list_(pa.int32()))],
                 names=["key", "y", "term", "count"],
             )
 
-    rows = sample.select("key", F.col("y").cast("bigint").alias("y"), "text").mapInArrow(vectors, "key bigint, y bigint, term array<bigint>, count array<bigint>").collect()
-    rows.sort(key=lambda r: (r["key"], r["y"], r["term"], r["count"]))
-    n = np.array([sum(r["y"] == y for r in rows) for y in (0, 1)])
+    got = sample.select("key", F.col("y").cast("bigint").alias("y"), "text").mapInArrow(vectors, "key bigint, y bigint, term array<int>, count array<int>").toArrow()
+    ids, label_of = got["key"].to_numpy(), got["y"].to_numpy()
+    held = [(np.asarray(t.values, np.int64), np.asarray(c.values, np.int64)) for t, c in zip(got["term"], got["count"])]
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], label_of[i], held[i][0].tobytes(), held[i][1].tobytes()))
+    n = np.array([(label_of == y).sum() for y in (0, 1)])
     class_weight = np.array([totals[0], totals[1]]) / np.maximum(n, 1)
-    some = [r for r in rows if r["term"]]
-    none = np.array([sum(r["y"] == y for r in rows if not r["term"]) for y in (0, 1)]) * class_weight
+    some = np.array([i for i in order if len(held[i][0])], np.int64)
+    none = np.array([sum(label_of[i] == y for i in order if not len(held[i][0])) for y in (0, 1)]) * class_weight
     without = float((none[1] + 0.5) / (none.sum() + 1)) if none.sum() else totals[1] / (totals[0] + totals[1])
-    weights = np.zeros((len(some), len(terms)))
-    for i, r in enumerate(some):
-        own = (1 + np.log(np.array(r["count"]))) * idf[r["term"]]
-        weights[i, r["term"]] = own / np.sqrt((own**2).sum())
-    toxic = np.array([float(r["y"]) for r in some])
-    model = Model(terms, idf, Neighbours.of(weights), np.array([r["key"] for r in some], np.int64), toxic, class_weight[toxic.astype(int)] if len(some) else toxic, without=without, k=k)
-    if some:
-        share = np.array([model.vote(np.array(r["term"]), np.array(r["count"]), skip=i)[0] for i, r in enumerate(some)])
+    toxic = label_of[some].astype(float)
+    model = Model(terms, hashes, scale, None, ids[some], toxic, class_weight[toxic.astype(int)], without=without, k=k)
+    if len(some):
+        row = np.repeat(np.arange(len(some)), [len(held[i][0]) for i in some])
+        term, count = (np.concatenate([held[i][part] for i in some]) for part in (0, 1))
+        weight = (1 + np.log(count)) * scale[term]
+        weight /= np.sqrt(np.bincount(row, weight**2))[row]
+        model.index = Neighbours.build(row, term, weight, len(some), len(terms))
+        share = np.array([model.vote(*held[i], skip=at)[0] for at, i in enumerate(some)])
         model.steps = _rising(share, toxic, model.weight)
     return model
 
 
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns key, score, evidence (ids of the nearest examples) and the input columns named by ``keep``, in struct row."""
-    remembered: dict[tuple, tuple[float, list[int]]] = {}
+    remembered: dict[bytes, tuple[float, list[int]]] = {}
+    model = replace(model, terms=[])  # the workers need the hashes only
     kept = keep or []
     once = text in kept and df.schema[text].dataType.simpleString() == "string"  # texts then go to the workers once
     others = [c for c in kept if not (once and c == text)]
@@ -202,12 +241,12 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
-            owner, term, count, n = _counted(batch.column(1), model.terms)
+            owner, term, count, n = _counted(batch.column(1), model.hashes)
             cut = np.searchsorted(owner, np.arange(n + 1))
             scores, evidence = np.full(n, model.without), [[] for _ in range(n)]
             for i in np.flatnonzero(np.diff(cut)) if model.index is not None else []:
                 own = slice(cut[i], cut[i + 1])
-                pattern = (term[own].tobytes(), count[own].tobytes())
+                pattern = hashlib.blake2b(term[own].tobytes() + count[own].tobytes(), digest_size=16).digest()
                 if pattern not in remembered:
                     if len(remembered) > 20_000:
                         remembered.clear()

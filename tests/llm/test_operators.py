@@ -254,6 +254,41 @@ def test_toxicity_finds_marked_words(spark):
     assert toxicity.fit(docs, marks.limit(0)).without == 0 and toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_of_rare_words_and_few_labels(spark):
+    rng = random.Random(5)
+    bad = [f"slur{i}" for i in range(150)]  # each in about four toxic examples
+    texts = [" ".join([*prose(rng, 30).split(), *(rng.sample(bad, 6) if i % 6 == 0 else [])]) for i in range(600)]
+    docs = documents(spark, texts + [prose(rng, 30) + " nextword"])
+    marks = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, marks)
+    seen = {r["doc_id"] for r in marks.where(~toxicity.held_out(F.col("doc_id"))).collect()}
+    assert set(model.terms) == {w for i in seen for w in texts[i].split()}
+    got = {r["key"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    held = [i for i in range(600) if i not in seen]
+    assert np.mean([(got[i] >= 0.5) == (i % 6 == 0) for i in held]) > 0.95
+    few = toxicity.fit(docs, marks.where("doc_id < 25"))
+    assert len(few.ids) and {i for i in few.ids if i % 6 == 0} == {i for i in seen if i < 25 and i % 6 == 0}
+    ranked = {r["key"]: r["evidence"] for r in toxicity.score(docs, few).collect()}
+    assert all(ranked[i] for i in range(600))
+
+
+def test_postings_are_searched_exactly():
+    rng = np.random.default_rng(2)
+    weights = rng.random((1500, 300)) * (rng.random((1500, 300)) < 0.05)
+    weights[700:760] = weights[700]
+    weights /= np.maximum(np.linalg.norm(weights, axis=1, keepdims=True), 1e-9)
+    index = toxicity.Neighbours.of(weights)
+    for size in (1, 5, 60):
+        for k in (1, 15, 2000):
+            terms = rng.choice(300, size, replace=False)
+            query = rng.random(size)
+            query /= np.linalg.norm(query)
+            rows, cosine = index.nearest(terms, query, k)
+            whole = np.round(weights[:, terms] @ query, 12)
+            want = [i for i in np.lexsort((np.arange(1500), -whole))[:k] if whole[i] > 0]
+            assert list(rows) == want and np.allclose(cosine, whole[want])
+
+
 def test_alignment_and_leaks(spark):
     assert decontaminate.align(np.array([1, 2, 3]), np.array([9, 1, 2, 3, 9])) == (6, 4)
     rng = random.Random(6)
