@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronocohort.llm import (
-    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, posting_lists, recompression, toxicity, url_models,
+    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, merkle, posting_lists, recompression, toxicity, url_models,
 )
+from chronocohort.llm.oracles import OP12_SQL
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -152,3 +153,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select(
         "doc_id", byte_bpe.n_tokens().alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query("op12_merkle_manifest", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = (F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 7 == 0) & F.col("n_chars").isNotNull()
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    found = merkle.manifest(merkle.leaves(docs, "doc_id", "lang", columns, {"n_chars": F.col("n_chars") + 1}, tampered))
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
