@@ -60,3 +60,31 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, high.h AS fol
 FROM leaf JOIN high USING (id) JOIN sub ON sub.lang IS NOT DISTINCT FROM leaf.lang, (SELECT h AS root FROM top WHERE n = 1)
 WHERE high.n = 1
 """
+
+_CHANGED = crc32_sql("doc_id::VARCHAR || ':' || run")
+
+OP11_SQL = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 5 GROUP BY 1, 2),
+marked AS (SELECT run, n, {_CHANGED} AS h FROM own),
+cut AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INTEGER) || substr(run, (h % length(run))::INTEGER + 2) ELSE run END AS word, n FROM marked),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 5 GROUP BY 1 HAVING sum(n) >= 3),
+gone AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS short FROM v, unnest(range(1, length(word) + 1)) AS t(p)),
+pairs AS (
+  SELECT DISTINCT a.word AS a, a.n AS na, b.word AS b, b.n AS nb FROM gone a JOIN gone b ON a.short = b.short AND a.p = b.p AND a.word <> b.word
+  UNION ALL
+  SELECT DISTINCT a.word, a.n, b.word, b.n FROM gone a JOIN v b ON a.short = b.word
+  UNION ALL
+  SELECT DISTINCT b.word, b.n, a.word, a.n FROM gone a JOIN v b ON a.short = b.word),
+best AS (SELECT a AS word, na AS n, count(*) AS n_near, arg_min(b, (-nb, b)) AS b, max(nb) AS nb FROM pairs GROUP BY 1, 2),
+form AS (SELECT word, n_near, CASE WHEN nb >= 2 * n THEN b END AS form, CASE WHEN nb >= 2 * n THEN nb END AS form_n FROM best),
+chain AS (
+  SELECT word, word AS root FROM v
+  UNION ALL
+  SELECT chain.word, form.form FROM chain JOIN form ON form.word = chain.root AND form.form IS NOT NULL)
+SELECT v.word, form.form, chain.root, v.n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM v LEFT JOIN form ON form.word = v.word JOIN chain ON chain.word = v.word
+WHERE NOT EXISTS (SELECT 1 FROM form f WHERE f.word = chain.root AND f.form IS NOT NULL)
+"""

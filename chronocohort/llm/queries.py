@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronocohort.llm import (
-    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, merkle, posting_lists, recompression, toxicity, url_models,
+    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, merkle, posting_lists, recompression, spelling, toxicity, url_models,
 )
-from chronocohort.llm.oracles import OP12_SQL
+from chronocohort.llm.oracles import OP11_SQL, OP12_SQL
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
 
 # The rules that op1 is asked to apply.
@@ -155,6 +155,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_spelling_variants", OP11_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, folder, "documents"), "doc_id", "text", damage=97))
+
+
 @query("op12_merkle_manifest", OP12_SQL)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
