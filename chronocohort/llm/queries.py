@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from chronocohort.llm import (
-    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, merkle, posting_lists, recompression, spelling, toxicity, url_models,
+    byte_bpe, cotraining, decontaminate, jaccard, licenses, merge_counts, merkle, odd_sketches, posting_lists, recompression, spelling, toxicity, url_models,
 )
 from chronocohort.llm.oracles import OP11_SQL, OP12_SQL
 from chronocohort.llm.registry import ORACLES, QUERIES, query, table, vocabulary  # noqa: F401
@@ -38,20 +38,27 @@ FROM kept
 
 LOWERED = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
 
-OP4_SQL = rf"""
+
+def jaccard_sql(size: int, percent: int) -> str:
+    """doc_id, n_shingles and component_id of documents linked by the Jaccard similarity of their word shingles."""
+    places, last = f"range(1, len(words) - {size - 2})", f"p + {size - 1}"
+    return rf"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex({LOWERED}, '[ \x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
 s AS (
-  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda p: array_to_string(list_slice(words, p, p + 4), ' '))
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= {size} THEN list_transform({places}, lambda p: array_to_string(list_slice(words, p, {last}), ' '))
                                       WHEN len(words) > 0 THEN [array_to_string(words, ' ')] END) AS shingle FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 both_have AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both_have JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+link AS (SELECT a, b FROM both_have JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= {percent} * (na.n + nb.n - c)),
 reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
 SELECT w.doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(min(reach.b), w.doc_id)) AS component_id
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id GROUP BY w.doc_id
 """
 
+
+OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(2, 80)})"
+
 _WORDS6 = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 _NOTICES = ", ".join(f"('{label}', {licenses.tokens_of(text)})" for label, text in licenses.TEMPLATES)
 _PLACES = ", ".join(
@@ -102,7 +109,7 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select(F.col("key").alias("doc_id"), "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
 
 
-@query("op4_ngram_jaccard", OP4_SQL)
+@query("op4_ngram_jaccard", jaccard_sql(5, 75))
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     joined = jaccard.join(table(spark, folder, "documents"))
     return joined.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
@@ -167,3 +174,9 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     found = merkle.manifest(merkle.leaves(docs, "doc_id", "lang", columns, {"n_chars": F.col("n_chars") + 1}, tampered))
     return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query("op13_odd_sketches", OP13_SQL)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    found = odd_sketches.dedup(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), "kept")
