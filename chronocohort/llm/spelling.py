@@ -30,7 +30,7 @@ from chronocohort.llm.words import mix
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RUN = "([A-Za-zÀ-ÿ]+)"
 
-SLICE = 1 << 20
+SLICE = 1 << 14
 _WORDS_OF_BLOCK = 8
 _BASE = np.uint64(0x9FB21C651E98DF25)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
