@@ -9,56 +9,124 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 
-def _interpolator(key: str, params: dict, draws: int, jitter: float, seed: int):
-    """The per-entity function sent to the workers; it carries everything it needs."""
+SEGMENT = 256
+
+
+def _process(params: dict, jitter: float):
+    """Filter and smoother of one entity's series, as functions the workers carry with them.
+
+    Every term of the covariance, a feature covariance times ``exp(-|dt|/length)``, is a stationary first-order process,
+    so the series is a linear system: a state of one number per term and feature that decays between times. One pass
+    forwards and one backwards give what a matrix of all times would, in time linear in the times. Filtered states are
+    kept at the head of every segment only and filtered again inside it, so memory is linear in the segments.
+    """
+    import numpy as np
+
+    terms = [(np.asarray(params[name], float), float(params[f"{name}_length"])) for name in ("fast", "slow")]
+    terms = [term for term in terms if term[0].any()]
+    noise = np.asarray(params["noise"], float) + jitter
+    n, d = len(noise), len(noise) * len(terms)
+    start = np.zeros((d, d))
+    for i, (cov, _) in enumerate(terms):
+        start[i * n : i * n + n, i * n : i * n + n] = cov
+    rates = np.repeat([1 / length for _, length in terms], n)
+    read = np.tile(np.eye(n), len(terms))  # features from the state
+
+    def solve(a, b):
+        try:
+            return np.linalg.solve(a, b)
+        except np.linalg.LinAlgError:
+            return np.linalg.pinv(a, hermitian=True) @ b
+
+    def root(cov):
+        value, vector = np.linalg.eigh((cov + cov.T) / 2)
+        return vector * np.sqrt(np.maximum(value, 0.0))
+
+    def series(t, v, y, grid, draws, rng):
+        """Means and variances (grid x features) and draws (draws x grid x features) given the observations."""
+        order = np.lexsort((y, v, t))
+        t, v, y = t[order], v[order], y[order]
+        times = np.unique(np.concatenate([t, grid]))
+        first = np.searchsorted(t, times)
+        last = np.append(first[1:], len(t))
+        wanted = np.searchsorted(grid, times), np.searchsorted(grid, times, side="right")
+
+        def predicted(k, mean, cov):
+            if k == 0:
+                return np.zeros(d), start, np.zeros(d)
+            decay = np.exp(-(times[k] - times[k - 1]) * rates)
+            both = np.outer(decay, decay)
+            return decay * mean, both * cov + (1 - both) * start, decay
+
+        def filtered(k, mean, cov):
+            mean, cov, _ = predicted(k, mean, cov)
+            for i in range(first[k], last[k]):
+                gain = cov @ read[v[i]]
+                spread = read[v[i]] @ gain + noise[v[i]]
+                mean = mean + gain * ((y[i] - read[v[i]] @ mean) / spread)
+                cov = cov - np.outer(gain, gain / spread)
+            return mean, cov
+
+        heads, state = [], (np.zeros(d), start)
+        for k in range(len(times)):
+            if k % SEGMENT == 0:
+                heads.append(state)
+            state = filtered(k, *state)
+        means, variances = np.empty((len(grid), n)), np.empty((len(grid), n))
+        drawn = np.empty((draws, len(grid), n))
+        after = None
+        for head in range(len(heads) - 1, -1, -1):
+            states, state = [], heads[head]
+            for k in range(head * SEGMENT, min(len(times), (head + 1) * SEGMENT)):
+                state = filtered(k, *state)
+                states.append(state)
+            for k in range(head * SEGMENT + len(states) - 1, -1 + head * SEGMENT, -1):
+                mean, cov = states[k - head * SEGMENT]
+                if after is None:
+                    smooth, spread = mean, cov
+                    paths = mean[:, None] + root(cov) @ rng.standard_normal((d, draws)) if draws else None
+                else:
+                    ahead, ahead_cov, decay = predicted(k + 1, mean, cov)
+                    gain = solve(ahead_cov, decay[:, None] * cov).T
+                    smooth, spread = mean + gain @ (after[0] - ahead), cov + gain @ (after[1] - ahead_cov) @ gain.T
+                    if draws:
+                        rest = root(cov - gain @ ahead_cov @ gain.T)
+                        paths = mean[:, None] + gain @ (after[2] - ahead[:, None]) + rest @ rng.standard_normal((d, draws))
+                after = (smooth, spread, paths if draws else None)
+                own = slice(wanted[0][k], wanted[1][k])
+                if own.start < own.stop:
+                    means[own] = read @ smooth
+                    variances[own] = np.einsum("ij,jk,ik->i", read, spread, read)
+                    if draws:
+                        drawn[:, own] = (read @ paths).T[:, None, :]
+        return means, variances, drawn
+
+    return series
+
+
+def _per_entity(key: str, params: dict, draws: int, jitter: float, seed: int, marginals: bool):
     import numpy as np
     import pandas as pd
 
-    fast, slow = np.asarray(params["fast"], float), np.asarray(params["slow"], float)
-    fast_len, slow_len = float(params["fast_length"]), float(params["slow_length"])
-    noise = np.asarray(params["noise"], float)
-    n_vars = len(noise)
-
-    def covariance(t1, v1, t2, v2):
-        gap = np.abs(t1[:, None] - t2[None, :])
-        return fast[np.ix_(v1, v2)] * np.exp(-gap / fast_len) + slow[np.ix_(v1, v2)] * np.exp(-gap / slow_len)
-
-    def factor(matrix):
-        extra = 0.0
-        for attempt in range(4):
-            try:
-                return np.linalg.cholesky(matrix + extra * np.eye(len(matrix)))
-            except np.linalg.LinAlgError:
-                if attempt == 3:
-                    raise
-                extra += 10 * jitter
-
-    def interpolate(pdf: pd.DataFrame) -> pd.DataFrame:
+    series = _process(params, jitter)
+    n_vars = len(params["noise"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         entity = pdf[key].iloc[0]
-        obs = pdf[pdf["var_id"].notna()].sort_values(["var_id", "t"])
-        grid = np.sort(pdf.loc[pdf["var_id"].isna(), "t"].to_numpy(float))
-        t, v = obs["t"].to_numpy(float), obs["var_id"].to_numpy(int)
-        y = obs["value"].to_numpy(float)
-        gt, gv = np.tile(grid, n_vars), np.repeat(np.arange(n_vars), len(grid))
-        prior = covariance(t, v, t, v) + np.diag(noise[v]) + jitter * np.eye(len(t))
-        cross = covariance(gt, gv, t, v)
-        lower = factor(prior)
-        half = np.linalg.solve(lower, cross.T)
-        mean = half.T @ np.linalg.solve(lower, y)
-        frames = [pd.DataFrame({"sample": 0, "t": gt, "var_id": gv, "value": mean})]
-        if draws:
-            post = covariance(gt, gv, gt, gv) - half.T @ half + jitter * np.eye(len(gt))
-            rng = np.random.default_rng([seed, abs(int(entity))])
-            noise_draws = factor(post) @ rng.standard_normal((len(gt), draws))
-            for d in range(draws):
-                frames.append(
-                    pd.DataFrame({"sample": d + 1, "t": gt, "var_id": gv, "value": mean + noise_draws[:, d]})
-                )
-        out = pd.concat(frames, ignore_index=True)
-        out.insert(0, key, entity)
-        return out.astype({key: "int64", "sample": "int32", "t": "float64", "var_id": "int32"})
-
-    return interpolate
+        seen = pdf["var_id"].notna()
+        obs, grid = pdf[seen], np.sort(pdf.loc[~seen, "t"].to_numpy(float))
+        rng = np.random.default_rng([seed, abs(int(entity))])
+        mean, variance, drawn = series(obs["t"].to_numpy(float), obs["var_id"].to_numpy(int), obs["value"].to_numpy(float), grid, draws, rng)
+        hour, var = np.repeat(grid, n_vars), np.tile(np.arange(n_vars, dtype=np.int32), len(grid))
+        if marginals:
+            return pd.DataFrame({key: np.int64(entity), "t": hour, "var_id": var, "mean": mean.ravel(), "variance": variance.ravel()})
+        # The draws of the dense form carry the jitter on their diagonal.
+        drawn = drawn + np.sqrt(jitter) * rng.standard_normal(drawn.shape)
+        value = np.concatenate([mean.ravel(), drawn.ravel()])
+        sample = np.repeat(np.arange(draws + 1, dtype=np.int32), mean.size)
+        return pd.DataFrame({key: np.int64(entity), "sample": sample, "t": np.tile(hour, draws + 1), "var_id": np.tile(var, draws + 1), "value": value})
+
+    return run
 
 
 def starting_params(n_vars: int, n_fast: int, noise_log: float = -2.0, fast_length: float = 0.5, slow_length: float = 10.0) -> dict:
@@ -78,6 +146,26 @@ def starting_params(n_vars: int, n_fast: int, noise_log: float = -2.0, fast_leng
     }
 
 
+def _grouped(long: DataFrame, grid: DataFrame, key: str, t: str, var: str, value: str, grid_time: str):
+    """Observations and grid rows of the entities that have observations, one group per entity."""
+    observed = long.select(
+        F.col(key).cast("bigint"),
+        F.col(t).cast("double").alias("t"),
+        F.col(var).cast("int").alias("var_id"),
+        F.col(value).cast("double").alias("value"),
+    ).where(f"{key} is not null and t is not null and var_id is not null and value is not null")
+    targets = grid.join(observed.select(key).distinct(), key, "left_semi").select(
+        F.col(key).cast("bigint"),
+        F.col(grid_time).cast("double").alias("t"),
+        F.lit(None).cast("int").alias("var_id"),
+        F.lit(None).cast("double").alias("value"),
+    )
+    # The rows are few and the work per entity is large, so the partition count is set rather than
+    # left to be merged by size.
+    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return observed.unionByName(targets).repartition(parts, key).groupBy(key)
+
+
 def gp_interpolate(
     long: DataFrame,
     grid: DataFrame,
@@ -92,42 +180,54 @@ def gp_interpolate(
     seed: int = 11,
 ) -> DataFrame:
     """Multitask Gaussian-process interpolation of each entity onto its grid:
-    ``(key, sample, t, var_id, value)``, sample 0 being the posterior mean and 1..n the draws.
+    ``(key, sample, t, var_id, value)``, sample 0 being the posterior mean and 1..n joint draws.
 
     The covariance is a sum of two terms, each a feature covariance times ``exp(-|dt|/length)``, plus
-    noise per feature. ``long`` must hold length-limited series (see ``tail_n``): the cost of an
-    entity grows with the cube of its observations. Grid rows of entities without observations give
-    no output. A matrix that is not positive definite is retried with a larger diagonal.
+    noise per feature. Mean and draws come from a filter and a backward pass, so an entity costs time
+    linear in its observations and grid hours. Draws are joint over all hours and features, and repeat
+    with the seed. Grid rows of entities without observations give no output; incomplete rows are no
+    observations.
     """
-    observed = long.select(
-        F.col(key).cast("bigint"),
-        F.col(t).cast("double").alias("t"),
-        F.col(var).cast("int").alias("var_id"),
-        F.col(value).cast("double").alias("value"),
-    )
-    targets = grid.join(observed.select(key).distinct(), key, "left_semi").select(
-        F.col(key).cast("bigint"),
-        F.col(grid_time).cast("double").alias("t"),
-        F.lit(None).cast("int").alias("var_id"),
-        F.lit(None).cast("double").alias("value"),
-    )
     schema = f"{key} bigint, sample int, t double, var_id int, value double"
-    # The rows are few and the work per entity is large, so the partition count is set rather than
-    # left to be merged by size.
-    parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        observed.unionByName(targets)
-        .repartition(parts, key)
-        .groupBy(key)
-        .applyInPandas(_interpolator(key, params, draws, jitter, seed), schema)
-    )
+    return _grouped(long, grid, key, t, var, value, grid_time).applyInPandas(_per_entity(key, params, draws, jitter, seed, False), schema)
 
 
-def logistic_baseline(train: DataFrame, rows: DataFrame, features: str, label: str, l2: float = 0.01, iterations: int = 50) -> DataFrame:
-    """Scores of an L2-regularised logistic regression on array features, fitted by Spark ML."""
-    model = LogisticRegression(
+def gp_marginals(
+    long: DataFrame, grid: DataFrame, key: str, t: str, var: str, value: str, grid_time: str, params: dict, jitter: float = 0.001
+) -> DataFrame:
+    """Posterior mean and variance of each feature at each grid hour: ``(key, t, var_id, mean, variance)``."""
+    schema = f"{key} bigint, t double, var_id int, mean double, variance double"
+    return _grouped(long, grid, key, t, var, value, grid_time).applyInPandas(_per_entity(key, params, 0, jitter, 0, True), schema)
+
+
+def _logistic(train: DataFrame, features: str, label: str, l2: float, iterations: int):
+    return LogisticRegression(
         featuresCol="_x", labelCol="_y", probabilityCol="_p", predictionCol="_c", rawPredictionCol="_raw",
-        regParam=l2, elasticNetParam=0.0, maxIter=iterations,
+        regParam=l2, elasticNetParam=0.0, maxIter=iterations, tol=1e-10,
     ).fit(train.select(array_to_vector(features).alias("_x"), F.col(label).cast("double").alias("_y")))
+
+
+def logistic_gradient(train: DataFrame, features: str, label: str, l2: float = 0.01, iterations: int = 200) -> DataFrame:
+    """Gradient of the penalised mean log loss at the fitted weights, one row per feature (-1: the intercept).
+
+    Zero but for rounding if the fit is the optimum. The penalty is on weights of standardised features, the intercept
+    has none; a feature that does not vary has weight 0 and is left out.
+    """
+    model = _logistic(train, features, label, l2, iterations)
+    weights = [float(w) for w in model.coefficients]
+    dot = F.aggregate(F.zip_with(features, F.array(*[F.lit(w) for w in weights]), lambda x, w: x * w), F.lit(0.0), lambda a, b: a + b)
+    miss = 1 / (1 + F.exp(-(dot + F.lit(float(model.intercept))))) - F.col(label).cast("double")
+    with_one = F.concat(F.array(F.lit(1.0)), F.col(features))
+    rows = train.select(miss.alias("miss"), F.posexplode(with_one).alias("i", "x"))
+    sums = rows.groupBy((F.col("i") - 1).alias("feature")).agg(F.avg(F.col("miss") * F.col("x")).alias("slope"), F.var_samp("x").alias("var"))
+    by_feature = F.array(*[F.lit(w) for w in weights])
+    weight = F.when(F.col("feature") < 0, F.lit(0.0)).otherwise(F.element_at(by_feature, (F.greatest("feature", F.lit(0)) + 1).cast("int")))
+    varies = (F.col("feature") < 0) | (F.col("var") > 0)
+    return sums.where(varies).select("feature", (F.col("slope") + F.lit(l2) * weight * F.col("var")).alias("gradient"), F.when(F.col("feature") < 0, F.lit(1.0)).otherwise(F.sqrt("var")).alias("scale"))
+
+
+def logistic_baseline(train: DataFrame, rows: DataFrame, features: str, label: str, l2: float = 0.01, iterations: int = 50) -> DataFrame:
+    """Scores of an L2-regularised logistic regression on array features, fitted by Spark ML."""
+    model = _logistic(train, features, label, l2, iterations)
     scored = model.transform(rows.withColumn("_x", array_to_vector(features)))
     return scored.withColumn("score", vector_to_array("_p")[1]).drop("_x", "_p", "_c", "_raw")

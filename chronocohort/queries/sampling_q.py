@@ -135,12 +135,63 @@ def m_gp_interpolate(spark, d):
     return out.withColumn("value", F.round("value", 6))
 
 
-@query("m_logreg")
-def m_logreg(spark, d):
-    """Logistic scores of all users from the last 25 hours of their grid, trained on the train split."""
+# A scalar filter forwards and a smoother backwards, row by row; rows of one moment are steps without decay.
+OU_SQL = """
+WITH RECURSIVE o AS (
+  SELECT user_id, epoch_us(ts) / 3.6e9 - 473352.0 AS t, (value - 50) / 50 AS y FROM events),
+g AS (SELECT user_id, unnest(range(0, 720, 6))::DOUBLE AS t, NULL::DOUBLE AS y FROM (SELECT DISTINCT user_id FROM events)),
+s AS (
+  SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY user_id) AS n, exp(-(t - lag(t) OVER w) / 10) AS a
+  FROM (SELECT * FROM o UNION ALL SELECT * FROM g) WINDOW w AS (PARTITION BY user_id ORDER BY t, y)),
+f AS (
+  SELECT user_id, k, 0.0::DOUBLE AS ahead, 1.0::DOUBLE AS wide,
+         CASE WHEN y IS NULL THEN 0.0 ELSE y / 1.201 END AS m, CASE WHEN y IS NULL THEN 1.0 ELSE 1 - 1 / 1.201 END AS p FROM s WHERE k = 1
+  UNION ALL
+  SELECT x.user_id, x.k, x.ahead, x.wide, CASE WHEN x.y IS NULL THEN x.ahead ELSE x.ahead + x.wide / (x.wide + 0.201) * (x.y - x.ahead) END,
+         CASE WHEN x.y IS NULL THEN x.wide ELSE x.wide - x.wide * x.wide / (x.wide + 0.201) END
+  FROM (SELECT s.user_id, s.k, s.y, s.a * f.m AS ahead, s.a * s.a * f.p + 1 - s.a * s.a AS wide FROM f JOIN s ON s.user_id = f.user_id AND s.k = f.k + 1) AS x),
+step AS (
+  SELECT s.user_id, s.k, s.n, s.t, s.y, f.m, f.p, lead(s.a) OVER w AS a, lead(f.ahead) OVER w AS ahead, lead(f.wide) OVER w AS wide
+  FROM s JOIN f ON f.user_id = s.user_id AND f.k = s.k WINDOW w AS (PARTITION BY s.user_id ORDER BY s.k)),
+b AS (
+  SELECT user_id, k, t, y, m AS mean, p AS variance FROM step WHERE k = n
+  UNION ALL
+  SELECT x.user_id, x.k, x.t, x.y, x.m + x.p * x.a / x.wide * (b.mean - x.ahead), x.p + (x.p * x.a / x.wide) * (x.p * x.a / x.wide) * (b.variance - x.wide)
+  FROM b JOIN step AS x ON x.user_id = b.user_id AND x.k = b.k - 1)
+SELECT user_id, t, round(mean, 6) + 0.0 AS mean, round(variance, 6) AS variance FROM b WHERE y IS NULL
+"""
+
+
+@query("m_gp_mean_ou", OU_SQL)
+def m_gp_mean_ou(spark, d):
+    """Posterior mean and variance of every user's readings, as one feature, every six hours of the month."""
+    ev = table(spark, d, "events")
+    hour = T.hours_between(F.lit("2024-01-01").cast("timestamp"), "ts")
+    long = ev.select("user_id", hour.alias("t"), F.lit(0).alias("var_id"), ((F.col("value") - 50) / 50).alias("value"))
+    grid = ev.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(714), F.lit(6))).alias("grid_time"))
+    params = {"fast": [[0.0]], "slow": [[1.0]], "noise": [0.2], "fast_length": 0.5, "slow_length": 10.0}
+    out = M.gp_marginals(long, grid, "user_id", "t", "var_id", "value", "grid_time", params)
+    return out.select("user_id", "t", (F.round("mean", 6) + 0.0).alias("mean"), F.round("variance", 6).alias("variance"))
+
+
+def labelled_vectors(spark, d):
+    """Last 25 hours of each user's grid as one vector, and whether a large error occurs."""
     ev = table(spark, d, "events")
     y = ev.groupBy("user_id").agg(F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 150), 1).otherwise(0)).alias("y"))
     grid = aligned(spark, d).withColumns({"top": F.col("top") / 100, "cents": F.col("cents") / 10000})
-    rows = R.flatten_vector(grid, "user_id", "position", ["top", "cents"]).join(y, "user_id")
+    return R.flatten_vector(grid, "user_id", "position", ["top", "cents"]).join(y, "user_id")
+
+
+@query("m_logreg_gradient", "SELECT i::INTEGER AS feature, 0.0::DOUBLE AS gradient FROM range(-1, 50) AS t(i)")
+def m_logreg_gradient(spark, d):
+    """Gradient of the baseline's penalised loss at its fitted weights: zero to four places, feature by feature."""
+    train = labelled_vectors(spark, d).join(user_split(spark, d).where("split = 'train'"), "user_id", "left_semi")
+    return M.logistic_gradient(train, "vector", "y").select("feature", F.abs(F.round(F.col("gradient") / F.col("scale"), 4)).alias("gradient"))
+
+
+@query("m_logreg")
+def m_logreg(spark, d):
+    """Logistic scores of all users from the last 25 hours of their grid, trained on the train split."""
+    rows = labelled_vectors(spark, d)
     train = rows.join(user_split(spark, d).where("split = 'train'"), "user_id", "left_semi")
     return M.logistic_baseline(train, rows, "vector", "y").select("user_id", "y", F.round("score", 6).alias("score"))
