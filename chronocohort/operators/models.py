@@ -211,7 +211,7 @@ def logistic_gradient(train: DataFrame, features: str, label: str, l2: float = 0
     """Gradient of the penalised mean log loss at the fitted weights, one row per feature (-1: the intercept).
 
     Zero but for rounding if the fit is the optimum. The penalty is on weights of standardised features, the intercept
-    has none; a feature that does not vary has weight 0 and is left out.
+    has none. A feature that does not vary is held at weight 0, so its gradient counts as 0; ``scale`` is null there.
     """
     model = _logistic(train, features, label, l2, iterations)
     weights = [float(w) for w in model.coefficients]
@@ -223,7 +223,9 @@ def logistic_gradient(train: DataFrame, features: str, label: str, l2: float = 0
     by_feature = F.array(*[F.lit(w) for w in weights])
     weight = F.when(F.col("feature") < 0, F.lit(0.0)).otherwise(F.element_at(by_feature, (F.greatest("feature", F.lit(0)) + 1).cast("int")))
     varies = (F.col("feature") < 0) | (F.col("var") > 0)
-    return sums.where(varies).select("feature", (F.col("slope") + F.lit(l2) * weight * F.col("var")).alias("gradient"), F.when(F.col("feature") < 0, F.lit(1.0)).otherwise(F.sqrt("var")).alias("scale"))
+    slope = F.when(varies, F.col("slope") + F.lit(l2) * weight * F.col("var")).otherwise(0.0)
+    scale = F.when(F.col("feature") < 0, F.lit(1.0)).when(varies, F.sqrt("var"))
+    return sums.select("feature", slope.alias("gradient"), scale.alias("scale"))
 
 
 def logistic_baseline(train: DataFrame, rows: DataFrame, features: str, label: str, l2: float = 0.01, iterations: int = 50) -> DataFrame:

@@ -186,7 +186,7 @@ def labelled_vectors(spark, d):
 def m_logreg_gradient(spark, d):
     """Gradient of the baseline's penalised loss at its fitted weights: zero to four places, feature by feature."""
     train = labelled_vectors(spark, d).join(user_split(spark, d).where("split = 'train'"), "user_id", "left_semi")
-    return M.logistic_gradient(train, "vector", "y").select("feature", F.abs(F.round(F.col("gradient") / F.col("scale"), 4)).alias("gradient"))
+    return M.logistic_gradient(train, "vector", "y").select("feature", F.abs(F.round(F.col("gradient") / F.coalesce("scale", F.lit(1.0)), 4)).alias("gradient"))
 
 
 @query("m_logreg")
