@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronocohort.session import durable
+
 # Rows of one key that a single task may hold. Beyond it the key is split.
 MAX_GROUP_ROWS = 1_000_000
 
@@ -16,12 +18,11 @@ def hot_keys(df: DataFrame, key: str, max_group: int = MAX_GROUP_ROWS) -> dict:
     return {row[0]: row[1] for row in counts.collect()}
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP_ROWS) -> bool:
-    """Whether any group of ``keys`` is larger than one task should hold."""
-    if not keys:
-        return True
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return (largest or 0) > max_group
+def large_groups(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP_ROWS) -> DataFrame | None:
+    """The groups with more than ``max_group`` rows as a stored table (``_h0``, ``_h1``, ...), or None if there are none."""
+    counts = df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("_rows"))
+    large = durable(counts.where(F.col("_rows") > max_group))
+    return None if large.isEmpty() else large
 
 
 class GroupSizes:

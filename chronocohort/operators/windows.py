@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronocohort.functions.timefn import hours, hours_between, micros_between, MICROS_PER_HOUR
-from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.operators.skew import MAX_GROUP_ROWS, has_hot_group
+from chronocohort.operators.ordered import RANGE, KeyedOrder, carried, labelled
+from chronocohort.operators.skew import MAX_GROUP_ROWS
 
 
 def first_row(df: DataFrame, keys: list[str], order: Sequence[str]) -> DataFrame:
@@ -137,28 +137,57 @@ def sessionize(
     An episode needs an ``on`` row and two distinct times. Rows of one time follow each other in the
     order of the ``tie`` columns, which must make (key, ``t``, tie) unique, and share their episode.
     """
-    split = sizing.get("split")
-    if split is None:
-        split = has_hot_group(df, [key], sizing.get("max_group", MAX_GROUP_ROWS))
-    in_state = F.when((F.col(on) == 1) | (F.col(end) == 1), 1).otherwise(0)
-    rows = lag_within_state(df, key, F.col(on), t, F.col(t), "_on_before", tie, split=split)
-    rows = lag_within_state(rows, key, in_state, t, F.col(end), "_end_before", tie, split=split)
-    waited = micros_between(F.col("_on_before"), F.col(t)) > gap * MICROS_PER_HOUR
-    fresh = (
-        F.when(F.col("_end_before") == 1, 1)
-        .when((F.col(on) == 0) & (F.col(off) == 1), 1)
-        .when((F.col(on) == 1) & waited, 1)
-        .otherwise(0)
-    )
-    rows = rows.withColumn("_new", fresh)
-    rows = KeyedOrder(rows, [key], [t], split=split).running("sum", F.col("_new"), "_session").rows()
+    max_group = sizing.get("max_group", MAX_GROUP_ROWS)
+    in_state = (F.col(on) == 1) | (F.col(end) == 1)
+    rows, split = labelled(df, [key], [t], max_group, sizing.get("split"))
+    own = [key, RANGE] if split else [key]
+    w = Window.partitionBy(*own).orderBy(t, *tie)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    on_time, end_mark = F.when(F.col(on) == 1, F.col(t)), F.when(in_state, F.coalesce(F.col(end), F.lit(0)))
+    # What a row follows within its range: the last "on" time, and the end marker of the last row in the state.
+    seen = {"_on": F.last(on_time, ignorenulls=True).over(earlier), "_end": F.last(end_mark, ignorenulls=True).over(earlier)}
+
+    def fresh(on_before: Column, end_before: Column) -> Column:
+        waited = micros_between(on_before, F.col(t)) > gap * MICROS_PER_HOUR
+        ended = in_state & (end_before == 1)
+        return F.when(ended | ((F.col(on) == 0) & (F.col(off) == 1)) | ((F.col(on) == 1) & waited), 1).otherwise(0)
+
+    rows = rows.withColumns(seen)
+    if split:
+        # A range maps the state that enters it to the one that leaves it and to the sessions it begins; only its first
+        # "on" row and its first row in the state can depend on what enters. Maps of earlier ranges are composed.
+        alone = F.struct(t, *tie)
+        begun = fresh(F.col("_on"), F.col("_end"))
+        first = lambda state, what: F.min_by(what, F.when(state, alone))
+        parts = {
+            "_last_on": F.max(on_time), "_last_end": F.max_by(end_mark, F.when(in_state, alone)), "_begun": F.sum(begun),
+            "_on_at": first(F.col(on) == 1, F.col(t)), "_on_new": first(F.col(on) == 1, begun),
+            "_in_new": first(in_state, begun), "_same": F.min(F.when(F.col(on) == 1, alone)) == F.min(F.when(in_state, alone)),
+        }
+
+        def entering(before: Window) -> dict[str, Column]:
+            last = lambda name: F.last(name, ignorenulls=True).over(before)
+            return {"_on_in": last("_last_on"), "_end_in": last("_last_end")}
+
+        def more(before: Window) -> dict[str, Column]:
+            ended = F.coalesce((F.col("_end_in") == 1) & (F.col("_in_new") == 0), F.lit(False))
+            waited = micros_between(F.col("_on_in"), F.col("_on_at")) > gap * MICROS_PER_HOUR
+            waited = F.coalesce(waited & (F.col("_on_new") == 0) & ~(ended & F.col("_same")), F.lit(False))
+            return {"_more": ended.cast("int") + waited.cast("int")}
+
+        begun_in = lambda before: {"_begun_in": F.sum(F.col("_begun") + F.col("_more")).over(before)}
+        rows = carried(rows, [key], parts, entering, more, begun_in)
+        rows = rows.withColumns({"_on": F.coalesce("_on", "_on_in"), "_end": F.coalesce("_end", "_end_in")})
+    rows = rows.withColumn("_new", fresh(F.col("_on"), F.col("_end")))
+    session = F.sum("_new").over(Window.partitionBy(*own).orderBy(t))
+    rows = rows.withColumn("_session", session + F.coalesce("_begun_in", F.lit(0)) if split else session)
     episodes = (
-        rows.where(in_state == 1)
+        rows.where(in_state)
         .groupBy(key, "_session")
         .agg(F.min(t).alias("start"), F.max(t).alias("finish"), F.max(on).alias("_any_on"))
         .where((F.col("start") != F.col("finish")) & (F.col("_any_on") == 1))
     )
-    numbered = KeyedOrder(episodes, [key], ["_session"], split=split).row_number("episode").rows()
+    numbered = KeyedOrder(episodes, [key], ["_session"], max_group=max_group, split=None if split else False).row_number("episode").rows()
     return numbered.select(
         key, "episode", "start", "finish", hours_between("start", "finish").alias("hours")
     )

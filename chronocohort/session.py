@@ -50,11 +50,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint, so that a lost executor rereads the same rows."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Cut lineage with a table in the shared folder: a lost executor rereads the same rows, and later plans read columns of it."""
+    path = scratch_path(df.sparkSession, "durable")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def inline_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:

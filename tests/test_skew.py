@@ -1,10 +1,12 @@
 """Results must not change when keys are split: every operator with a tiny group limit."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from chronocohort.functions.timefn import hours
-from chronocohort.operators import cohort as C, intervals as I, reshape as R, sampling as P, windows as W
+from chronocohort.operators import cohort as C, intervals as I, ordered, reshape as R, skew, sampling as P, windows as W
 from chronocohort.operators.evaluate import curve_points
 from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import GroupSizes, hot_keys, key_join
@@ -133,9 +135,69 @@ def test_csv_index_and_table_from_itself(spark, skewed, tmp_path):
     spark.sql("DROP TABLE refreshed_once")
 
 
+@pytest.mark.parametrize("level", [2, 256])
+def test_only_large_keys_are_cut_and_only_bounds_are_stored(skewed, monkeypatch, level):
+    kept = []
+    for module in (ordered, skew):
+        plain = module.durable
+        monkeypatch.setattr(module, "durable", lambda df, plain=plain: kept.append(plain(df)) or kept[-1])
+    monkeypatch.setattr(ordered, "LEVEL", level)
+    n = skewed.where("user_id = 7").count()
+    labels, split = ordered.labelled(skewed, ["user_id"], ["-ts"], 90, None)
+    assert split and {r["user_id"] for r in labels.where(f"{ordered.RANGE} is not null").select("user_id").distinct().collect()} == {7}
+    sizes = labels.where("user_id = 7").groupBy(ordered.RANGE).agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).orderBy(ordered.RANGE).collect()
+    assert n // 180 <= len(sizes) <= n // 45 and max(r["n"] for r in sizes) <= 180
+    assert all(a["lo"] > b["hi"] for a, b in zip(sizes, sizes[1:]))
+    assert [k.count() for k in kept] == [1, 1] and "value" not in str([k.schema for k in kept])
+
+
+def test_six_minima_come_from_one_aggregation(skewed):
+    wide = skewed.select("user_id", "ts", "event_id", *[(F.col("event_id") % k).alias(f"m{k}") for k in range(2, 8)])
+    names = [f"m{k}" for k in range(2, 8)]
+    got = W.running_rise(wide, "user_id", ["ts", "event_id"], names, max_group=9)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [") == 1 and plan.count("Window [") == 2
+    assert rows(got) == rows(W.running_rise(wide, "user_id", ["ts", "event_id"], names, split=False))
+
+
+def test_sessions_of_random_states_against_python(spark):
+    rng = random.Random(4)
+    data = [(k, i, rng.choice([0, 0, 1, 1, None]), rng.choice([0, 1]), rng.choice([0, 0, 0, 1, None])) for k in range(4) for i in range(rng.choice([3, 60, 400]))]
+    at = {}
+    data = [(k, i, on, off, end, at.setdefault((k, i), rng.randrange(900))) for k, i, on, off, end in data]
+    df = spark.createDataFrame(data, "k int, i int, is_on int, is_off int, is_end int, m int")
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    df = df.withColumn("t", start + F.make_dt_interval(F.lit(0), F.lit(0), F.col("m") * 37))
+    want = []
+    for key in range(4):
+        session, episodes, on_before, end_before = 0, {}, None, None
+        own = sorted(((m, i, on, off, end) for k, i, on, off, end, m in data if k == key), key=lambda r: r[:2])
+        for m, _, on, off, end in own:
+            inside = on == 1 or end == 1
+            if (inside and end_before == 1) or (on == 0 and off == 1) or (on == 1 and on_before is not None and (m - on_before) * 37 > 480):
+                session += 1
+            on_before = m if on == 1 else on_before
+            end_before = end if inside else end_before
+            episodes.setdefault(m, []).append((session, inside, on))
+        # Rows of one time share the session of their last row.
+        spans = {}
+        for m, same in episodes.items():
+            for _, inside, on in same:
+                if inside:
+                    lo, hi, any_on = spans.get(same[-1][0], (m, m, False))
+                    spans[same[-1][0]] = (min(lo, m), max(hi, m), any_on or on == 1)
+        kept = [spans[s] for s in sorted(spans) if spans[s][0] != spans[s][1] and spans[s][2]]
+        want += [(key, n + 1, lo, hi) for n, (lo, hi, _) in enumerate(kept)]
+    minutes = lambda c: (F.unix_seconds(F.col(c).cast("timestamp")) - F.unix_seconds(start.cast("timestamp"))) / 60 / 37
+    for sizing in ({"max_group": 6}, {"max_group": 40}, {"split": False}):
+        got = W.sessionize(df, "k", "t", "is_on", "is_off", "is_end", 8, ["i"], **sizing)
+        assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r[0], r[1], round(r[2]), round(r[3])) for r in got.select("k", "episode", minutes("start"), minutes("finish")).collect()) == sorted(want)
+
+
 def test_sessions(spark):
     s = states(spark, "/root/testdata/sf0.001")
-    hot = W.sessionize(s, "user_id", "ts", "is_on", "is_off", "is_end", 8, split=True)
+    hot = W.sessionize(s, "user_id", "ts", "is_on", "is_off", "is_end", 8, max_group=4)
     assert rows(hot) == rows(W.sessionize(s, "user_id", "ts", "is_on", "is_off", "is_end", 8, split=False))
 
 
