@@ -4,9 +4,9 @@ Terms are all words of the examples. A term weighs its TF-IDF times 1 plus the r
 examples of both classes that hold it, so that words tied to a class count most and none is dropped; in G a word counts
 no more often than it has distinct contexts (the word after it), so that copies of one text count once. Examples are a
 bounded sample of labelled rows, a stated number per class in order of a hash. Document frequencies of the terms are
-counted over all documents. The index holds each term's postings in blocks of examples with the largest weight of each;
-a search counts the blocks of highest bound, then all whose bound reaches the k-th neighbour so far, so the neighbours
-are exact. Votes are weighted by cosine and by class, and calibrated on the examples themselves, each without itself.
+counted over all documents. The index holds examples in blocks with the largest weight of each frequent term in each; a
+search adds up the blocks of highest bound, then all whose bound reaches the k-th neighbour so far, for many texts at
+once, so the neighbours are exact. Votes are weighted by cosine and by class, and calibrated on the examples themselves, each without itself.
 Broadcast: the postings of at most ``max_per_class * 2`` examples and the hashes of their words.
 
 Null and empty texts, and texts without a term, get the calibrated rate of examples without a term. With no label of
@@ -23,10 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronocohort.llm.components import stored
 from chronocohort.llm.words import PUNCTUATION, sliced, words
 
 BLOCK = 64
 FIRST_BLOCKS = 4
+# Memory of the frequent terms' rows, and texts searched at once.
+WHOLE_BYTES = 24 << 20
+TEXTS = 32
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -42,58 +46,75 @@ def _spans(first: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Neighbours:
-    """Postings of each term in order of examples, cut into cells of a term and a block, with each cell's largest weight."""
+    """Block-max index of examples. Rare terms have posting lists; the most frequent terms, whose lists hold nearly all
+    examples, have whole rows, with the largest weight of each block of examples beside them."""
 
     n_rows: int
+    slot: np.ndarray
+    often: np.ndarray
+    top: np.ndarray
+    first: np.ndarray
     row: np.ndarray
     weight: np.ndarray
-    cell_first: np.ndarray
-    cell_block: np.ndarray
-    cell_top: np.ndarray
-    term_cell: np.ndarray
 
     @staticmethod
     def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int) -> Neighbours:
+        width = -(-n_rows // BLOCK) * BLOCK
+        size = np.bincount(term, minlength=n_terms)
+        most = np.sort(np.argsort(-size, kind="stable")[: WHOLE_BYTES // (8 * width)])
+        slot = np.full(n_terms, -1, np.int32)
+        slot[most] = np.arange(len(most))
+        often = np.zeros((len(most), width))
+        whole = slot[term] >= 0
+        often[slot[term[whole]], row[whole]] = weight[whole]
+        row, term, weight = row[~whole], term[~whole], weight[~whole]
         order = np.lexsort((row, term))
-        row, term, weight = row[order], term[order], weight[order]
-        new = np.ones(len(row), bool)
-        new[1:] = (term[1:] != term[:-1]) | (row[1:] // BLOCK != row[:-1] // BLOCK)
-        first = np.flatnonzero(new)
-        top = np.maximum.reduceat(weight, first) if len(first) else weight
-        cells = np.searchsorted(term[first], np.arange(n_terms + 1))
-        return Neighbours(n_rows, row.astype(np.int32), weight, np.append(first, len(row)).astype(np.int32), (row[first] // BLOCK).astype(np.int32), top, cells.astype(np.int32))
+        first = np.searchsorted(term[order], np.arange(n_terms + 1))
+        return Neighbours(n_rows, slot, often, often.reshape(len(most), -1, BLOCK).max(axis=2), first.astype(np.int32), row[order].astype(np.int32), weight[order])
 
     @staticmethod
     def of(weights: np.ndarray) -> Neighbours:
         row, term = np.nonzero(weights)
         return Neighbours.build(row, term, weights[row, term], *weights.shape)
 
-    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and cosines of the k examples closest to a unit query, closest first, positive cosines only."""
-        size = self.term_cell[terms + 1] - self.term_cell[terms]
-        cell, asked = _spans(self.term_cell[terms], size), np.repeat(query, size)
-        block = self.cell_block[cell]
-        bound = np.bincount(block, self.cell_top[cell] * asked, minlength=-(-self.n_rows // BLOCK))
-        rows, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        todo = np.zeros(len(bound), bool)
-        todo[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        done = np.zeros(len(bound), bool)
+    def many(self, owner: np.ndarray, terms: np.ndarray, query: np.ndarray, n: int, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each of n unit queries the row numbers and cosines of its k closest examples, closest first, positive cosines only.
+
+        Rare terms are added up first. A block's bound is its largest sum so far plus the frequent terms' block maxima;
+        the frequent terms are added in the blocks of highest bound, then in all whose bound reaches the k-th so far.
+        """
+        width = self.often.shape[1]
+        slot = self.slot[terms]
+        whole = slot >= 0
+        part = np.zeros((n, len(self.often)))
+        part[owner[whole], slot[whole]] = query[whole]
+        own, rare, asked = owner[~whole], terms[~whole], query[~whole]
+        size = self.first[rare + 1] - self.first[rare]
+        posting = _spans(self.first[rare], size)
+        place = np.repeat(own * width, size) + self.row[posting]
+        score = np.bincount(place, self.weight[posting] * np.repeat(asked, size), minlength=n * width).astype(float, copy=False).reshape(n, width)
+        bound = part @ self.top + score.reshape(n, -1, BLOCK).max(axis=2)
+        todo, done = np.zeros(bound.shape, bool), np.zeros(bound.shape, bool)
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        todo[np.arange(n)[:, None], best] = True
         for _ in range(2):
-            some = np.flatnonzero((todo & (bound > 0))[block])
-            length = self.cell_first[cell[some] + 1] - self.cell_first[cell[some]]
-            posting = _spans(self.cell_first[cell[some]], length)
-            cosine = np.bincount(self.row[posting], self.weight[posting] * np.repeat(asked[some], length), minlength=self.n_rows)
-            found = np.flatnonzero(cosine > 0)
-            rows, scores = np.append(rows, found), np.append(scores, cosine[found])
-            if len(rows) > k:
-                close = scores >= np.partition(scores, -k)[-k] - 1e-11
-                rows, scores = rows[close], scores[close]
-            order = np.lexsort((rows, -np.round(scores, 12)))[:k]
-            rows, scores = rows[order], scores[order]
-            least = scores[-1] if len(rows) == k else 0.0
+            todo &= bound > 0
+            for block in np.flatnonzero(todo.any(axis=0)):
+                some, columns = np.flatnonzero(todo[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                score[some, columns] += part[some] @ self.often[:, columns]
             done |= todo
-            todo = ~done & (bound >= least - 1e-11)
-        return rows, scores
+            known = np.where(np.repeat(done, BLOCK, axis=1), score, 0.0)
+            least = np.partition(known, width - k, axis=1)[:, width - k] if k <= width else np.zeros(n)
+            todo = ~done & (bound >= least[:, None] - 1e-11)
+        out = []
+        for i in range(n):
+            rows = np.flatnonzero((known[i] > 0) & (known[i] >= least[i] - 1e-11))
+            rows = rows[np.lexsort((rows, -np.round(known[i, rows], 12)))[:k]]
+            out.append((rows, known[i, rows]))
+        return out
+
+    def nearest(self, terms: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.many(np.zeros(len(terms), np.int64), terms, query, 1, k)[0]
 
 
 @dataclass
@@ -109,15 +130,21 @@ class Model:
     without: float = 0.0
     k: int = 15
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """Uncalibrated share of toxic weight among the neighbours of a text with these terms."""
+    def votes(self, owner: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int, skip: int = -1) -> list[tuple[float, np.ndarray]]:
+        """Uncalibrated share of toxic weight among the neighbours of each of n texts, and the neighbours.
+
+        With ``skip`` the texts are the examples from that number on, and none is its own neighbour.
+        """
         query = (1 + np.log(counts)) * self.scale[terms]
-        rows, cosine = self.index.nearest(terms, query / np.sqrt((query**2).sum()), self.k + (skip >= 0))
-        if skip >= 0:
-            other = rows != skip
-            rows, cosine = rows[other][: self.k], cosine[other][: self.k]
-        weight = cosine * self.weight[rows]
-        return (float((weight * self.toxic[rows]).sum() / weight.sum()) if len(rows) else 0.0), rows, cosine
+        query /= np.sqrt(np.bincount(owner, query**2, minlength=n))[owner]
+        out = []
+        for i, (rows, cosine) in enumerate(self.index.many(owner, terms, query, n, self.k + (skip >= 0))):
+            if skip >= 0:
+                other = rows != skip + i
+                rows, cosine = rows[other][: self.k], cosine[other][: self.k]
+            weight = cosine * self.weight[rows]
+            out.append((float((weight * self.toxic[rows]).sum() / weight.sum()) if len(rows) else 0.0, rows))
+        return out
 
     def calibrated(self, share: float) -> float:
         return float(np.interp(share, *self.steps)) if len(self.steps[0]) else self.without
@@ -163,7 +190,8 @@ def fit(
         return Model(without=1.0 if totals.get(1) else 0.0, k=k)
     part = [known.where(f"y = {y}").orderBy(F.xxhash64("key"), "key").limit(max_per_class) for y in (0, 1)]
     source = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    sample = source.join(F.broadcast(part[0].union(part[1])), "key")  # at most 2 * max_per_class short rows
+    chosen = F.broadcast(part[0].union(part[1]))  # at most 2 * max_per_class short rows
+    sample = stored(source.join(chosen, "key"), "examples")
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     tokens = sample.select("key", "y", F.filter(F.split(lower, GAP), lambda x: x != "").alias("w")).where("size(w) > 0")
     pairs = tokens.select("key", "y", F.explode(F.arrays_zip(F.col("w").alias("w"), F.slice("w", F.lit(2), F.size("w")).alias("next"))).alias("p")).select("key", "y", "p.*").distinct()
@@ -217,7 +245,12 @@ def fit(
         weight = (1 + np.log(count)) * scale[term]
         weight /= np.sqrt(np.bincount(row, weight**2))[row]
         model.index = Neighbours.build(row, term, weight, len(some), len(terms))
-        share = np.array([model.vote(*held[i], skip=at)[0] for at, i in enumerate(some)])
+        cut = np.searchsorted(row, np.arange(len(some) + 1))
+        share = []
+        for at in range(0, len(some), TEXTS):
+            own = slice(cut[at], cut[min(at + TEXTS, len(some))])
+            share += [x for x, _ in model.votes(row[own] - at, term[own], count[own], min(TEXTS, len(some) - at), skip=at)]
+        share = np.array(share)
         model.steps = _rising(share, toxic, model.weight)
     return model
 
@@ -240,19 +273,22 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         return pa.StructArray.from_arrays([fields[c] for c in kept], names=kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
+        for batch in sliced(batches, 1, 1 << 20):
             owner, term, count, n = _counted(batch.column(1), model.hashes)
             cut = np.searchsorted(owner, np.arange(n + 1))
             scores, evidence = np.full(n, model.without), [[] for _ in range(n)]
-            for i in np.flatnonzero(np.diff(cut)) if model.index is not None else []:
-                own = slice(cut[i], cut[i + 1])
-                pattern = hashlib.blake2b(term[own].tobytes() + count[own].tobytes(), digest_size=16).digest()
-                if pattern not in remembered:
-                    if len(remembered) > 20_000:
-                        remembered.clear()
-                    share, rows, _ = model.vote(term[own], count[own])
-                    remembered[pattern] = model.calibrated(share) if len(rows) else model.without, model.ids[rows].tolist()
-                scores[i], evidence[i] = remembered[pattern]
+            pattern = {i: hashlib.blake2b(term[cut[i] : cut[i + 1]].tobytes() + count[cut[i] : cut[i + 1]].tobytes(), digest_size=16).digest() for i in np.flatnonzero(np.diff(cut))}
+            if len(remembered) > 20_000:
+                remembered.clear()
+            new = list({p: i for i, p in pattern.items() if p not in remembered}.values()) if model.index is not None else []
+            for at in range(0, len(new), TEXTS):
+                some = np.array(new[at : at + TEXTS])
+                size = cut[some + 1] - cut[some]
+                own = _spans(cut[some], size)
+                for i, (share, rows) in zip(some, model.votes(np.repeat(np.arange(len(some)), size), term[own], count[own], len(some))):
+                    remembered[pattern[i]] = model.calibrated(share) if len(rows) else model.without, model.ids[rows].tolist()
+            for i, p in pattern.items() if model.index is not None else ():
+                scores[i], evidence[i] = remembered[p]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array(evidence, pa.list_(pa.int64())), row_of(batch)], names=["key", "score", "evidence", "row"])
 
     return source.mapInArrow(run, f"key bigint, score double, evidence array<bigint>, row {whole.schema['row'].dataType.simpleString()}")
