@@ -4,9 +4,9 @@
    read; from then on a row is its key, its group and one or two digests.
 2. Leaves get their place within their group from one range sort: the place in a sorted range plus the rows of the group
    in earlier ranges. No group is held as a whole, so one group may be the whole table.
-3. Every ``SIZE`` consecutive nodes of a group are an aligned block, one row. A block's own subtree is grown in one task;
+3. Every 2^``levels`` consecutive nodes of a group are an aligned block, one row. A block's own subtree is grown in one task;
    the roots of all blocks are the nodes of the next round, until each group has its subroot. Subroots, in order of their
-   group, are the leaves of the tree on top, grown the same way. There are log_SIZE(rows) rounds.
+   group, are the leaves of the tree on top, grown the same way. There are log2(rows) / levels rounds.
 4. Paths come back down: a block gets the siblings above it, which are few, by a join on (group, block).
 5. A changed row makes a version: the nodes from its leaf to the root are copied and hashed anew, all others are shared
    with the tree. A version starts in its aligned block and goes on along the block's upper path in the same task, so it
@@ -31,7 +31,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from chronocohort.llm.components import stored
 
 LEVELS = 8
-SIZE = 1 << LEVELS
 
 _ROOTS = "group string, block bigint, n bigint, digest binary"
 _PATHS = "group string, at bigint, path binary, subroot binary, root binary"
@@ -82,9 +81,9 @@ def grown(row: list[bytes], levels: int) -> list[list[bytes]]:
     return rows
 
 
-def depth(n: int) -> int:
+def depth(n: int, levels: int) -> int:
     """Levels that a block of a group of n nodes grows."""
-    return min(LEVELS, (n - 1).bit_length())
+    return min(levels, (n - 1).bit_length())
 
 
 def siblings(rows: list[list[bytes]], at: int) -> bytes:
@@ -111,10 +110,10 @@ def digests_of(path: bytes) -> list[bytes]:
     return [path[at + 1 : at + _STEP] for at in range(0, len(path), _STEP) if path[at : at + 1] != _NONE]
 
 
-def _blocks(nodes: DataFrame, *more: str) -> DataFrame:
+def _blocks(nodes: DataFrame, levels: int, *more: str) -> DataFrame:
     """One row per aligned block with its nodes in order."""
     own = F.sort_array(F.collect_list(F.struct("at", "digest", *more)))
-    return nodes.groupBy("group", F.shiftright("at", LEVELS).alias("block")).agg(F.max("n").alias("n"), own.alias("nodes"))
+    return nodes.groupBy("group", F.shiftright("at", levels).alias("block")).agg(F.max("n").alias("n"), own.alias("nodes"))
 
 
 def _each(batch: pa.RecordBatch, part: str) -> Iterator[list]:
@@ -124,11 +123,11 @@ def _each(batch: pa.RecordBatch, part: str) -> Iterator[list]:
     return (values[a - ends[0] : b - ends[0]] for a, b in zip(ends, ends[1:]))
 
 
-def _roots(blocks: DataFrame) -> DataFrame:
+def _roots(blocks: DataFrame, levels: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(2).to_pylist()
-            top = [grown(row, depth(n))[-1][0] for row, n in zip(_each(batch, "digest"), sizes)]
+            top = [grown(row, depth(n, levels))[-1][0] for row, n in zip(_each(batch, "digest"), sizes)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(top, pa.binary())], names=["group", "block", "n", "digest"])
 
     return blocks.select("group", "block", "n", "nodes").mapInArrow(run, _ROOTS)
@@ -142,49 +141,49 @@ class Grown:
     roots: DataFrame
 
 
-def climb(nodes: DataFrame, name: str, *more: str) -> Grown:
+def climb(nodes: DataFrame, name: str, levels: int, *more: str) -> Grown:
     """Blocks of blocks, until every group is one node."""
     rounds, done = [], []
     while True:
-        rounds.append(stored(_blocks(nodes, *(more if not rounds else ())), f"{name}-blocks"))
-        roots = stored(_roots(rounds[-1]), f"{name}-roots")
-        done.append(roots.where(F.col("n") <= SIZE).select("group", "digest"))
-        open_ = roots.where(F.col("n") > SIZE)
+        rounds.append(stored(_blocks(nodes, levels, *(more if not rounds else ())), f"{name}-blocks"))
+        roots = stored(_roots(rounds[-1], levels), f"{name}-roots")
+        done.append(roots.where(F.col("n") <= 1 << levels).select("group", "digest"))
+        open_ = roots.where(F.col("n") > 1 << levels)
         if open_.isEmpty():
             break
-        nodes = open_.select("group", F.col("block").alias("at"), F.ceil(F.col("n") / SIZE).alias("n"), "digest")
+        nodes = open_.select("group", F.col("block").alias("at"), F.ceil(F.col("n") / (1 << levels)).alias("n"), "digest")
     whole = done[0]
     for part in done[1:]:
         whole = whole.unionByName(part)
     return Grown(rounds, whole)
 
 
-def _down(blocks: DataFrame, ends: DataFrame, paths: DataFrame | None) -> DataFrame:
+def _down(blocks: DataFrame, ends: DataFrame, paths: DataFrame | None, levels: int) -> DataFrame:
     """Blocks with the path above them: from ``ends`` where the group ends with this block, from ``paths`` else."""
     above = ends.withColumn("end", F.lit(True))
     if paths is not None:
         above = above.unionByName(paths.withColumn("end", F.lit(False)))
     known = above.select(F.col("group").alias("g"), F.col("at").alias("b"), "path", "subroot", "root", "end")
-    on = (F.col("block") == F.col("b")) & F.col("group").eqNullSafe(F.col("g")) & ((F.col("n") <= SIZE) == F.col("end"))
+    on = (F.col("block") == F.col("b")) & F.col("group").eqNullSafe(F.col("g")) & ((F.col("n") <= 1 << levels) == F.col("end"))
     return blocks.join(known, on).drop("g", "b", "end")
 
 
-def _lowest(tree: Grown, ends: DataFrame, name: str) -> DataFrame:
+def _lowest(tree: Grown, ends: DataFrame, name: str, levels: int) -> DataFrame:
     """The lowest blocks with the path above them, carried down round by round."""
     paths = None
     for blocks in reversed(tree.rounds[1:]):
-        paths = stored(_paths(_down(blocks, ends, paths)), f"{name}-paths")
-    return _down(tree.rounds[0], ends, paths)
+        paths = stored(_paths(_down(blocks, ends, paths, levels), levels), f"{name}-paths")
+    return _down(tree.rounds[0], ends, paths, levels)
 
 
-def _paths(blocks: DataFrame, label: bool = False) -> DataFrame:
+def _paths(blocks: DataFrame, levels: int, label: bool = False) -> DataFrame:
     """One row per node with its path to the root. With ``label`` the nodes are subroots and name the groups they top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             read = {name: batch.column(name).to_pylist() for name in ("group", "n", "path", "subroot", "root")}
             for i, (row, places, names) in enumerate(zip(_each(batch, "digest"), _each(batch, "at"), _each(batch, "label" if label else "at"))):
-                rows = grown(row, depth(read["n"][i]))
+                rows = grown(row, depth(read["n"][i], levels))
                 path = [siblings(rows, k) + read["path"][i] for k in range(len(row))]
                 columns = [names, [0] * len(row), path, row, [read["root"][i]] * len(row)] if label else [
                     [read["group"][i]] * len(row), places, path, [read["subroot"][i]] * len(row), [read["root"][i]] * len(row)]
@@ -196,20 +195,20 @@ def _paths(blocks: DataFrame, label: bool = False) -> DataFrame:
 _TYPES = [pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
 
 
-def manifest(rows: DataFrame, detail: bool = False) -> DataFrame:
+def manifest(rows: DataFrame, detail: bool = False, levels: int = LEVELS) -> DataFrame:
     """From ``leaves`` to one row per leaf: key, group, at, leaf, subroot, root, proof_sha256, folded_root, verified.
 
     ``proof_sha256`` is the digest of the path's siblings, ``folded_root`` the root of the version that the changed leaf (the
     leaf itself, if unchanged) makes. With ``detail`` also ``siblings`` and ``copied``, the version's own nodes, leaf first.
     """
     named = rows.withColumnRenamed("leaf", "digest")
-    tree = climb(placed(named, ["key", "digest"], "leaves"), "tree", "key", "changed")
+    tree = climb(placed(named, ["key", "digest"], "leaves"), "tree", levels, "key", "changed")
     subroots = tree.roots.select(F.col("group").alias("label"), "digest")
     # The groups are leaves of one group, in order of their names; a null name is ordered as null.
-    top = climb(placed(subroots.select(F.lit("").alias("group"), "label", "digest"), ["label"], "groups"), "top", "label")
+    top = climb(placed(subroots.select(F.lit("").alias("group"), "label", "digest"), ["label"], "groups"), "top", levels, "label")
     root = top.roots.select("group", F.lit(0).cast("bigint").alias("at"), F.lit(b"").alias("path"), F.lit(None).cast("binary").alias("subroot"), F.col("digest").alias("root"))
-    subroot_paths = stored(_paths(_lowest(top, root, "top"), label=True), "subroots")
-    whole = _lowest(tree, subroot_paths, "tree")
+    subroot_paths = stored(_paths(_lowest(top, root, "top", levels), levels, label=True), "subroots")
+    whole = _lowest(tree, subroot_paths, "tree", levels)
     extra = ", siblings array<string>, copied array<string>" if detail else ""
     kind = rows.schema["key"].dataType.simpleString()
 
@@ -219,7 +218,7 @@ def manifest(rows: DataFrame, detail: bool = False) -> DataFrame:
             flat = batch.column("nodes").flatten()
             out: list[list] = [[] for _ in range(8)]
             for i, (row, changed) in enumerate(zip(_each(batch, "digest"), _each(batch, "changed"))):
-                tree_rows = grown(row, depth(read["n"][i]))
+                tree_rows = grown(row, depth(read["n"][i], levels))
                 for k, (leaf, other) in enumerate(zip(row, changed)):
                     path = siblings(tree_rows, k) + read["path"][i]
                     others, version = digests_of(path), [other or leaf, *fold(other or leaf, path)]

@@ -88,11 +88,14 @@ class Neighbours:
         whole = slot >= 0
         part = np.zeros((n, len(self.often)))
         part[owner[whole], slot[whole]] = query[whole]
+        # One text's lists at a time, so that what a worker holds does not grow with the batch.
         own, rare, asked = owner[~whole], terms[~whole], query[~whole]
-        size = self.first[rare + 1] - self.first[rare]
-        posting = _spans(self.first[rare], size)
-        place = np.repeat(own * width, size) + self.row[posting]
-        score = np.bincount(place, self.weight[posting] * np.repeat(asked, size), minlength=n * width).astype(float, copy=False).reshape(n, width)
+        cut, score = np.searchsorted(own, np.arange(n + 1)), np.zeros((n, width))
+        for i in range(n):
+            some = slice(cut[i], cut[i + 1])
+            size = self.first[rare[some] + 1] - self.first[rare[some]]
+            posting = _spans(self.first[rare[some]], size)
+            score[i] += np.bincount(self.row[posting], self.weight[posting] * np.repeat(asked[some], size), minlength=width)
         bound = part @ self.top + score.reshape(n, -1, BLOCK).max(axis=2)
         todo, done = np.zeros(bound.shape, bool), np.zeros(bound.shape, bool)
         best = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
@@ -207,7 +210,7 @@ def fit(
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, texts = np.zeros(len(hashes), np.int64), 0
-        for batch in sliced(batches, 0):
+        for batch in sliced(batches, 0, 1 << 20):
             _, term, _, n = _counted(batch.column(0), hashes)
             total, texts = total + np.bincount(term, minlength=len(total)), texts + n
         held = np.flatnonzero(total)
@@ -219,7 +222,7 @@ def fit(
     scale = (np.log((1 + df[0]) / (1 + df[1:])) + 1) * strength
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 2):
+        for batch in sliced(batches, 2, 1 << 20):
             owner, term, count, n = _counted(batch.column(2), hashes)
             cut = np.searchsorted(owner, np.arange(n + 1))
             lists = [[term[cut[i] : cut[i + 1]], count[cut[i] : cut[i + 1]]] for i in range(n)]
