@@ -261,7 +261,9 @@ def fit(
 def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns key, score, evidence (ids of the nearest examples) and the input columns named by ``keep``, in struct row."""
     remembered: dict[bytes, tuple[float, list[int]]] = {}
-    model = replace(model, terms=[])  # the workers need the hashes only
+    # The workers need the hashes only. A broadcast of its own is read straight into arrays; as part of the function its
+    # pickled bytes would stay in every worker beside them.
+    held = df.sparkSession.sparkContext.broadcast(replace(model, terms=[]))
     kept = keep or []
     once = text in kept and df.schema[text].dataType.simpleString() == "string"  # texts then go to the workers once
     others = [c for c in kept if not (once and c == text)]
@@ -276,6 +278,7 @@ def score(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
         return pa.StructArray.from_arrays([fields[c] for c in kept], names=kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
         for batch in sliced(batches, 1, 1 << 20):
             owner, term, count, n = _counted(batch.column(1), model.hashes)
             cut = np.searchsorted(owner, np.arange(n + 1))

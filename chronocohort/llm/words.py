@@ -16,7 +16,7 @@ PUNCTUATION[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
