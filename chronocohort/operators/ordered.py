@@ -50,12 +50,14 @@ def _reached(order: Sequence[str], bound: Column) -> Column:
     return result
 
 
-def bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], large: DataFrame, max_group: int) -> DataFrame:
-    """One row per large key (``_b0``, ...): its bounds in order, as lists of at most ``LEVEL`` with the head of each list."""
+def bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], large: DataFrame | None, max_group: int) -> DataFrame:
+    """One row per large key, or one row without keys (``_b0``, ...): its bounds in order, as lists of at most ``LEVEL`` with the head of each list."""
     plain = [c.lstrip("-") for c in order]
     rate = max(1, max_group // SAMPLES)
     some = df.select(*{c: None for c in [*keys, *plain]}).where(F.pmod(F.xxhash64(*plain), F.lit(rate)) == 0)
-    some = some.join(large, same_keys(keys, "_h"), "left_semi").groupBy(*{c: None for c in [*keys, *plain]}).agg(F.count("*").alias("_w"))
+    if large is not None:
+        some = some.join(large, same_keys(keys, "_h"), "left_semi")
+    some = some.groupBy(*{c: None for c in [*keys, *plain]}).agg(F.count("*").alias("_w"))
     w = Window.partitionBy(*keys).orderBy(*[_sort_expr(c) for c in order])
     number = F.floor((F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, -1))) / max(1, max_group // rate))
     heads = some.withColumn("_i", number).withColumn("_last", F.lag("_i").over(w)).where("_i > 0 and _i > coalesce(_last, 0)")
@@ -69,16 +71,21 @@ def labelled(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group
     """The rows with their range of the key (null for keys of one range), and whether any key has several."""
     if split is False:
         return df.withColumn(RANGE, F.lit(None).cast("int")), False
-    large = large_groups(df, keys, max_group)
-    if large is None:
-        return df.withColumn(RANGE, F.lit(None).cast("int")), False
+    if keys:
+        large = large_groups(df, keys, max_group)
+        if large is None:
+            return df.withColumn(RANGE, F.lit(None).cast("int")), False
+    else:  # one group, dealt over all tasks however small it is
+        large, tasks = None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        max_group = max(1, min(max_group, -(-df.count() // tasks)))
     cut = durable(bounds(df, keys, order, large, max_group))
     lists = F.col("_lists")
     before = F.size(F.filter(lists, lambda x: _reached(order, x["_part"][0]["at"])))
     inside = F.size(F.filter(F.get(lists, before - 1)["_part"], lambda x: _reached(order, x["at"])))
     at = F.when(lists.isNotNull(), F.when(before == 0, 0).otherwise((before - 1) * LEVEL + inside))
     names = [f"_b{i}" for i in range(len(keys))]
-    return df.join(cut, same_keys(keys, "_b"), "left").withColumn(RANGE, at).drop("_lists", *names), True
+    met = df.join(cut, same_keys(keys, "_b"), "left") if keys else df.withColumn("_lists", cut.select("_lists").scalar())
+    return met.withColumn(RANGE, at).drop("_lists", *names), True
 
 
 def carried(rows: DataFrame, keys: Sequence[str], parts: dict[str, Column], compose: Callable[[Window], dict[str, Column]], *steps) -> DataFrame:
@@ -113,7 +120,7 @@ class KeyedOrder:
     """Rows of ``df`` in the order ``order`` within ``keys``; a leading ``-`` means descending.
 
     Results are asked for one after the other and computed together by ``rows``. ``split=False`` says that no key is too
-    large for one task; otherwise the rows of each key are counted. With no keys all rows are one group.
+    large for one task; otherwise the rows of each key are counted. With no keys all rows are one group, always cut.
     """
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_group: int = MAX_GROUP_ROWS, split: bool | None = None):
