@@ -2,9 +2,12 @@
 
 Centroids come from spherical k-means over a bounded sample (``sample_rows`` vectors in order of a hash); clusters that
 hold more than twice their share are split until they do not. Each vector goes into the list of its nearest centroid
-and, near a boundary, into those of all centroids whose distance is at most ``replicate`` times the smallest. A query
-visits every list whose distance is at most ``visit`` times its smallest. Centroids are found by best-first search of a
-neighbour graph held in memory by each task (at most ``max_lists`` rows, broadcast). Long lists are dealt over blocks
+and, near a boundary, into those of all centroids whose distance is at most ``replicate`` times the smallest. A query goes
+through its nearest lists until they hold ``least_rows`` different ids (more than ``k`` in any case), and visits every
+list whose distance is at most ``visit`` times that of the last of them; where the search does not reach so many, it
+visits all lists. Centroids are found by best-first search of a neighbour graph held in memory by each task. There are
+at most ``max_lists`` of them; by default 4 times the root of the table's size, between 1,024 and 4,096, so that above
+a million vectors the lists and the work of a query grow. Long lists are dealt over blocks
 of about ``block_rows`` by a hash of the id, and queries of a list likewise, so a very common vector fills many tasks.
 Every valid vector is indexed; within a visited list the search is exact, by cosine in double precision.
 
@@ -15,6 +18,7 @@ candidate, with the best of their scores. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from chronocohort.llm.components import stored
+
 PAIRS = "query_id bigint, vec_id bigint, score double"
 
 
@@ -48,8 +54,12 @@ class Graph:
             least = np.maximum(least, near[chosen[-1]])
         return Graph(centroids, links, np.array(chosen))
 
-    def search(self, vectors: np.ndarray, ratio: float, width: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each unit vector the centroids within ``ratio`` of the smallest distance found, and their distances."""
+    def search(self, vectors: np.ndarray, ratio: float, width: int = 48, held: np.ndarray | None = None, least: int = 0) -> Iterator[np.ndarray]:
+        """For each unit vector the centroids within ``ratio`` of the smallest distance found.
+
+        With ``held``, the ids that each list is counted for, the distance is instead that of the list with which the
+        nearest ones hold ``least`` ids; all centroids, where those found do not hold so many.
+        """
         n = len(self.centroids)
         for at in range(0, len(vectors), 256):
             some = vectors[at : at + 256]
@@ -71,8 +81,12 @@ class Graph:
                 near[row, node] = np.einsum("ij,ij->i", some[row], self.centroids[node])
             distance = np.sqrt(np.maximum(0.0, 2 - 2 * near))
             for d in distance:
-                lists = np.flatnonzero(d <= ratio * d.min() + 1e-12)
-                yield lists, d[lists]
+                base = d.min()
+                if held is not None:
+                    order = np.argsort(d, kind="stable")
+                    enough = int(np.searchsorted(np.cumsum(held[order]), least))
+                    base = d[order[enough]] if enough < n else np.inf
+                yield np.flatnonzero(d <= ratio * base + 1e-12)
 
 
 def _kmeans(unit: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -128,8 +142,8 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, sample_rows: int = 20_000, max_lists: int = 1024,
-    list_rows: int = 200, replicate: float = 1.05, visit: float = 1.25, block_rows: int = 4000,
+    df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, sample_rows: int = 20_000, max_lists: int | None = None,
+    list_rows: int = 200, least_rows: int = 100, replicate: float = 1.05, visit: float = 1.25, block_rows: int = 4000,
 ) -> DataFrame:
     """Columns query_id, rank, vec_id, score: the k nearest of each query (a row of ``df`` that ``queries`` holds for)."""
     valid = df.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"), queries.alias("q")).where(usable(F.col("v")) & F.col("id").isNotNull())
@@ -141,22 +155,29 @@ def nearest(
     valid = valid.where(F.size("v") == dims)
     rows = valid.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()
     sample = _unit(np.array([r["v"] for r in rows], np.float64))
+    if max_lists is None:
+        max_lists = min(4096, max(1024, 4 * math.isqrt(total)))
     graph = Graph.of(balanced_centroids(sample, int(min(max_lists // 2, max(1, total // list_rows))), max_lists))
 
-    def placed(ratio: float):
+    def placed(ratio: float, held: np.ndarray | None = None):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if batch.num_rows:
-                    lists = [found.tolist() for found, _ in graph.search(_unit(_matrix(batch.column(1))), ratio)]
+                    lists = [found.tolist() for found in graph.search(_unit(_matrix(batch.column(1))), ratio, held=held, least=max(least_rows, k + 1))]
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["id", "v", "lists"])
 
         return run
 
     schema = "id bigint, v array<double>, lists array<int>"
     posted = valid.select("id", "v").mapInArrow(placed(replicate), schema).select("id", "v", F.explode("lists").alias("list"))
-    asked = valid.where("q").select("id", "v").mapInArrow(placed(visit), schema).select("id", "v", F.explode("lists").alias("list"))
+    # Every id counts for one of its lists, so that lists which count more than k ids hold k others.
+    places = stored(posted.select("id", "list"), "places")
+    ids = np.zeros(len(graph.centroids), np.int64)
+    for r in places.groupBy("id").agg(F.min("list").alias("list")).groupBy("list").count().collect():  # at most max_lists rows
+        ids[r["list"]] = r["count"]
+    asked = valid.where("q").select("id", "v").mapInArrow(placed(visit, ids), schema).select("id", "v", F.explode("lists").alias("list"))
     # One row per list: how many blocks its vectors and its queries are dealt over.
-    blocks = posted.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    blocks = places.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
     turns = asked.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("turns"))
     shape = F.broadcast(blocks.join(turns, "list"))  # at most max_lists rows
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
