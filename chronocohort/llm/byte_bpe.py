@@ -18,6 +18,7 @@ import tiktoken
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from chronocohort.llm.carried import ROW, packed, unpacked
 from chronocohort.llm.presplit import WHITE, safe_pieces
 
 # The library's pattern engine backtracks over white space and runs out of stack on very long runs.
@@ -56,16 +57,16 @@ def decode_ids(packed: bytes | None, codec: tiktoken.Encoding) -> bytes:
 
 def _mapped(df: DataFrame, column: str, out: str, keep: list[str] | None, rank_file: str, pattern: str, work: Callable) -> DataFrame:
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{column}`").alias("__source"))
-    schema = StructType([*source.drop("__source").schema.fields, StructField(out, BinaryType())])
+    source = df.select(packed(kept), F.col(f"`{column}`").alias("source"))
+    schema = StructType([source.schema[ROW], StructField("done", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoding(rank_file, pattern)
         for batch in batches:
-            done = pa.array([work(x.as_py(), codec) for x in batch.column(len(kept))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], done], names=[*kept, out])
+            done = pa.array([work(x.as_py(), codec) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), done], names=[ROW, "done"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unpacked(kept), F.col("done").alias(out))
 
 
 def encode(df: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "token_ids", keep: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronocohort.llm.carried import ROW, packed, unpacked
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _GAP = re.compile(GAP)
@@ -135,14 +137,14 @@ def scan(
         hit = hit | padded.contains(f" {phrase} ")
     for token in index.prefix_tokens():
         probe = probe | padded.contains(f" {token} ")
-    row = df.select(*(F.col(f"`{c}`") for c in kept), source.alias("__source"), F.concat(F.lit(" "), spaced(source), F.lit(" ")).alias("__padded"))
+    row = df.select(packed(kept), source.alias("__source"), F.concat(F.lit(" "), spaced(source), F.lit(" ")).alias("__padded"))
     row = row.withColumn("__blocks", F.when(probe, index.blocks(F.split(F.translate(F.coalesce("__source", F.lit("")), UPPER, LOWER), "\n"))))
     row = row.withColumn("__shares", F.when(F.size("__blocks") > 0, index.shares(F.col("__blocks"))))
     # A column of its own: inside a lambda it would be split again for every word.
     row = row.withColumn("__words", F.when(hit, F.split(F.btrim(padded, F.lit(" ")), " ")))
     starts = F.array(*(phrase_starts(F.col("__words"), p) for p in phrases))
     row = row.select(
-        *(F.col(f"`{c}`") for c in kept), "__shares",
+        ROW, "__shares",
         F.when(F.length(padded) == 2, 0).otherwise(F.length(padded) - F.length(F.replace(padded, F.lit(" "), F.lit(""))) - 1).cast("bigint").alias("n_words"),
         F.when(F.col("__words").isNotNull(), starts).alias("__starts"),
     )
@@ -151,7 +153,7 @@ def scan(
     base = F.array_sort(F.array_distinct(base))
     similar = F.array_compact(F.array(*(F.when(F.get("__shares", F.lit(k)) > 0, label) for k, label in enumerate(index.labels))))
     return row.select(
-        *(F.col(f"`{c}`") for c in kept), "n_words",
+        *unpacked(kept), "n_words",
         F.when(F.col("__starts").isNull(), 0).otherwise(F.size(places)).cast("bigint").alias("n_base"),
         F.array_min(places).cast("bigint").alias("first_word"), F.array_max(places).cast("bigint").alias("last_word"),
         F.array_join(base, ",").alias("base_labels"),

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from chronocohort.llm.carried import ROW, packed, unpacked
 from chronocohort.llm.presplit import WHITE, safe_pieces
 
 REMEMBERED = 500_000
@@ -111,13 +112,13 @@ def counter(path: str) -> MergeCounter:
 def token_counts(df: DataFrame, vocabulary: str, text: str = "text", out: str = "n_tokens", keep: list[str] | None = None) -> DataFrame:
     """Add ``out``: tokens of ``text`` by the merges of a byte-level vocabulary file. An input column of that name goes."""
     kept = [c for c in (df.columns if keep is None else keep) if c.lower() != out.lower()]
-    source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`").alias("__source"))
-    schema = StructType([*source.drop("__source").schema.fields, StructField(out, LongType())])
+    source = df.select(packed(kept), F.col(f"`{text}`").alias("source"))
+    schema = StructType([source.schema[ROW], StructField("n", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count
         for batch in batches:
-            done = pa.array([count(x.as_py()) for x in batch.column(len(kept))], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], done], names=[*kept, out])
+            done = pa.array([count(x.as_py()) for x in batch.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), done], names=[ROW, "n"])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*unpacked(kept), F.col("n").alias(out))

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
+from chronocohort.llm.carried import packed, unpacked
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SYMBOLS = LOWER + "0./-?*"
 BASE = len(SYMBOLS)
@@ -102,8 +104,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", strength: float =
     kept = [c for c in df.columns if c.lower() not in outputs]
     source = F.col(f"`{url}`")
     allows = [r.text for r in rules if r.allow]
-    # Fields of one struct, so that an extra column never meets a name used here.
-    known = df.select(*(F.col(f"`{c}`") for c in kept), F.struct(host_of(source).alias("host"), path_of(source).alias("path"), source.alias("url")).alias("__u"))
+    known = df.select(packed(kept), F.struct(host_of(source).alias("host"), path_of(source).alias("path"), source.alias("url")).alias("__u"))
     rule = rule_of(F.coalesce(F.col("__u.host"), F.lit("")), F.coalesce(F.col("__u.path"), F.lit("")), rules)
     known = known.withColumn("__rule", rule)
     marked = known.where(F.col("__rule").isNotNull()).select(
@@ -135,7 +136,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url", strength: float =
     scored = with_ratio(known, F.col("__u.url")).withColumn("__score", F.coalesce(F.col("__s") - cut, F.lit(0.0)))
     decided = F.when(F.col("__rule").isNotNull(), F.when(F.col("__rule").isin(allows), "allow").otherwise("block"))
     return scored.select(
-        *(F.col(f"`{c}`") for c in kept),
+        *unpacked(kept),
         F.coalesce("__u.host", F.lit("")).alias("host"),
         F.coalesce("__u.path", F.lit("")).alias("path"),
         F.col("__rule").alias("rule"),
