@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from chronocohort.llm import byte_bpe, decontaminate, licenses, merge_counts, posting_lists, url_models
+from chronocohort.llm import byte_bpe, cotraining, decontaminate, licenses, merge_counts, posting_lists, url_models
 from chronocohort.llm.queries import URL_RULES
 from chronocohort.llm.registry import vocabulary
 
@@ -87,3 +87,61 @@ def test_fewer_candidates_than_asked(spark, n):
     got = posting_lists.nearest(df, F.col("vec_id") == 0, list_rows=2, least_rows=1).collect()
     assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [i for i, _ in brute_force(ids, vectors, 0, 5)]
     assert len(got) == min(5, n - 1)
+
+
+def quality_rows(n):
+    """Good and bad texts; source s9 holds bad texts only and has no label."""
+    rng = np.random.default_rng(5)
+    rows, labels = [], []
+    for i in range(n):
+        good = i % 3 != 0
+        text = " ".join(f"w{j}" if good else f"w{j}##!" for j in rng.integers(0, 400, 50))
+        source = "s9" if not good and i % 90 == 0 else f"s{i % 5 if good else 5 + i % 2}"
+        rows.append((i, text, "en", source, len(text)))
+        if source != "s9" and i % 4 == 0:
+            labels.append((i, int(good)))
+    return rows, labels
+
+
+def test_co_training_sums_over_all_rows(spark):
+    rows, labels = quality_rows(1800)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int")
+    model = cotraining.fit(docs, marks)
+    # The same rounds with all rows in memory.
+    marked = dict(labels)
+    import pyarrow as pa
+
+    def views(some):
+        codes = cotraining.meta_codes([r[3] for r in some], [r[2] for r in some], [r[4] for r in some])
+        return [cotraining.text_features(pa.array([r[1] for r in some])), cotraining.meta_features(*codes)]
+
+    learned = [r for r in rows if r[0] in marked and cotraining.zlib.crc32(str(r[0]).encode()) % 5]
+    free = views([r for r in rows if r[0] not in marked])
+    want = cotraining.co_train(views(learned), np.array([float(marked[r[0]]) for r in learned]), lambda work, size: work(free), 5, 0.5)
+    for mine, other in zip(model.views, want):
+        assert np.allclose(mine.weights, other.weights, atol=1e-6)
+    scored = {r["key"]: r for r in cotraining.score(docs, model).collect()}
+    assert np.mean([(scored[i]["score"] >= 0.5) == (i % 3 != 0) for i in range(1800)]) > 0.97
+    # The metadata view learned a source without labels from the text view.
+    assert all(scored[r[0]]["meta_score"] < 0.5 for r in rows if r[3] == "s9")
+
+
+def test_co_training_of_odd_tables(spark):
+    rows, labels = quality_rows(120)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([*rows, *rows[:40], (None, None, None, None, None), (None, "", "", "", 0)], schema)
+    marks = spark.createDataFrame(labels + labels[:5], "doc_id long, quality int")
+    scored = cotraining.score(docs, cotraining.fit(docs, marks)).collect()
+    assert len(scored) == 162 and all(0 <= r["score"] <= 1 for r in scored)
+    alike = {}
+    for r in scored:
+        alike.setdefault(r["key"], set()).add(r["score"])
+    assert all(len(v) == 1 for k, v in alike.items() if k is not None)
+    assert cotraining.fit(docs, marks.where("quality = 1")).rate == 1.0
+    assert cotraining.fit(docs.limit(0), marks).rate == 0.5
+    assert cotraining.score(docs.limit(0), cotraining.fit(docs, marks)).collect() == []
+    # Every row labelled: nothing to exchange. One class among the held-out labels: no calibration on training rows.
+    whole = spark.createDataFrame([(r[0], int(r[0] % 3 != 0)) for r in rows], "doc_id long, quality int")
+    model = cotraining.fit(docs.where("doc_id is not null"), whole.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) | (F.col("quality") == 1)))
+    assert list(model.combined.weights) == [0.0, 0.5, 0.5]
