@@ -1,11 +1,13 @@
 """License scan: phrases by position, and an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text. Tokens of the templates are put in global order by the number of blocks of the whole
-corpus that hold them, rarest first. A block meets a template when it holds at least ``ceil(threshold * size)`` of the
-template's distinct tokens. Candidates come from the template's prefix (one of its ``size - needed + 1`` rarest tokens
-must occur), then from length (a block needs ``needed`` tokens) and from position (what follows the first common token
-on either side must suffice); the survivors are counted exactly. Templates are a short list given by the caller; only
-their tokens' counts reach the driver. Everything is DataFrame functions, row by row, without a shuffle of texts.
+The blocks that meet a template of n words are the windows of 2n consecutive words at every n-th word of the whole text,
+so any n words, wrapped over lines or not, lie within one. Tokens of the templates are put in global order by the number
+of texts of the whole corpus that hold them, rarest first. A block meets a template when it holds at least
+``ceil(threshold * size)`` of the template's distinct tokens, the words that name the license among them. Candidates are
+the blocks around the template's prefix (one of its ``size - needed + 1`` rarest tokens must occur), then come length (a
+block needs ``needed`` tokens) and position (what follows the first common token on either side must suffice); the
+survivors are counted exactly. Templates are a short list given by the caller; only their tokens' counts reach the
+driver. Everything is DataFrame functions, row by row, without a shuffle of texts.
 
 Null and empty texts have no words, labels or blocks and score 0. Repeated rows are repeated; an input column with the
 name of an output is replaced.
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -27,24 +30,38 @@ _GAP = re.compile(GAP)
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Common notices, as (label, text).
+
+
+class Template(NamedTuple):
+    """A notice of a license. A block without one of ``names`` does not meet it."""
+
+    label: str
+    text: str
+    names: tuple[str, ...] = ()
+
+
 TEMPLATES = [
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("all-rights-reserved", "Copyright. All rights reserved."),
+    Template("mit", "Released under the MIT License.", ("mit",)),
+    Template("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    Template("apache", "Licensed under the Apache License, Version 2.0.", ("apache",)),
+    Template("gpl", "This work is licensed under the GNU General Public License, version 3.", ("gnu", "general")),
+    Template("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", ("gnu", "general")),
+    Template("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    Template("cc-by-nc", "Licensed under CC BY-NC 4.0.", ("cc", "nc")),
+    Template("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License.", ("commons", "attribution")),
+    Template("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", ("mozilla",)),
+    Template("all-rights-reserved", "Copyright. All rights reserved.", ("rights", "reserved")),
 ]
 
 
+def words_of(text: str) -> list[str]:
+    """Words of a template, by the rule for texts."""
+    return [w for w in _GAP.sub(" ", text.translate(str.maketrans(UPPER, LOWER))).split(" ") if w]
+
+
 def tokens_of(text: str) -> list[str]:
-    """Distinct words of a template, by the rule for texts."""
-    return sorted({w for w in _GAP.sub(" ", text.translate(str.maketrans(UPPER, LOWER))).split(" ") if w})
+    """Distinct words of a template."""
+    return sorted(set(words_of(text)))
 
 
 def spaced(text: Column) -> Column:
@@ -67,23 +84,26 @@ def phrase_starts(words: Column, phrase: str) -> Column:
     return F.when(last >= 0, F.filter(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), here)).otherwise(empty)
 
 
-def block_counts(df: DataFrame, text: str, tokens: list[str]) -> dict[str, int]:
-    """Blocks of the corpus that hold each template token. One row per token reaches the driver."""
-    lines = df.select(F.explode(F.split(F.translate(F.col(f"`{text}`"), UPPER, LOWER), "\n")).alias("line"))
-    held = F.array_distinct(F.filter(F.split(F.regexp_replace("line", GAP, " "), " "), lambda w: w.isin(tokens)))
-    rows = lines.select(F.explode(held).alias("token")).groupBy("token").count().collect()
+def text_counts(df: DataFrame, text: str, tokens: list[str]) -> dict[str, int]:
+    """Texts of the corpus that hold each template token. One row per token reaches the driver."""
+    held = F.array_distinct(F.filter(F.split(spaced(F.col(f"`{text}`")), " "), lambda w: w.isin(tokens)))
+    rows = df.select(F.explode(held).alias("token")).groupBy("token").count().collect()
     return {r["token"]: r["count"] for r in rows}
 
 
-def _containment(own: list[int], need: int):
-    """Share of a template's tokens in a block of sorted ranks; 0 where a filter or the exact count falls short."""
+def _containment(own: list[int], need: int, names: list[int]):
+    """Share of a template's tokens in a block of sorted ranks; 0 where a filter, a name or the exact count falls short."""
     template, prefix = F.array(*map(F.lit, own)), F.array(*map(F.lit, own[: len(own) - need + 1]))
 
     def share(block: Column) -> Column:
         first = F.array_min(F.array_intersect(block, prefix))
         after = F.least(len(own) - F.array_position(template, first), F.size(block) - F.array_position(block, first)) + 1
         common = F.size(F.array_intersect(block, template))
-        return F.when(F.size(block) < need, 0.0).when(F.coalesce(after < need, F.lit(True)), 0.0).when(common >= need, common / len(own)).otherwise(0.0)
+        named = F.lit(True)
+        for name in names:
+            named = named & F.array_contains(block, F.lit(name))
+        short = (F.size(block) < need) | F.coalesce(after < need, F.lit(True))
+        return F.when(short, 0.0).when((common >= need) & named, common / len(own)).otherwise(0.0)
 
     return share
 
@@ -91,44 +111,57 @@ def _containment(own: list[int], need: int):
 class TemplateIndex:
     """Templates as sorted ranks in the corpus-wide order of tokens, rarest first, with the tokens each needs."""
 
-    def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], threshold: float):
-        tokens = sorted({w for _, text in templates for w in tokens_of(text)})
+    def __init__(self, templates: list[Template], counts: dict[str, int], threshold: float):
+        tokens = sorted({w for t in templates for w in tokens_of(t.text)})
         self.words = sorted(tokens, key=lambda w: (counts.get(w, 0), w))
         order = {w: i for i, w in enumerate(self.words)}
-        self.labels = [label for label, _ in templates]
-        self.ranks = [sorted(order[w] for w in tokens_of(text)) for _, text in templates]
+        self.labels = [t.label for t in templates]
+        self.lengths = [len(words_of(t.text)) for t in templates]
+        self.ranks = [sorted(order[w] for w in tokens_of(t.text)) for t in templates]
         self.needs = [max(1, math.ceil(threshold * len(r) - 1e-9)) for r in self.ranks]
+        self.names = [[order[w] for w in t.names] for t in templates]
 
-    def prefix_tokens(self) -> list[str]:
-        return [self.words[i] for i in sorted({i for r, need in zip(self.ranks, self.needs) for i in r[: len(r) - need + 1]})]
+    def prefix(self, i: int) -> list[str]:
+        """The rarest tokens of a template, of which a block that meets it holds one."""
+        return [self.words[r] for r in self.ranks[i][: len(self.ranks[i]) - self.needs[i] + 1]]
 
-    def blocks(self, lines: Column) -> Column:
-        """Each line with a prefix token as sorted ranks of template tokens; the other lines cannot meet a template."""
-        order, prefixes = F.array(*map(F.lit, self.words)), self.prefix_tokens()
-        words = F.transform(lines, lambda line: F.split(F.regexp_replace(line, GAP, " "), " "))
-        probed = F.filter(words, lambda line: F.exists(line, lambda w: w.isin(prefixes)))
-
-        def ranked(line: Column) -> Column:
-            known = F.array_distinct(F.filter(line, lambda w: w.isin(self.words)))
+    def prefix_tokens(self) -> list[str]:
+        return sorted({w for i in range(len(self.ranks)) for w in self.prefix(i)}, key=self.words.index)
+
+    def marks(self, words: Column) -> Column:
+        """Where a text holds a token of any prefix, with the token."""
+        prefixes = self.prefix_tokens()
+        return F.filter(F.transform(words, lambda w, i: F.when(w.isin(prefixes), F.struct(i.alias("at"), w.alias("word")))), lambda m: m.isNotNull())
+
+    def blocks(self, i: int, words: Column, marks: Column) -> Column:
+        """Blocks around a template's prefix tokens, as sorted ranks of tokens of all templates."""
+        n, prefix, order = self.lengths[i], self.prefix(i), F.array(*map(F.lit, self.words))
+        near = F.transform(F.filter(marks, lambda m: m["word"].isin(prefix)), lambda m: F.floor(m["at"] / n).cast("int"))
+        # A word lies in the block that begins at or before it and in the one before.
+        starts = F.array_distinct(F.flatten(F.transform(near, lambda k: F.array(k, F.greatest(k - 1, F.lit(0))))))
+
+        def ranked(k: Column) -> Column:
+            known = F.array_distinct(F.filter(F.slice(words, k * n + 1, F.lit(2 * n)), lambda w: w.isin(self.words)))
             return F.sort_array(F.transform(known, lambda w: F.array_position(order, w).cast("int") - 1))
 
-        return F.transform(probed, ranked)
+        return F.transform(starts, ranked)
 
-    def shares(self, blocks: Column) -> Column:
+    def shares(self, words: Column, marks: Column) -> Column:
         """For each template, the largest containment that meets the threshold, else 0."""
-        return F.array(
-            *(F.coalesce(F.array_max(F.transform(blocks, _containment(own, need))), F.lit(0.0)) for own, need in zip(self.ranks, self.needs))
-        )
+        best = []
+        for i, (own, need, names) in enumerate(zip(self.ranks, self.needs, self.names)):
+            best.append(F.coalesce(F.array_max(F.transform(self.blocks(i, words, marks), _containment(own, need, names))), F.lit(0.0)))
+        return F.array(*best)
 
 
 def scan(
-    df: DataFrame, text: str = "text", phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8
+    df: DataFrame, text: str = "text", phrases: dict[str, str] | None = None, templates: list[Template] | None = None, threshold: float = 0.8
 ) -> DataFrame:
     """Add n_words, n_base, first_word, last_word, base_labels, labels and score (1 with a phrase, else containment)."""
     phrases, templates = phrases or PHRASES, templates or TEMPLATES
     outputs = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     kept = [c for c in df.columns if c.lower() not in outputs]
-    counts = block_counts(df, text, sorted({w for _, t in templates for w in tokens_of(t)}))
+    counts = text_counts(df, text, sorted({w for t in templates for w in tokens_of(t.text)}))
     index = TemplateIndex(templates, counts, threshold)
     source = F.col(f"`{text}`")
     padded = F.col("__padded")
@@ -137,16 +170,17 @@ def scan(
         hit = hit | padded.contains(f" {phrase} ")
     for token in index.prefix_tokens():
         probe = probe | padded.contains(f" {token} ")
-    row = df.select(packed(kept), source.alias("__source"), F.concat(F.lit(" "), spaced(source), F.lit(" ")).alias("__padded"))
-    row = row.withColumn("__blocks", F.when(probe, index.blocks(F.split(F.translate(F.coalesce("__source", F.lit("")), UPPER, LOWER), "\n"))))
-    row = row.withColumn("__shares", F.when(F.size("__blocks") > 0, index.shares(F.col("__blocks"))))
-    # A column of its own: inside a lambda it would be split again for every word.
-    row = row.withColumn("__words", F.when(hit, F.split(F.btrim(padded, F.lit(" ")), " ")))
+    row = df.select(packed(kept), F.concat(F.lit(" "), spaced(source), F.lit(" ")).alias("__padded"))
+    # Columns of their own: inside a lambda the text would be split again for every word.
+    row = row.select("*", F.when(hit, 1).alias("__hit"), F.when(probe, 1).alias("__probe"))
+    row = row.withColumn("__words", F.when(F.col("__hit").isNotNull() | F.col("__probe").isNotNull(), F.split(F.btrim(padded, F.lit(" ")), " ")))
+    row = row.withColumn("__marks", F.when(F.col("__probe").isNotNull(), index.marks(F.col("__words"))))
+    row = row.withColumn("__shares", F.when(F.size("__marks") > 0, index.shares(F.col("__words"), F.col("__marks"))))
     starts = F.array(*(phrase_starts(F.col("__words"), p) for p in phrases))
     row = row.select(
         ROW, "__shares",
         F.when(F.length(padded) == 2, 0).otherwise(F.length(padded) - F.length(F.replace(padded, F.lit(" "), F.lit(""))) - 1).cast("bigint").alias("n_words"),
-        F.when(F.col("__words").isNotNull(), starts).alias("__starts"),
+        F.when(F.col("__hit").isNotNull(), starts).alias("__starts"),
     )
     places = F.flatten("__starts")
     base = F.array_compact(F.array(*(F.when(F.size(F.get("__starts", F.lit(k))) > 0, label) for k, label in enumerate(phrases.values()))))

@@ -60,7 +60,7 @@ FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN reach ON reach.a = w.doc_id
 OP13_SQL = f"SELECT *, doc_id = component_id AS kept FROM ({jaccard_sql(2, 80)})"
 
 _WORDS6 = r"list_filter(string_split_regex({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
-_NOTICES = ", ".join(f"('{label}', {licenses.tokens_of(text)})" for label, text in licenses.TEMPLATES)
+_NOTICES = ", ".join(f"('{t.label}', {licenses.tokens_of(t.text)}, {list(t.names)}::VARCHAR[], {len(licenses.words_of(t.text))})" for t in licenses.TEMPLATES)
 _PLACES = ", ".join(
     "list_filter(range(len(words)), lambda i: " + " AND ".join(f"words[i + {k}] = '{part}'" for k, part in enumerate(phrase.split(" "), 1)) + f") AS p_{label}"
     for phrase, label in licenses.PHRASES.items()
@@ -74,12 +74,12 @@ p AS (SELECT doc_id, len(words)::BIGINT AS n_words, {_PLACES} FROM w),
 b AS (
   SELECT doc_id, n_words, {_BASE.format(*(f'p_{x}' for x in licenses.PHRASES.values()))} AS places,
          {_BASE.format(*(f"CASE WHEN len(p_{x}) > 0 THEN ['{x}'] ELSE [] END" for x in licenses.PHRASES.values()))} AS base FROM p),
-line AS (SELECT doc_id, unnest(string_split(lowered, chr(10))) AS line FROM t),
-block AS (SELECT doc_id, list_distinct({_WORDS6.format('line')}) AS tokens FROM line),
-notice AS (SELECT * FROM (VALUES {_NOTICES}) AS v(label, tokens)),
+notice AS (SELECT * FROM (VALUES {_NOTICES}) AS v(label, tokens, names, n)),
+block AS (
+  SELECT doc_id, label, tokens, names, list_distinct(list_slice(words, s + 1, s + 2 * n)) AS own FROM w, notice, unnest(range(0, len(words), n)) AS t(s)),
 met AS (
-  SELECT doc_id, label, len(list_intersect(block.tokens, notice.tokens)) AS common, len(notice.tokens) AS size FROM block, notice
-  WHERE len(list_intersect(block.tokens, notice.tokens)) >= ceil(0.8 * len(notice.tokens) - 1e-9)),
+  SELECT doc_id, label, len(list_intersect(own, tokens)) AS common, len(tokens) AS size FROM block
+  WHERE len(list_intersect(own, tokens)) >= ceil(0.8 * len(tokens) - 1e-9) AND len(list_intersect(own, names)) = len(names)),
 alike AS (SELECT doc_id, list(DISTINCT label) AS labels, max(common / size) AS share FROM met GROUP BY 1)
 SELECT doc_id, n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
        array_to_string(list_sort(base), ',') AS base_labels,

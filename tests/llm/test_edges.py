@@ -145,3 +145,54 @@ def test_co_training_of_odd_tables(spark):
     whole = spark.createDataFrame([(r[0], int(r[0] % 3 != 0)) for r in rows], "doc_id long, quality int")
     model = cotraining.fit(docs.where("doc_id is not null"), whole.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0) | (F.col("quality") == 1)))
     assert list(model.combined.weights) == [0.0, 0.5, 0.5]
+
+
+MIT_WRAPPED = """Permission is hereby granted, free of charge,
+to any person obtaining a copy of this software
+and associated documentation files"""
+BSD_WRAPPED = """Redistribution and use in source and binary
+forms, with or without modification, are
+permitted provided that the following
+conditions are met:"""
+
+
+def test_wrapped_notices_and_lookalikes(spark):
+    filler = " ".join(f"w{i}" for i in range(500))
+    texts = {
+        1: (f"{filler}\n{MIT_WRAPPED}\n{filler}", "mit"),
+        2: (f"# code\n{BSD_WRAPPED}", "bsd"),
+        3: ("Licensed under the Mozilla Public License, Version 2.0", ""),
+        4: ("Licensed under CC BY 4.0.", ""),
+        5: (f"The license was released {filler} under the", ""),
+        6: (f"released by mit {filler} under the license", ""),
+        7: ("Released under\nthe MIT\nLicense", "mit"),
+        8: (f"{MIT_WRAPPED} {BSD_WRAPPED}", "bsd,mit"),
+        9: ("copyright all rights " + filler, ""),
+        10: (filler * 400 + " licensed under the apache license version 2 0", "apache"),
+    }
+    df = spark.createDataFrame([(i, t) for i, (t, _) in texts.items()], "doc_id long, text string")
+    assert {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()} == {i: want for i, (_, want) in texts.items()}
+
+
+def test_license_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    templates = [licenses.Template("a", "one two three four five six", ("three",)), licenses.Template("b", "two two seven eight"), licenses.Template("c", "nine")]
+    pool = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    texts = []
+    for i in range(150):
+        words = [str(rng.choice(pool)) if rng.random() < 0.45 else f"x{rng.integers(9)}" for _ in range(rng.integers(0, 60))]
+        texts.append(" ".join(w for w in words if w != "nine" or i % 3))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {}
+    for i, text in enumerate(texts):
+        words, labels, best = text.split(), set(), 0.0
+        for t in templates:
+            own, n = set(t.text.split()), len(t.text.split())
+            for at in range(0, len(words), n):
+                block = set(words[at : at + 2 * n])
+                if len(block & own) >= -(-4 * len(own) // 5) and block >= set(t.names):
+                    labels.add(t.label)
+                    best = max(best, len(block & own) / len(own))
+        want[i] = (",".join(sorted(labels)), round(best, 9))
+    got = {r["doc_id"]: (r["labels"], round(r["score"], 9)) for r in licenses.scan(df, phrases={"no such phrase": "z"}, templates=templates).collect()}
+    assert got == want and len({w for w, _ in want.values()}) > 3
