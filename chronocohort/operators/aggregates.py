@@ -7,6 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronocohort.operators.skew import heavy_keys, key_join
+
 
 def conditional_pivot(
     df: DataFrame, keys: Sequence[str], label: str, value: str, columns: dict[str, tuple[str, str]]
@@ -84,21 +86,30 @@ def drop_sparse_columns(df: DataFrame, candidates: Sequence[str], min_count: int
     return df.drop(*[c for c in candidates if counts[c] < min_count])
 
 
-def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, Sequence] | None = None) -> DataFrame:
+def one_hot(df: DataFrame, columns: Sequence[str], categories: dict[str, Sequence] | None = None, max_categories: int = 1000) -> DataFrame:
     """A 0/1 column ``name_category`` per category, in place of each listed column.
 
-    ``categories`` names them by column where they are known; otherwise they are read from the data, one job a column.
+    ``categories`` names them by column where they are known; otherwise they are read from the data, one job a column,
+    and a column with more than ``max_categories`` is refused: its long form is ``one_hot_long``.
     """
     for c in columns:
         known = (categories or {}).get(c)
-        found = [(x,) for x in known] if known is not None else df.where(F.col(c).isNotNull()).select(c).distinct().collect()
-        flags = {
-            f"{c}_{value}": F.when(F.col(c) == value, 1).otherwise(0) for value in sorted(r[0] for r in found)
-        }
-        df = df.withColumns(flags).drop(c)
+        if known is None:
+            found = df.where(F.col(c).isNotNull()).select(c).distinct().limit(max_categories + 1).collect()
+            if len(found) > max_categories:
+                raise ValueError(f"column {c} has more than {max_categories} categories; name them or use one_hot_long")
+            known = [r[0] for r in found]
+        df = df.withColumns({f"{c}_{value}": F.when(F.col(c) == value, 1).otherwise(0) for value in sorted(known)}).drop(c)
     return df
 
 
+def one_hot_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The ones of ``one_hot`` as rows (keys, feature, category, value): for any number of categories, nothing is collected."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("category")) for c in columns))
+    long = df.select(*keys, F.explode(pairs).alias("_p")).where(F.col("_p.category").isNotNull())
+    return long.select(*keys, "_p.feature", "_p.category", F.lit(1).alias("value"))
+
+
 def weighted_rate(
     rates: DataFrame,
     weights: Sequence[DataFrame],
@@ -107,15 +118,18 @@ def weighted_rate(
     code: str,
     rate: str,
     columns: dict[str, tuple[Sequence, Sequence]],
+    hot: dict | DataFrame | None = None,
 ) -> DataFrame:
     """Highest rate per key and column ``{name: (codes per weight unit, codes as given)}``.
 
     Codes of the first list are divided by the entity's first known weight; each table of
-    ``weights`` has columns (entity, weight) with one row per entity.
+    ``weights`` has columns (entity, weight) with one row per entity. An entity with very many rates is split
+    (``hot`` as in ``key_join``, counted once where it is not given).
     """
     known = []
+    hot = heavy_keys(rates, entity) if hot is None else hot
     for i, table in enumerate(weights):
-        rates = rates.join(table.select(entity, F.col("weight").alias(f"_w{i}")), entity, "left")
+        rates = key_join(rates, table.select(entity, F.col("weight").alias(f"_w{i}")), entity, how="left", hot=hot)
         known.append(F.col(f"_w{i}"))
     per_unit = F.try_divide(F.col(rate), F.coalesce(*known))
     aggs = []

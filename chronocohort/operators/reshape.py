@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from chronocohort.functions.timefn import ceil_hour, hours_between, shift_hours
 from chronocohort.operators.ordered import KeyedOrder
+from chronocohort.operators.skew import key_join
 
 
 def hour_spine(stays: DataFrame, key: str, start: str, end: str, lead: int = 24) -> DataFrame:
@@ -176,11 +177,12 @@ def feature_order(series: DataFrame, key: str, vars_col: str) -> DataFrame:
 
 
 def horizon_expand(
-    long: DataFrame, onsets: DataFrame, key: str, t: str, onset: str, horizons: int = 6
+    long: DataFrame, onsets: DataFrame, key: str, t: str, onset: str, horizons: int = 6, hot: dict | DataFrame | None = None
 ) -> DataFrame:
     """Each series once per horizon h = 0..``horizons``: h = 0 keeps every observation, h >= 1 those
-    at least h hours before onset. A series without observations at a horizon is absent there."""
-    spread = long.join(onsets.select(key, onset), key).withColumn(
+    at least h hours before onset. A series without observations at a horizon is absent there. A very long series is
+    split (``hot`` as in ``key_join``)."""
+    spread = key_join(long, onsets.select(key, onset), key, hot=hot).withColumn(
         "horizon", F.explode(F.sequence(F.lit(0), F.lit(horizons)))
     )
     keep = (F.col("horizon") == 0) | (F.col(t) <= F.col(onset) - F.col("horizon"))

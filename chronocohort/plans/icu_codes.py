@@ -6,23 +6,24 @@ These are given by the source database and the published scores and must stay as
 from __future__ import annotations
 
 # --- suspicion of infection: fixed word lists -------------------------------------------------
-ANTIBIOTIC_WORDS = """
-adoxa | ala-tet | alodox | amikacin | amikin | amoxicillin | amoxicillin%clavulanate | clavulanate | ampicillin
-augmentin | avelox | avidoxy | azactam | azithromycin | aztreonam | axetil | bactocill | bactrim | bethkis | biaxin
-bicillin l-a | cayston | cefazolin | cedax | cefoxitin | ceftazidime | cefaclor | cefadroxil | cefdinir | cefditoren
-cefepime | cefotetan | cefotaxime | cefpodoxime | cefprozil | ceftibuten | ceftin | cefuroxime | cephalexin
-chloramphenicol | cipro | ciprofloxacin | claforan | clarithromycin | cleocin | clindamycin | cubicin | dicloxacillin
-doryx | doxycycline | duricef | dynacin | ery-tab | eryped | eryc | erythrocin | erythromycin | factive | flagyl | fortaz
-furadantin | garamycin | gentamicin | kanamycin | keflex | ketek | levaquin | levofloxacin | lincocin | macrobid
-macrodantin | maxipime | mefoxin | metronidazole | minocin | minocycline | monodox | monurol | morgidox | moxatag
-moxifloxacin | myrac | nafcillin sodium | nicazel doxy 30 | nitrofurantoin | noroxin | ocudox | ofloxacin | omnicef
-oracea | oraxyl | oxacillin | pc pen vk | pce dispertab | panixine | pediazole | penicillin | periostat | pfizerpen
-piperacillin | tazobactam | primsol | proquin | raniclor | rifadin | rifampin | rocephin | smz-tmp | septra | septra ds
-solodyn | spectracef | streptomycin sulfate | sulfadiazine | sulfamethoxazole | trimethoprim | sulfatrim | sulfisoxazole
-suprax | synercid | tazicef | tetracycline | timentin | tobi | tobramycin | unasyn | vancocin | vancomycin | vantin
-vibativ | vibra-tabs | vibramycin | zinacef | zithromax | zmax | zosyn | zyvox
-"""
-ANTIBIOTICS = [w.strip() for line in ANTIBIOTIC_WORDS.strip().splitlines() for w in line.split("|")]
+ANTIBIOTICS = [
+    "adoxa", "ala-tet", "alodox", "amikacin", "amikin", "amoxicillin", "amoxicillin%clavulanate", "clavulanate", "ampicillin",
+    "augmentin", "avelox", "avidoxy", "azactam", "azithromycin", "aztreonam", "axetil", "bactocill", "bactrim", "bethkis",
+    "biaxin", "bicillin l-a", "cayston", "cefazolin", "cedax", "cefoxitin", "ceftazidime", "cefaclor", "cefadroxil",
+    "cefdinir", "cefditoren", "cefepime", "cefotetan", "cefotaxime", "cefpodoxime", "cefprozil", "ceftibuten", "ceftin",
+    "cefuroxime", "cephalexin", "chloramphenicol", "cipro", "ciprofloxacin", "claforan", "clarithromycin", "cleocin",
+    "clindamycin", "cubicin", "dicloxacillin", "doryx", "doxycycline", "duricef", "dynacin", "ery-tab", "eryped", "eryc",
+    "erythrocin", "erythromycin", "factive", "flagyl", "fortaz", "furadantin", "garamycin", "gentamicin", "kanamycin",
+    "keflex", "ketek", "levaquin", "levofloxacin", "lincocin", "macrobid", "macrodantin", "maxipime", "mefoxin",
+    "metronidazole", "minocin", "minocycline", "monodox", "monurol", "morgidox", "moxatag", "moxifloxacin", "myrac",
+    "nafcillin sodium", "nicazel doxy 30", "nitrofurantoin", "noroxin", "ocudox", "ofloxacin", "omnicef", "oracea", "oraxyl",
+    "oxacillin", "pc pen vk", "pce dispertab", "panixine", "pediazole", "penicillin", "periostat", "pfizerpen",
+    "piperacillin", "tazobactam", "primsol", "proquin", "raniclor", "rifadin", "rifampin", "rocephin", "smz-tmp", "septra",
+    "septra ds", "solodyn", "spectracef", "streptomycin sulfate", "sulfadiazine", "sulfamethoxazole", "trimethoprim",
+    "sulfatrim", "sulfisoxazole", "suprax", "synercid", "tazicef", "tetracycline", "timentin", "tobi", "tobramycin", "unasyn",
+    "vancocin", "vancomycin", "vantin", "vibativ", "vibra-tabs", "vibramycin", "zinacef", "zithromax", "zmax", "zosyn",
+    "zyvox",
+]
 DRUG_TYPES = ["MAIN", "ADDITIVE"]
 EXCLUDED_ROUTES = ["OU", "OS", "OD", "AU", "AS", "AD", "TP"]
 EXCLUDED_ROUTE_WORDS = ["ear", "eye"]

@@ -370,6 +370,15 @@ def p_one_hot(spark, d):
     return A.one_hot(c, ["c_mktsegment"])
 
 
+@query(
+    "p_one_hot_long",
+    """SELECT c_custkey, 'c_mktsegment' AS feature, c_mktsegment AS category, 1 AS value FROM customer WHERE c_mktsegment IS NOT NULL
+       UNION ALL SELECT c_custkey, 'c_name', c_name, 1 FROM customer WHERE c_name IS NOT NULL""",
+)
+def p_one_hot_long(spark, d):
+    return A.one_hot_long(table(spark, d, "customer"), ["c_custkey"], ["c_mktsegment", "c_name"])
+
+
 @query(
     "p_relabel",
     """SELECT 1 AS label, user_id AS entity, ts AS chart_time, value AS reading FROM events WHERE event_type = 'error'

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronocohort.functions.timefn import hours
-from chronocohort.operators import cohort as C, intervals as I, ordered, reshape as R, skew, sampling as P, windows as W
+from chronocohort.operators import aggregates as A, cohort as C, intervals as I, ordered, reshape as R, skew, sampling as P, windows as W
 from chronocohort.operators.evaluate import curve_points
 from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import GroupSizes, hot_keys, key_join
@@ -86,6 +86,32 @@ def test_key_join(skewed):
         plain = key_join(skewed, index, "user_id", condition, how, hot={})
         assert rows(salted) == rows(plain)
         assert rows(key_join(skewed, index, "user_id", condition, how, max_group=1)) == rows(plain)
+        by_table = key_join(skewed, index, "user_id", condition, how, max_group=1, max_listed=0)
+        assert "_salt" not in "".join(by_table.columns) and rows(by_table) == rows(plain)
+
+
+def test_many_hot_keys_are_a_table(spark):
+    """10,000 hot keys and a null one: no list in the plan, and every row once."""
+    events = spark.range(60_000).select(F.when(F.col("id") % 6 < 5, F.col("id") % 10_000).alias("k"), F.col("id").alias("v"))
+    index = spark.range(0, 10_000, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("t0"))
+    assert not isinstance(skew.heavy_keys(events, "k", 2), dict) and skew.GroupSizes(events, 2).split("k")
+    for how, n in (("left", 60_000), ("left_anti", events.join(index, "k", "left_anti").count())):
+        joined = key_join(events, index, "k", how=how, max_group=2)
+        assert joined.count() == n and joined.select("v").distinct().count() == n
+        assert "map(" not in joined._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(key_join(events, index, "k", max_group=2)) == rows(events.join(index, "k"))
+
+
+def test_rates_and_horizons_of_hot_keys(skewed):
+    onsets = skewed.groupBy("user_id").agg(F.lit(30.0).alias("onset"))
+    long = skewed.select("user_id", "event_id", F.col("value").alias("t"))
+    split = R.horizon_expand(long, onsets, "user_id", "t", "onset", 6, hot=hot_keys(long, "user_id", 100))
+    assert rows(split) == rows(R.horizon_expand(long, onsets, "user_id", "t", "onset", 6, hot={}))
+    weights = [skewed.where("user_id % 2 = 1").groupBy("user_id").agg(F.avg("value").alias("weight"))]
+    rate = lambda hot: A.weighted_rate(skewed, weights, "user_id", ["user_id", "event_type"], "event_type", "value", {"r": (["view"], ["click"])}, hot)
+    assert rows(rate({7: 50 * skew.MAX_GROUP_ROWS})) == rows(rate({}))
+    with pytest.raises(ValueError):
+        A.one_hot(skewed, ["user_id"], max_categories=3)
 
 
 def test_time_operators(skewed):
