@@ -46,7 +46,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts in a row, and where each starts (one more entry than texts); nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
-        column = pa.concat_arrays(column.cast(pa.large_string()).chunks) if column.num_chunks else pa.array([], pa.large_string())
+        column = pa.concat_arrays([pa.array([], pa.large_string()), *column.cast(pa.large_string()).chunks])
     column = column.cast(pa.large_string())
     if column.null_count:
         column = column.fill_null("")
