@@ -1,10 +1,14 @@
 """URL verdicts: host and path rules first, then the ratio of two character language models.
 
-The rules mark URLs as accepted or rejected. Over all URLs they mark, symbol trigrams are counted once per verdict, and
-two variable-order Markov models (three symbols, backed by two, by one) are smoothed from the counts. A URL that no
-rule decides is judged by its mean log-likelihood difference, calibrated on a fifth of the marked URLs that the models
-do not see. Symbols come from a folded alphabet of 32, so a model has 32768 entries at most whatever the input, and it
-reaches the rows as one scalar. Everything is DataFrame functions; no row leaves its partition but for counts.
+The rules mark URLs as accepted or rejected. Over all URLs they mark, every symbol is counted after its contexts of up to
+five unfolded characters, and two variable-order Markov models are smoothed from the counts: a context seen ``min_seen``
+times is used, a rarer one backs off to the next shorter. The counts are a table that grows with the input; longer grams
+are named by their suffixes, so each level is one join in which a key meets an alphabet of rows at most. A URL that no
+rule decides is judged by its mean log-likelihood difference less a cut: the middle of the steps with the fewest errors,
+averaged over both classes, on a fifth of the marked URLs that the models do not see.
+
+Grams and URLs that many rows share are broadcast, 4,096 at most since each has more than a 4,096th of the rows; the others
+are joined by a shuffle. Everything is DataFrame functions.
 
 Null URLs and URLs without ``://`` have empty host and path and no rule. Null and empty URLs score 0 and are allowed,
 as is everything when no URL is marked. Repeated rows are judged alike; input columns named like outputs are replaced.
@@ -18,11 +22,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window as W
 
 from chronocohort.llm.carried import packed, unpacked
+from chronocohort.llm.components import stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-SYMBOLS = LOWER + "0./-?*"
-BASE = len(SYMBOLS)
-SIZE = BASE**3
+START, END = "\x02", "\x03"
+ORDER = 6
+HEAVY = 4096
+STEPS = 1024
 
 
 @dataclass(frozen=True)
@@ -65,81 +71,104 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return found
 
 
-def with_trigrams(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``__codes``: codes of all symbol trigrams of a text, with two symbols of padding in front and one behind."""
-    lower = F.translate(text, UPPER + "123456789", LOWER + "0" * 9)
-    folded = F.concat(F.lit("**"), F.regexp_replace(F.regexp_replace(lower, "[?&=#%_~+:;]", "?"), "[^a-z0./?-]", "*"), F.lit("*"))
-    symbols = F.transform(F.filter(F.split(folded, ""), lambda c: c != ""), lambda c: F.instr(F.lit(SYMBOLS), c) - 1)
-    # Two steps: inside the second lambda the symbols would be made again for every place.
-    ready = rows.withColumn("__symbols", F.when(F.length(text) > 0, symbols))
-    at = lambda i: F.get("__symbols", i)
-    codes = F.transform(F.sequence(F.lit(0), F.size("__symbols") - 3), lambda i: at(i) * BASE * BASE + at(i + 1) * BASE + at(i + 2))
-    return ready.withColumn("__codes", F.when(F.col("__symbols").isNotNull(), codes)).drop("__symbols")
-
-
-def log_ratios(counts: DataFrame, strength: float) -> DataFrame:
-    """One row: by trigram code, ln P(symbol | context, accepted) - ln P(symbol | context, rejected)."""
-    spark = counts.sparkSession
-    grid = spark.range(SIZE).join(counts.withColumn("id", F.col("code").cast("bigint")), "id", "left")
-    code = F.col("id")
-
-    def model(kind: str) -> Column:
-        n = F.coalesce(F.col(kind), F.lit(0))
-
-        def total(*key: Column) -> Column:
-            return F.sum(n).over(W.partitionBy(*key))
-
-        middle, last = F.floor(code / BASE) % BASE, code % BASE
-        one = (total(last) + 1) / (total(F.lit(0)) + BASE)
-        two = (total(code % (BASE * BASE)) + strength * one) / (total(middle) + strength)
-        return (n + strength * two) / (total(F.floor(code / BASE)) + strength)
-
-    pairs = grid.select("id", (F.log(model("n_allow")) - F.log(model("n_block"))).alias("ratio"))
-    return pairs.agg(F.sort_array(F.collect_list(F.struct("id", "ratio"))).alias("all")).select(F.col("all.ratio").alias("ratios"))
+def with_grams(rows: DataFrame, url: str = "url") -> DataFrame:
+    """One row per symbol of a URL and its end: ``gram``, the symbol after the five before it."""
+    symbols = F.concat(
+        F.array_repeat(F.lit(START), ORDER - 1), F.filter(F.split(F.col(url), ""), lambda c: c != ""), F.array(F.lit(END))
+    )
+    # Two steps: inside the lambda the symbols would be made again for every place.
+    ready = rows.withColumn("symbols", symbols)
+    places = F.sequence(F.lit(0), F.size("symbols") - ORDER)
+    grams = F.transform(places, lambda i: F.concat(*(F.get("symbols", i + k) for k in range(ORDER))))
+    return ready.select(*rows.columns, F.explode(grams).alias("gram"))
+
+
+def log_ratios(counts: DataFrame, strength: float, min_seen: int) -> DataFrame:
+    """From (gram, n_allow, n_block) to (gram, ratio): ln P(last symbol | context, accepted) less that for rejected."""
+    kinds = ("allow", "block")
+    levels = [counts.select("gram", "n_allow", "n_block")]
+    for size in range(ORDER - 1, 0, -1):
+        shorter = F.substring("gram", 2, size).alias("gram")
+        levels.insert(0, levels[0].groupBy(shorter).agg(*(F.sum(f"n_{k}").alias(f"n_{k}") for k in kinds)))
+    whole = levels[0].select(F.struct(F.count("*").alias("size"), *(F.sum(f"n_{k}").alias(k) for k in kinds))).scalar()
+    model = levels[0].select("gram", *(((F.col(f"n_{k}") + 1) / (whole[k] + whole["size"] + 1)).alias(f"p_{k}") for k in kinds))
+    for size, level in enumerate(levels[1:], 2):
+        context = W.partitionBy(F.substring("gram", 1, size - 1))
+        seen = level.select(
+            "gram", "n_allow", "n_block", F.substring("gram", 2, size - 1).alias("rest"), *(F.sum(f"n_{k}").over(context).alias(f"all_{k}") for k in kinds)
+        )
+        enough = F.col("all_allow") + F.col("all_block") >= min_seen
+
+        def smoothed(k: str) -> Column:
+            mixed = (F.col(f"n_{k}") + strength * F.col(f"p_{k}")) / (F.col(f"all_{k}") + strength)
+            return F.when(enough, mixed).otherwise(F.col(f"p_{k}")).alias(f"p_{k}")
+
+        model = seen.join(model.withColumnRenamed("gram", "rest"), "rest").select("gram", *(smoothed(k) for k in kinds))
+    return model.select("gram", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+
+
+def meet(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join on ``key``; ``side`` has one row per key with the number ``n`` of its rows, heavy keys are broadcast."""
+    least = side.agg(F.coalesce(F.sum(n), F.lit(0)) / HEAVY).scalar()
+    heavy = F.broadcast(side.where(F.col(n) > least).drop(n))
+    common = rows.join(heavy, key)
+    others = rows.join(heavy.select(key), key, "left_anti").join(side.where(F.col(n) <= least).drop(n), key)
+    return common.unionByName(others)
+
+
+def cut_of(held: DataFrame) -> Column:
+    """Scalar: the middle of the cuts with the smallest mean error rate of both classes; 0 if one class is absent."""
+    ends = held.select(F.struct(F.min("s").alias("low"), F.max("s").alias("high"))).scalar()
+    low, high = ends["low"], ends["high"]
+    step = F.when(high > low, F.floor((F.col("s") - low) / (high - low) * STEPS)).otherwise(0)
+    bins = held.groupBy(step.cast("int").alias("step")).agg(
+        F.sum(F.when(F.col("accepted"), F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("accepted"), 0).otherwise(F.col("n"))).alias("b")
+    )
+    # At most STEPS + 1 rows from here on.
+    before, whole = W.orderBy("step").rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
+    rates = bins.select(
+        "step", F.lag("step").over(W.orderBy("step")).alias("last"),
+        (F.coalesce(F.sum("a").over(before), F.lit(0)) / F.nullif(F.sum("a").over(whole), F.lit(0))).alias("lost"),
+        (1 - F.coalesce(F.sum("b").over(before), F.lit(0)) / F.nullif(F.sum("b").over(whole), F.lit(0))).alias("passed"),
+    )
+    # A cut anywhere between two filled steps has the same errors: take the middle of that gap.
+    place = (F.coalesce(F.col("last") + 1, F.col("step")) + F.col("step")) / 2 / STEPS
+    cut = low + place * (high - low)
+    best = rates.where("lost is not null and passed is not null").agg(F.min_by(cut, F.struct(F.round(F.col("lost") + F.col("passed"), 12), "step")).alias("cut"))
+    return best.select(F.coalesce("cut", F.lit(0.0))).scalar()
+
+
+def url_scores(known: DataFrame, strength: float, min_seen: int) -> DataFrame:
+    """From (url, accepted or null) rows to one row per non-empty URL: id, n (its rows) and score, calibrated."""
+    named = known.where("url <> ''").select(F.unhex(F.sha2("url", 256)).alias("id"), "url", "accepted")
+    held = F.col("accepted").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(5)) == 0)
+    urls = named.groupBy("id", "url", "accepted").agg(F.count("*").alias("n")).withColumn("held", held)
+    urls = stored(urls, "urls")
+    weight = lambda c: F.sum(F.when(c & ~F.col("held"), F.col("n")).otherwise(0))
+    counts = with_grams(urls).groupBy("gram").agg(
+        F.count("*").alias("n"), weight(F.col("accepted")).alias("n_allow"), weight(~F.col("accepted")).alias("n_block")
+    )
+    counts = stored(counts, "grams")
+    ratios = stored(log_ratios(counts, strength, min_seen).join(counts.select("gram", "n"), "gram"), "ratios")
+    places = with_grams(urls.select("id", "url")).drop("url")
+    means = meet(places, ratios, "gram", "n").groupBy("id").agg(F.avg("ratio").alias("s"))
+    scored = stored(urls.select("id", "accepted", "held", "n").join(means, "id"), "scores")
+    return scored.select("id", "n", (F.col("s") - cut_of(scored.where("held"))).alias("score"))
 
 
-def judge(df: DataFrame, rules: list[Rule], url: str = "url", strength: float = 2.0) -> DataFrame:
+def judge(df: DataFrame, rules: list[Rule], url: str = "url", strength: float = 2.0, min_seen: int = 4) -> DataFrame:
     """Add host, path, rule, score (calibrated difference, above 0 for accepted) and verdict (allow or block)."""
     outputs = ("host", "path", "rule", "score", "verdict")
     kept = [c for c in df.columns if c.lower() not in outputs]
     source = F.col(f"`{url}`")
     allows = [r.text for r in rules if r.allow]
-    known = df.select(packed(kept), F.struct(host_of(source).alias("host"), path_of(source).alias("path"), source.alias("url")).alias("__u"))
-    rule = rule_of(F.coalesce(F.col("__u.host"), F.lit("")), F.coalesce(F.col("__u.path"), F.lit("")), rules)
-    known = known.withColumn("__rule", rule)
-    marked = known.where(F.col("__rule").isNotNull()).select(
-        F.col("__rule").isin(allows).alias("accepted"), (F.pmod(F.xxhash64("__u.url"), F.lit(5)) == 0).alias("held"), F.col("__u.url").alias("url")
-    )
-    counts = (
-        with_trigrams(marked.where(~F.col("held")), F.col("url"))
-        .select("accepted", F.explode("__codes").alias("code"))
-        .groupBy("code")
-        .agg(F.count_if(F.col("accepted")).alias("n_allow"), F.count_if(~F.col("accepted")).alias("n_block"))
-    )
-    model = log_ratios(counts, strength).scalar()
-
-    def with_ratio(rows: DataFrame, text: Column) -> DataFrame:
-        """Add ``__s``: the mean log ratio over a text's trigrams, null without text."""
-        codes = F.col("__codes")
-        total = F.aggregate(codes, F.lit(0.0), lambda sum_, c: sum_ + F.element_at("__model", c + 1))
-        ready = with_trigrams(rows, text).withColumn("__model", model)
-        return ready.withColumn("__s", total / F.size(codes)).drop("__codes", "__model")
-
-    # The cut lies between the two held-out means, each weighted by the other's spread.
-    seen = with_ratio(marked.where("held"), F.col("url")).select("accepted", F.col("__s").alias("s"))
-    stats = seen.agg(
-        F.avg(F.when(F.col("accepted"), F.col("s"))).alias("a"), F.avg(F.when(~F.col("accepted"), F.col("s"))).alias("b"),
-        F.stddev_pop(F.when(F.col("accepted"), F.col("s"))).alias("da"), F.stddev_pop(F.when(~F.col("accepted"), F.col("s"))).alias("db"),
-    )
-    spread = F.col("da") + F.col("db")
-    cut = stats.select(F.coalesce(F.when(spread > 0, (F.col("a") * F.col("db") + F.col("b") * F.col("da")) / spread), (F.col("a") + F.col("b")) / 2, F.lit(0.0))).scalar()
-    scored = with_ratio(known, F.col("__u.url")).withColumn("__score", F.coalesce(F.col("__s") - cut, F.lit(0.0)))
-    decided = F.when(F.col("__rule").isNotNull(), F.when(F.col("__rule").isin(allows), "allow").otherwise("block"))
-    return scored.select(
-        *unpacked(kept),
-        F.coalesce("__u.host", F.lit("")).alias("host"),
-        F.coalesce("__u.path", F.lit("")).alias("path"),
-        F.col("__rule").alias("rule"),
-        F.col("__score").alias("score"),
-        F.coalesce(decided, F.when(F.col("__score") >= 0, "allow").otherwise("block")).alias("verdict"),
-    )
+    host, path = F.coalesce(host_of(source), F.lit("")), F.coalesce(path_of(source), F.lit(""))
+    known = df.select(packed(kept), host.alias("host"), path.alias("path"), source.alias("url"))
+    known = known.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    scores = url_scores(known.select("url", F.col("rule").isin(allows).alias("accepted")), strength, min_seen)
+    full, bare = known.where("url <> ''"), known.where("url is null or url = ''")
+    scored = meet(full.withColumn("id", F.unhex(F.sha2("url", 256))), scores, "id", "n").drop("id")
+    scored = scored.unionByName(bare.withColumn("score", F.lit(0.0)))
+    decided = F.when(F.col("rule").isNotNull(), F.when(F.col("rule").isin(allows), "allow").otherwise("block"))
+    verdict = F.coalesce(decided, F.when(F.col("score") >= 0, "allow").otherwise("block"))
+    return scored.select(*unpacked(kept), "host", "path", "rule", "score", verdict.alias("verdict"))
