@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from chronocohort.functions.scalars import category_map, round_tens
 from chronocohort.functions.timefn import hours, hours_between
 from chronocohort.operators import aggregates as A, reshape as R, sampling as P
-from chronocohort.operators.skew import key_join
+from chronocohort.operators.skew import MAX_GROUP_ROWS, heavy_keys, key_join
 from chronocohort.plans.icu_codes import ETHNIC_GROUPS
 from chronocohort.plans.tables import Tables
 
@@ -22,12 +22,22 @@ def merge_sources(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def before_horizon(
-    events: DataFrame, stays: DataFrame, key: str, t: str, start: str, onset: str, horizon: int = 0
+    events: DataFrame,
+    stays: DataFrame,
+    key: str,
+    t: str,
+    start: str,
+    onset: str,
+    horizon: int = 0,
+    hot: dict | DataFrame | None = None,
 ) -> DataFrame:
-    """Events from the start of the stay to ``horizon`` hours before onset, at ``t`` hours since start."""
+    """Events from the start of the stay to ``horizon`` hours before onset, at ``t`` hours since start.
+
+    ``hot`` are the heavy keys as in ``key_join``, for events that are themselves a costly plan.
+    """
     index = stays.select(key, F.col(start).alias("_start"), F.col(onset).alias("_onset"))
     inside = F.col(t).between(F.col("_start"), F.col("_onset") - hours(horizon))
-    kept = key_join(events, index, key, inside).withColumn("_hours", hours_between("_start", t))
+    kept = key_join(events, index, key, inside, hot=hot).withColumn("_hours", hours_between("_start", t))
     return kept.drop("_start", "_onset", t).withColumnRenamed("_hours", "t")
 
 
@@ -62,11 +72,13 @@ def labelled_series(
     min_values: int = 500,
     min_length: float | None = None,
     max_length: float | None = None,
+    keep: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Vitals and labs of cases (label 1) and controls (label 0) up to ``horizon`` hours before onset.
 
     ``t`` are the tables of ``icu_cohort.cohort_tables``. Columns with fewer than ``min_values``
-    readings are left out, as are stays shorter or longer than the limits.
+    readings are left out, as are stays shorter or longer than the limits. ``keep`` stores the rows before
+    their columns are counted (see ``session.durable``); without it the plan runs once for that alone.
     """
     parts = []
     for side, label, onset, target in (
@@ -75,28 +87,35 @@ def labelled_series(
     ):
         labs = t[f"{side}_labs"].dropna(subset=["chart_time"])
         merged = merge_sources(t[f"{side}_vitals"], labs, ["icustay_id", "chart_time", "subject_id", target])
-        inside = before_horizon(merged, t[f"{side}_static"], "icustay_id", "chart_time", "intime", onset, horizon)
+        # A merged stay has no more rows than its sources together, which are cheaper to count than their join.
+        hot = heavy_keys(t[f"{side}_vitals"].select("icustay_id").union(labs.select("icustay_id")), "icustay_id")
+        inside = before_horizon(merged, t[f"{side}_static"], "icustay_id", "chart_time", "intime", onset, horizon, hot)
         named = inside.withColumnRenamed(target, "sepsis_target").withColumn("label", F.lit(label))
         parts.append(named.select(*IDS, *[c for c in named.columns if c not in IDS]))
     full = parts[0].unionByName(parts[1])
+    full = keep(full) if keep else full
     full = A.drop_sparse_columns(full, [c for c in full.columns if c not in IDS], min_values)
     onsets = onset_hours(t["case_static"], t["control_static"])
     return within_lengths(full, onsets, "icustay_id", "t", "onset_hour", min_length, max_length)
 
 
 def static_features(case_static: DataFrame, control_static: DataFrame, categories: Sequence[str] = ("gender", "first_careunit")) -> DataFrame:
-    """Capped age and 0/1 columns of the categories per stay."""
+    """Capped age and 0/1 columns of the categories per stay; an unknown age stays unknown."""
     columns = ["icustay_id", "admission_age", *categories]
     rows = case_static.select(*columns).unionByName(control_static.select(*columns))
-    rows = rows.withColumn("admission_age", F.least("admission_age", F.lit(90.0)))
+    rows = rows.withColumn("admission_age", F.when(F.col("admission_age") > 90, 90.0).otherwise(F.col("admission_age")))
     return A.one_hot(rows, list(categories))
 
 
 def grouped_static_features(case_static: DataFrame, control_static: DataFrame) -> DataFrame:
-    """The older form: 0/1 columns for gender, age in tens (capped at 90), ethnic group and care unit."""
+    """The older form: 0/1 columns for gender, age in tens (capped at 90), ethnic group and care unit.
+
+    A stay of unknown age has 0 in every age column.
+    """
     columns = ["icustay_id", "gender", "admission_age", "ethnicity", "first_careunit"]
     rows = case_static.select(*columns).unionByName(control_static.select(*columns))
-    age = F.least(round_tens("admission_age"), F.lit(90.0)).cast("string")
+    tens = round_tens("admission_age")
+    age = F.when(tens > 90, 90.0).otherwise(tens).cast("string")
     grouped = rows.withColumns({"admission_age": age, "ethnicity": category_map("ethnicity", ETHNIC_GROUPS)})
     return A.one_hot(grouped, columns[1:])
 
@@ -127,7 +146,9 @@ def training_series(
     long = R.unpivot_values(series, ["icustay_id", "t", "label"], variables)
     kept = R.tail_n(long, "icustay_id", ["t", "var_id", "value"], n_max)
     sizes = kept.groupBy("icustay_id").agg(F.when(F.count(F.lit(1)) >= n_max, 1).otherwise(0).alias("cut"))
-    expanded = R.horizon_expand(kept.join(sizes, "icustay_id"), onsets, "icustay_id", "t", "onset_hour", horizons)
+    # No stay has more than n_max rows here, so that none needs to be counted.
+    hot = {} if n_max <= MAX_GROUP_ROWS else None
+    expanded = R.horizon_expand(kept.join(sizes, "icustay_id"), onsets, "icustay_id", "t", "onset_hour", horizons, hot)
     enough = R.min_observations(expanded, ["icustay_id", "horizon"], n_min)
     return enough, R.horizon_lengths(enough, "icustay_id", "t", "cut")
 

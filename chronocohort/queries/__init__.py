@@ -2,6 +2,7 @@
 
 from chronocohort.queries import (  # noqa: F401
     aggregates_q,
+    features_q,
     flows_q,
     icu_q,
     io_q,

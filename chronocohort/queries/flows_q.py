@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
 from chronocohort.operators import aggregates as A, intervals as I, reshape as R
-from chronocohort.operators.skew import GroupSizes, key_join
+from chronocohort.operators.skew import GroupSizes, heavy_keys, key_join
 from chronocohort.plans import features as P, labels as L
 from chronocohort.queries.joins_q import SAMPLED, TREATED, _treated_sampled
 from chronocohort.queries.registry import EVENT_TYPES, FIRST_ERROR, USER_STAYS, age_sql, first_error, query, table, user_stays
@@ -112,7 +112,8 @@ def e_feature_series(spark, d):
 
     merged = P.merge_sources(source("view", "click"), source("purchase"), ["user_id", "ts"])
     variables = ["view", "click", "purchase"]
-    inside = P.before_horizon(merged, stays, "user_id", "ts", "t_in", "t0")
+    # A merged user has no more rows than events.
+    inside = P.before_horizon(merged, stays, "user_id", "ts", "t_in", "t0", hot=heavy_keys(ev, "user_id"))
     train = inside.join(user_split(spark, d).where("split = 'train'"), "user_id", "left_semi")
     long = R.unpivot_values(A.zscore(inside, train, variables), ["user_id", "t"], variables)
     return long.withColumn("value", F.round("value", 6))
