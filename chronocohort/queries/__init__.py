@@ -5,6 +5,7 @@ from chronocohort.queries import (  # noqa: F401
     features_q,
     flows_q,
     icu_q,
+    icu_variants_q,
     io_q,
     joins_q,
     reshape_q,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronocohort.functions import timefn as T
-from chronocohort.operators import aggregates as A, cohort as C, evaluate as E, intervals as I
+from chronocohort.operators import aggregates as A, cohort as C, evaluate as E, intervals as I, reshape as R
 from chronocohort.queries.registry import hash_sql, query, table
 
 HOUR = "date_trunc('hour', ts)::TIMESTAMP"
@@ -264,6 +264,11 @@ def a_ratio_summary(spark, d):
     return C.matching_summary(o.where(urgent), o.where(~urgent), "o_custkey", "o_custkey")
 
 
+def _sampled(spark, d):
+    """Eight scores of every labelled document."""
+    return R.repeat_rows(scored(spark, d), 8).withColumn("score", F.round(F.col("score") + (F.col("sample") * 37 + F.col("doc_id")) % 11, 6))
+
+
 @query(
     "m_score_eval",
     f"""WITH m AS (SELECT s.doc_id, class, y, avg(round(score + (k * 37 + s.doc_id) % 11, 6)) AS score FROM ({SCORED}) s, (SELECT unnest(generate_series(1, 8)) AS k)
@@ -274,11 +279,17 @@ def a_ratio_summary(spark, d):
         SELECT g."group", sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg, round(max(auroc), 8) AS auroc FROM g LEFT JOIN a ON a."group" = g."group" GROUP BY 1""",
 )
 def m_score_eval(spark, d):
-    from chronocohort.operators.reshape import repeat_rows
-
-    sampled = repeat_rows(scored(spark, d), 8).withColumn(
-        "score", F.round(F.col("score") + (F.col("sample") * 37 + F.col("doc_id")) % 11, 6)
-    )
-    means = E.mean_sample_score(sampled, ["doc_id", "class"], "y", "score")
+    means = E.mean_sample_score(_sampled(spark, d), ["doc_id", "class"], "y", "score")
     areas = E.auc_by_group(E.curve_points(means, "y", "score", "class"))
     return areas.select("group", "n_pos", "n_neg", F.round("auroc", 8).alias("auroc"))
+
+
+_MEANS = f"""SELECT s.doc_id, class, y, avg(round(score + (k * 37 + s.doc_id) % 11, 6)) AS score FROM ({SCORED}) s, (SELECT unnest(generate_series(1, 8)) AS k) GROUP BY 1, 2, 3"""
+
+
+@query("m_score_areas", f"WITH {POINTS.replace(SCORED, _MEANS)} {AREAS}")
+def m_score_areas(spark, d):
+    """Both areas of the mean of eight sampled scores."""
+    sampled = _sampled(spark, d)
+    areas = E.auc_by_group(E.curve_points(E.mean_sample_score(sampled, ["doc_id", "class"], "y", "score"), "y", "score", "class"))
+    return areas.withColumns({c: F.round(c, 9) for c in ("auroc", "aupr")})

@@ -67,6 +67,15 @@ def io_csv_roundtrip(spark, d):
     return io.parse_times(io.drop_artefact(io.read_csv(spark, path, schema)), ["ts"])
 
 
+@query("io_csv_inferred", "SELECT event_id, user_id, date_trunc('second', ts)::TIMESTAMP AS ts, event_type, value FROM events")
+def io_csv_inferred(spark, d):
+    """The types of the columns read from the file itself."""
+    ev = table(spark, d, "events").select("event_id", "user_id", F.date_trunc("second", "ts").cast("timestamp_ntz").alias("ts"), "event_type", "value")
+    back = io.read_csv(spark, io.write_csv(ev, scratch_path(spark, "csv")))
+    # Whole numbers are read as the smallest type that holds the file's values.
+    return back.withColumns({"event_id": F.col("event_id").cast("bigint"), "user_id": F.col("user_id").cast("bigint"), "ts": F.col("ts").cast("timestamp_ntz")})
+
+
 @query(
     "io_split_sink",
     f"""SELECT split, event_type, count(*) AS n, count(DISTINCT e.user_id) AS users FROM events e JOIN ({SPLIT}) s ON e.user_id = s.user_id GROUP BY 1, 2""",
