@@ -12,12 +12,38 @@ from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.operators.skew import key_join
 
 
-def hour_spine(stays: DataFrame, key: str, start: str, end: str, lead: int = 24) -> DataFrame:
-    """A row per hour from ``-lead`` to the rounded-up length of the stay, with its clock-hour end."""
-    last = F.ceil(hours_between(start, end)).cast("int")
-    spine = stays.where(last >= -lead).select(
-        key, ceil_hour(start).alias("_base"), F.explode(F.sequence(F.lit(-lead), last)).alias("hour")
-    )
+# Rows that one task makes of few rows, and then sorts.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame, made: Column) -> int:
+    """Tasks for a step that makes ``made`` rows of each row: as many as ``TASK_ROWS`` rows each need, one per core at least.
+
+    The rows before such a step are few and small, so that partitions merged by their size would leave all made rows to
+    a task per core.
+    """
+    total = df.agg(F.sum(F.greatest(made, F.lit(0)))).first()[0] or 0
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-total // TASK_ROWS))
+
+
+def _last_hour(start: str, end: str) -> Column:
+    return F.ceil(hours_between(start, end)).cast("int")
+
+
+def spine_tasks(stays: DataFrame, start: str, end: str, lead: int = 24) -> int:
+    """Tasks for the rows of ``hour_spine``."""
+    return tasks_for(stays, _last_hour(start, end).cast("bigint") + (lead + 1))
+
+
+def hour_spine(stays: DataFrame, key: str, start: str, end: str, lead: int = 24, tasks: int | None = None) -> DataFrame:
+    """A row per hour from ``-lead`` to the rounded-up length of the stay, with its clock-hour end.
+
+    Stays are dealt by key over ``tasks`` tasks (see ``spine_tasks``, which is asked where they are not given).
+    """
+    tasks = spine_tasks(stays, start, end, lead) if tasks is None else tasks
+    last = _last_hour(start, end)
+    short = stays.where(last >= -lead).select(key, ceil_hour(start).alias("_base"), last.alias("_last")).repartition(tasks, key)
+    spine = short.select(key, "_base", F.explode(F.sequence(F.lit(-lead), "_last")).alias("hour"))
     return spine.select(key, "hour", shift_hours("_base", "hour").alias("end_time"))
 
 

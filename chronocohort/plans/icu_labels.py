@@ -409,8 +409,9 @@ def hourly_score(
     measured = A.merge_on_spine([s.where(F.col("hlos").isNotNull()) for s in sources], ["hadm_id", "hlos"])
     ladders = score_ladders()
     scores = measured.select("hadm_id", F.col("hlos").alias("hour"), *[c.alias(n) for n, c in ladders.items()])
-    spine = R.hour_spine(admissions, "hadm_id", "admittime", "dischtime")
-    out = L.look_back_scores(spine, scores, "hadm_id", SCORES, {"sofaren": "renal_uo"}, 24, "sofa")
+    tasks = R.spine_tasks(admissions, "admittime", "dischtime")
+    spine = R.hour_spine(admissions, "hadm_id", "admittime", "dischtime", tasks=tasks)
+    out = L.look_back_scores(spine, scores, "hadm_id", SCORES, {"sofaren": "renal_uo"}, 24, "sofa", tasks=tasks)
     return out.drop("end_time").withColumnRenamed("hour", "hlos")
 
 
@@ -418,9 +419,9 @@ def hourly_score(
 def onsets(scores: DataFrame, windows: DataFrame, admissions: DataFrame) -> DataFrame:
     """First rise of the score by two points inside the infection window, per admission."""
     bounds = windows.select("hadm_id", F.col("si_start").alias("window_start"), F.col("si_end").alias("window_end"))
-    rows = L.onset_times(
-        scores.withColumnRenamed("hlos", "hour"), bounds, admissions, "hadm_id", "admittime", "sofa", SCORES
-    )
+    tasks = R.spine_tasks(admissions, "admittime", "dischtime")
+    hourly = scores.withColumnRenamed("hlos", "hour").repartition(tasks, "hadm_id")
+    rows = L.onset_times(hourly, bounds, admissions, "hadm_id", "admittime", "sofa", SCORES, tasks=tasks)
     return rows.select(
         "hadm_id", "sofa", *SCORES, F.col("onset_time").alias("sepsis_time"), F.lit(1).alias("sepsis_onset"),
         F.col("sofa_delta").alias("delta_score"), *[f"{s}_delta" for s in SCORES],

@@ -51,17 +51,20 @@ def look_back_scores(
     span: int = 24,
     total: str = "total",
     lead: int = 24,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Highest sub-scores of the ``span`` hours up to each spine hour, and their sum.
 
     ``current`` maps a sub-score to a column of ``scores`` that only counts in its own hour, where the
     larger of the two stands. Missing sub-scores add nothing to the sum. Score rows join the spine rows
     in one ordered stack per entity, so filling the gaps costs no join: one shuffle serves the spine,
-    the look-back and the current hour. ``scores`` has one row per (key, hour).
+    the look-back and the current hour. ``scores`` has one row per (key, hour). ``tasks`` is the number
+    of tasks that the spine is dealt over by key: scores are dealt alike, and no spine row is shuffled.
     """
     current = current or {}
-    marked = spine.withColumn("_spine", F.lit(1))
-    stacked = marked.unionByName(scores.where(F.col("hour") >= -lead), allowMissingColumns=True)
+    marked, scores = spine.withColumn("_spine", F.lit(1)), scores.where(F.col("hour") >= -lead)
+    scores = scores if tasks is None else scores.repartition(tasks, key)
+    stacked = marked.unionByName(scores, allowMissingColumns=True)
     back = W.trailing_hours(stacked, key, "hour", {f"_{n}": ("max", n) for n in names}, span)
     own = W.trailing_hours(back, key, "hour", {f"_now_{n}": ("max", c) for n, c in current.items()}, 0)
     # greatest() skips nulls, so an hour without a current value keeps the looked-back one.
@@ -79,19 +82,19 @@ def onset_times(
     total: str = "total",
     names: Sequence[str] = (),
     rise: int = 2,
+    tasks: int | None = None,
 ) -> DataFrame:
     """First hour inside the infection window whose total is ``rise`` above its running minimum.
 
     Hours run from one before the window to its end and from the start of the stay. Each row keeps the
     scores of that hour and their rise (``<name>_delta``); ``onset_time`` counts whole hours from start.
+    ``tasks`` is the number of tasks that the scores are dealt over by key, so that the few rows of
+    starts and windows come to them.
     """
     columns = [total, *names]
-    timed = (
-        scores.where(F.col("hour") >= 0)
-        .join(starts.select(key, start), key)
-        .join(windows.select(key, "window_start", "window_end"), key)
-        .withColumn("onset_time", shift_hours(start, "hour"))
-    )
+    spans = starts.select(key, start).join(windows.select(key, "window_start", "window_end"), key)
+    spans = spans if tasks is None else spans.repartition(tasks, key)
+    timed = scores.where(F.col("hour") >= 0).join(spans, key).withColumn("onset_time", shift_hours(start, "hour"))
     inside = timed.where(F.col("onset_time").between(F.col("window_start") - hours(1), F.col("window_end")))
     rows = inside.select(key, "hour", "onset_time", *columns)
     # The rows of an entity are the hours of its window, so the group is bounded.

@@ -78,9 +78,10 @@ def e_onset_labels(spark, d):
         "s_high": S.threshold_score("high", [(150, 4), (100, 3), (60, 2), (30, 1)], below=False),
         "s_fault": F.when(F.col("fault") >= 80, 2).when(F.col("fault") >= 40, 1).otherwise(0),
     }
-    spine = R.hour_spine(stays, "user_id", "admit", "discharge")
-    scores = L.look_back_scores(spine, L.score_hours(measured, "user_id", ladders), "user_id", list(ladders))
-    onsets = L.onset_times(scores, windows, stays, "user_id", "admit")
+    tasks = R.spine_tasks(stays, "admit", "discharge")
+    spine = R.hour_spine(stays, "user_id", "admit", "discharge", tasks=tasks)
+    scores = L.look_back_scores(spine, L.score_hours(measured, "user_id", ladders), "user_id", list(ladders), tasks=tasks)
+    onsets = L.onset_times(scores, windows, stays, "user_id", "admit", tasks=tasks)
     return onsets.select("user_id", "hour", "onset_time", "total", "total_delta")
 
 

@@ -8,6 +8,7 @@ from chronocohort.operators import reshape as R
 from chronocohort.queries.joins_q import HOURLY, hourly
 from chronocohort.queries.registry import EVENT_TYPES, USER_STAYS, cents, query, table, user_stays
 from chronocohort.queries.windows_q import HOURS_IN, hours_in
+from chronocohort.session import durable
 
 VAR_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(EVENT_TYPES)) + " END"
 
@@ -146,10 +147,12 @@ ALIGNED = f"""SELECT g.user_id, (g.step + 25 - n)::INTEGER AS position, top, cen
 
 
 def filled_grid(spark, d):
-    h = hourly(spark, d)
+    h = durable(hourly(spark, d))
     ends = h.groupBy("user_id").agg(F.max("hour").alias("last"))
-    steps = ends.select("user_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("step"))
-    filled = steps.join(h.withColumnRenamed("hour", "step"), ["user_id", "step"], "left")
+    # The few rows of a user's end become all hours of that user: both sides are dealt over as many tasks as those need.
+    tasks = R.tasks_for(ends, F.col("last").cast("bigint") + 1)
+    steps = ends.repartition(tasks, "user_id").select("user_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("step"))
+    filled = steps.join(h.withColumnRenamed("hour", "step").repartition(tasks, "user_id"), ["user_id", "step"], "left")
     return filled.select(
         "user_id", "step", F.coalesce("top", F.lit(0.0)).alias("top"), F.coalesce(F.col("cents").cast("double"), F.lit(0.0)).alias("cents")
     )
