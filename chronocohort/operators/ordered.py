@@ -71,20 +71,19 @@ def labelled(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group
     """The rows with their range of the key (null for keys of one range), and whether any key has several."""
     if split is False:
         return df.withColumn(RANGE, F.lit(None).cast("int")), False
-    if keys:
-        large = large_groups(df, keys, max_group)
-        if large is None:
-            return df.withColumn(RANGE, F.lit(None).cast("int")), False
-    else:  # one group, dealt over all tasks however small it is
-        large, tasks = None, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        max_group = max(1, min(max_group, -(-df.count() // tasks)))
+    if not keys:  # one group, dealt over all tasks however small it is; stored, so that a row's range is found once
+        ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // max_group))
+        return durable(df.repartitionByRange(ranges, *[_sort_expr(c) for c in order]).withColumn(RANGE, F.spark_partition_id())), True
+    large = large_groups(df, keys, max_group)
+    if large is None:
+        return df.withColumn(RANGE, F.lit(None).cast("int")), False
     cut = durable(bounds(df, keys, order, large, max_group))
     lists = F.col("_lists")
     before = F.size(F.filter(lists, lambda x: _reached(order, x["_part"][0]["at"])))
     inside = F.size(F.filter(F.get(lists, before - 1)["_part"], lambda x: _reached(order, x["at"])))
     at = F.when(lists.isNotNull(), F.when(before == 0, 0).otherwise((before - 1) * LEVEL + inside))
     names = [f"_b{i}" for i in range(len(keys))]
-    met = df.join(cut, same_keys(keys, "_b"), "left") if keys else df.withColumn("_lists", cut.select("_lists").scalar())
+    met = df.join(cut, same_keys(keys, "_b"), "left")
     return met.withColumn(RANGE, at).drop("_lists", *names), True
 
 

@@ -9,13 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from chronocohort.functions.scalars import stable_hash
 from chronocohort.operators.ordered import keyed_rank
 from chronocohort.operators.reshape import top_per_group
+from chronocohort.session import durable
 
 
 def entity_split(ids: DataFrame, key: str, train: float = 0.8, val: float = 0.9, salt: int = 0) -> DataFrame:
     """``(key, split)`` with exact shares: entities in hash order, cut at ``int(n*train)`` and ``int(n*val)``."""
-    unique = ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", stable_hash(key, salt))
+    # Ranking reads its rows several times, and a filter on their place would reach the rows before ``distinct``.
+    unique = durable(ids.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_h", stable_hash(key, salt)))
     ranked = keyed_rank(unique, [], ["_h", key], "_n")
-    n = ranked.count()
+    n = unique.count()
     place = F.col("_n") - 1
     split = F.when(place < int(n * train), "train").when(place < int(n * val), "val").otherwise("test")
     return ranked.select(key, split.alias("split"))
@@ -23,6 +25,7 @@ def entity_split(ids: DataFrame, key: str, train: float = 0.8, val: float = 0.9,
 
 def resplit(splits: DataFrame, key: str, salt: int = 1) -> DataFrame:
     """A new train/val division of the same sizes; test entities stay."""
+    splits = durable(splits.select(key, "split"))
     sizes = {r["split"]: r["n"] for r in splits.groupBy("split").agg(F.count(key).alias("n")).collect()}
     pool = splits.where(F.col("split") != "test").select(key, stable_hash(key, salt).alias("_h"))
     ranked = keyed_rank(pool, [], ["_h", key], "_n")
