@@ -104,7 +104,152 @@ def _process(params: dict, jitter: float):
     return series
 
 
-def _per_entity(key: str, params: dict, draws: int, jitter: float, seed: int, marginals: bool):
+def _marginals(params: dict, jitter: float):
+    """The filter and smoother of ``_process`` without draws, for many entities at once.
+
+    Entities stand in falling order of their number of times, so those that have a k-th time are the first ones, and a
+    step forwards or backwards is a few array operations over all of them.
+    """
+    import numpy as np
+
+    terms = [(np.asarray(params[name], float), float(params[f"{name}_length"])) for name in ("fast", "slow")]
+    terms = [term for term in terms if term[0].any()]
+    noise = np.asarray(params["noise"], float) + jitter
+    n, d = len(noise), len(noise) * len(terms)
+    start = np.zeros((d, d))
+    for i, (cov, _) in enumerate(terms):
+        start[i * n : i * n + n, i * n : i * n + n] = cov
+    rates = np.repeat([1 / length for _, length in terms], n)
+    read = np.tile(np.eye(n), len(terms))
+
+    def solve(a, b):
+        try:
+            return np.linalg.solve(a, b)
+        except np.linalg.LinAlgError:
+            if len(a) == 1:
+                return np.linalg.pinv(a, hermitian=True) @ b
+            return np.concatenate([solve(a[i : i + 1], b[i : i + 1]) for i in range(len(a))])
+
+    def batch(e, t, v, y, ge, grid):
+        """Means and variances (grid rows x features); ``e`` and ``ge`` number the entities of readings and grid rows."""
+        order = np.lexsort((y, v, t, e))
+        e, t, v, y = e[order], t[order], v[order], y[order]
+        every, when = np.concatenate([e, ge]), np.concatenate([t, grid])
+        order = np.lexsort((when, every))
+        fresh = np.append(True, (np.diff(every[order]) != 0) | (when[order][1:] != when[order][:-1]))
+        at = np.empty(len(order), int)
+        at[order] = np.cumsum(fresh) - 1
+        of, times = every[order][fresh], when[order][fresh]
+        count = np.bincount(at[: len(e)], minlength=len(times))
+        first = np.searchsorted(at[: len(e)], np.arange(len(times)))
+        asked = np.bincount(at[len(e) :], minlength=len(times)) > 0
+        steps = np.bincount(of)
+        heads_of = (np.cumsum(steps) - steps)[np.argsort(-steps, kind="stable")]
+        steps = -np.sort(-steps)
+        active = lambda k: np.searchsorted(-steps, -k, side="left")  # noqa: E731  entities with more than k times
+
+        def predicted(k, mean, cov):
+            own = heads_of[: active(k)] + k
+            if k == 0:
+                return np.zeros((len(own), d)), np.broadcast_to(start, (len(own), d, d)).copy(), None
+            decay = np.exp(-(times[own] - times[own - 1])[:, None] * rates)
+            both = decay[:, :, None] * decay[:, None, :]
+            return decay * mean[: len(own)], both * cov[: len(own)] + (1 - both) * start, decay
+
+        def filtered(k, state):
+            mean, cov, _ = predicted(k, *state)
+            own = heads_of[: len(mean)] + k
+            for j in range(count[own].max()):
+                some = np.flatnonzero(count[own] > j)
+                i = first[own[some]] + j
+                row = read[v[i]]
+                gain = np.einsum("aij,aj->ai", cov[some], row)
+                spread = np.einsum("ai,ai->a", row, gain) + noise[v[i]]
+                mean[some] += gain * ((y[i] - np.einsum("ai,ai->a", row, mean[some])) / spread)[:, None]
+                cov[some] -= gain[:, :, None] * (gain / spread[:, None])[:, None, :]
+            return mean, cov
+
+        heads, state = [], (None, None)
+        for k in range(steps[0]):
+            if k % SEGMENT == 0:
+                heads.append(state)
+                states = []
+            state = filtered(k, state)
+            states.append(state)
+        means, variances = np.full((len(times), n), np.nan), np.full((len(times), n), np.nan)
+        after = None
+        for head in range(len(heads) - 1, -1, -1):
+            if head < len(heads) - 1:
+                states, state = [], heads[head]
+                for k in range(head * SEGMENT, (head + 1) * SEGMENT):
+                    state = filtered(k, state)
+                    states.append(state)
+            for k in range(head * SEGMENT + len(states) - 1, head * SEGMENT - 1, -1):
+                smooth, spread = states[k - head * SEGMENT]
+                smooth, spread = smooth.copy(), spread.copy()
+                if after is not None:
+                    m = len(after[0])
+                    ahead, ahead_cov, decay = predicted(k + 1, smooth, spread)
+                    gain = solve(ahead_cov, decay[:, :, None] * spread[:m]).transpose(0, 2, 1)
+                    smooth[:m] += np.einsum("aij,aj->ai", gain, after[0] - ahead)
+                    spread[:m] += gain @ (after[1] - ahead_cov) @ gain.transpose(0, 2, 1)
+                after = (smooth, spread)
+                own = heads_of[: len(smooth)] + k
+                some = np.flatnonzero(asked[own])
+                means[own[some]] = smooth[some] @ read.T
+                variances[own[some]] = np.einsum("ij,ajk,ik->ai", read, spread[some], read)
+        return means[at[len(e) :]], variances[at[len(e) :]]
+
+    return batch
+
+
+# Rows of the entities that are worked on at once, and numbers in their states of one time.
+BATCH_ROWS = 100_000
+BATCH_STATE = 100_000
+
+
+def _in_batches(key: str, params: dict, jitter: float):
+    """Whole entities from rows in the order of the key, some at a time."""
+    import numpy as np
+    import pandas as pd
+
+    batch, n = _marginals(params, jitter), len(params["noise"])
+    most = max(1, BATCH_STATE // (2 * n + 4 * n * n))
+
+    def worked(pdf: pd.DataFrame):
+        entity, code = np.unique(pdf[key].to_numpy(), return_inverse=True)
+        for low in range(0, len(entity), most):
+            some = (code >= low) & (code < low + most)
+            part, own = pdf[some], code[some] - low
+            seen = part["var_id"].notna().to_numpy()
+            t, grid = part["t"].to_numpy(float), ~seen
+            if not grid.any():
+                continue
+            mean, variance = batch(own[seen], t[seen], part["var_id"].to_numpy()[seen].astype(int), part["value"].to_numpy(float)[seen], own[grid], t[grid])
+            yield pd.DataFrame({
+                key: np.repeat(entity[low : low + most][own[grid]], n), "t": np.repeat(t[grid], n), "var_id": np.tile(np.arange(n, dtype=np.int32), grid.sum()),
+                "mean": mean.ravel(), "variance": variance.ravel(),
+            })
+
+    def run(parts):
+        held, rows = [], 0
+        for pdf in parts:
+            if not len(pdf):
+                continue
+            last = pdf[key].iloc[-1]
+            if rows + len(pdf) >= BATCH_ROWS and (pdf[key].iloc[0] != last or (held and held[-1][key].iloc[-1] != last)):
+                whole = pdf[key] != last  # the last entity may go on in the next rows
+                yield from worked(pd.concat([*held, pdf[whole]]))
+                held, rows, pdf = [], 0, pdf[~whole]
+            held.append(pdf)
+            rows += len(pdf)
+        if held:
+            yield from worked(pd.concat(held))
+
+    return run
+
+
+def _per_entity(key: str, params: dict, draws: int, jitter: float, seed: int):
     import numpy as np
     import pandas as pd
 
@@ -116,10 +261,8 @@ def _per_entity(key: str, params: dict, draws: int, jitter: float, seed: int, ma
         seen = pdf["var_id"].notna()
         obs, grid = pdf[seen], np.sort(pdf.loc[~seen, "t"].to_numpy(float))
         rng = np.random.default_rng([seed, abs(int(entity))])
-        mean, variance, drawn = series(obs["t"].to_numpy(float), obs["var_id"].to_numpy(int), obs["value"].to_numpy(float), grid, draws, rng)
+        mean, _, drawn = series(obs["t"].to_numpy(float), obs["var_id"].to_numpy(int), obs["value"].to_numpy(float), grid, draws, rng)
         hour, var = np.repeat(grid, n_vars), np.tile(np.arange(n_vars, dtype=np.int32), len(grid))
-        if marginals:
-            return pd.DataFrame({key: np.int64(entity), "t": hour, "var_id": var, "mean": mean.ravel(), "variance": variance.ravel()})
         # The draws of the dense form carry the jitter on their diagonal.
         drawn = drawn + np.sqrt(jitter) * rng.standard_normal(drawn.shape)
         value = np.concatenate([mean.ravel(), drawn.ravel()])
@@ -146,8 +289,8 @@ def starting_params(n_vars: int, n_fast: int, noise_log: float = -2.0, fast_leng
     }
 
 
-def _grouped(long: DataFrame, grid: DataFrame, key: str, t: str, var: str, value: str, grid_time: str):
-    """Observations and grid rows of the entities that have observations, one group per entity."""
+def _dealt(long: DataFrame, grid: DataFrame, key: str, t: str, var: str, value: str, grid_time: str):
+    """Observations and grid rows of the entities that have observations, dealt by entity."""
     observed = long.select(
         F.col(key).cast("bigint"),
         F.col(t).cast("double").alias("t"),
@@ -163,7 +306,7 @@ def _grouped(long: DataFrame, grid: DataFrame, key: str, t: str, var: str, value
     # The rows are few and the work per entity is large, so the partition count is set rather than
     # left to be merged by size.
     parts = int(long.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return observed.unionByName(targets).repartition(parts, key).groupBy(key)
+    return observed.unionByName(targets).repartition(parts, key)
 
 
 def gp_interpolate(
@@ -189,7 +332,8 @@ def gp_interpolate(
     observations.
     """
     schema = f"{key} bigint, sample int, t double, var_id int, value double"
-    return _grouped(long, grid, key, t, var, value, grid_time).applyInPandas(_per_entity(key, params, draws, jitter, seed, False), schema)
+    dealt = _dealt(long, grid, key, t, var, value, grid_time)
+    return dealt.groupBy(key).applyInPandas(_per_entity(key, params, draws, jitter, seed), schema)
 
 
 def gp_marginals(
@@ -197,7 +341,8 @@ def gp_marginals(
 ) -> DataFrame:
     """Posterior mean and variance of each feature at each grid hour: ``(key, t, var_id, mean, variance)``."""
     schema = f"{key} bigint, t double, var_id int, mean double, variance double"
-    return _grouped(long, grid, key, t, var, value, grid_time).applyInPandas(_per_entity(key, params, 0, jitter, 0, True), schema)
+    dealt = _dealt(long, grid, key, t, var, value, grid_time)
+    return dealt.sortWithinPartitions(key).mapInPandas(_in_batches(key, params, jitter), schema)
 
 
 def _logistic(train: DataFrame, features: str, label: str, l2: float, iterations: int):

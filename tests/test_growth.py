@@ -37,3 +37,37 @@ def test_look_back_and_onset_shuffle_no_spine_row(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
     first = lambda rows, **how: sorted(map(tuple, L.onset_times(rows, windows, stays, "e", "a", **how).collect()))
     assert first(dealt, tasks=tasks) == first(plain) and len(first(plain)) == 60
+
+
+def test_global_order_compares_no_row_with_a_list_of_bounds(spark):
+    """A row's range is stored with it: the plan of the ranks holds no function over arrays, and reads no source row."""
+    ids = spark.range(500).select((F.col("id") % 100).alias("e"))
+    first = P.entity_split(ids, "e")
+    second = P.resplit(first, "e")
+    plan = second._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" not in plan and "scalar-subquery" not in plan and "Range (" not in plan
+    places = second.groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in places} == {"train": 80, "val": 10, "test": 10}
+
+
+@pytest.mark.parametrize("rows", [1, 40, 100_000])
+def test_entities_in_one_batch_equal_one_by_one(monkeypatch, rows):
+    """Entities of all lengths, readings of one time, grid rows that come twice, and cuts at any row."""
+    import pandas as pd
+
+    monkeypatch.setattr(M, "BATCH_ROWS", rows)
+    monkeypatch.setattr(M, "SEGMENT", 16)
+    rng = np.random.default_rng(7)
+    params = {**M.starting_params(2, 1), "noise": [0.1, 0.3]}
+    whole, want = [], []
+    for e, n in enumerate((0, 1, 70, 5, 33, 70)):
+        t, v, y = np.round(rng.uniform(0, 20, n), 1), rng.integers(0, 2, n), rng.normal(size=n)
+        grid = np.array([0.0, 3.0, 3.0, 9.5, 40.0])
+        mean, variance, _ = M._process(params, 0.001)(t, v, y, grid, 0, rng)
+        want += [(e, g, f, mean[i, f], variance[i, f]) for i, g in enumerate(grid) for f in range(2)]
+        whole.append(pd.DataFrame({"e": e, "t": np.append(t, grid), "var_id": [*v, *[None] * 5], "value": [*y, *[None] * 5]}))
+    table = pd.concat(whole)
+    parts = (table.iloc[i : i + 17] for i in range(0, len(table), 17))
+    got = pd.concat(M._in_batches("e", params, 0.001)(parts)).sort_values(["e", "t", "var_id"], kind="stable").to_numpy(float)
+    want = np.array(sorted(want, key=lambda r: r[:3]), float)
+    assert np.abs(got - want).max() < 1e-9
