@@ -4,7 +4,7 @@ A plain window puts all rows of a key into one task. Keys that are too large for
 bounds are taken from a hashed sample of the key and order columns, and a row's range is the number of bounds it has
 reached, so nothing is sorted or stored but the bounds. Ordinary keys are one range. All results come from one window
 over (key, range), plus a carry from the ranges before it; the carries of all results come from one aggregation over
-the rows of the large keys. Rows that tie in the order never straddle two ranges.
+the rows of the large keys. Without keys Spark's range partitioning cuts the rows, which are stored with their range. Rows that tie in the order never straddle two ranges.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ from chronocohort.functions import timefn as T
 from chronocohort.operators import intervals as I, models as M, reshape as R, sampling as K
 from chronocohort.queries.registry import EVENT_TYPES, first_error, hash_sql, query, table
 from chronocohort.queries.reshape_q import aligned, var_id
+from chronocohort.session import durable
 
 SPLIT = f"""SELECT user_id, CASE WHEN rn - 1 < floor(n * 0.8::DOUBLE) THEN 'train' WHEN rn - 1 < floor(n * 0.9::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM (
      SELECT user_id, row_number() OVER (ORDER BY {hash_sql('user_id')}, user_id) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM events))"""
@@ -179,7 +180,8 @@ def labelled_vectors(spark, d):
     ev = table(spark, d, "events")
     y = ev.groupBy("user_id").agg(F.max(F.when((F.col("event_type") == "error") & (F.col("value") > 150), 1).otherwise(0)).alias("y"))
     grid = aligned(spark, d).withColumns({"top": F.col("top") / 100, "cents": F.col("cents") / 10000})
-    return R.flatten_vector(grid, "user_id", "position", ["top", "cents"]).join(y, "user_id")
+    # A fit reads its rows several times.
+    return durable(R.flatten_vector(grid, "user_id", "position", ["top", "cents"]).join(y, "user_id"))
 
 
 @query("m_logreg_gradient", "SELECT i::INTEGER AS feature, 0.0::DOUBLE AS gradient FROM range(-1, 50) AS t(i)")
