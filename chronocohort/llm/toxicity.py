@@ -16,6 +16,7 @@ one class everything gets the base rate. Repeated rows are scored alike; ties be
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -59,18 +60,19 @@ class Neighbours:
 
     @staticmethod
     def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, n_rows: int, n_terms: int) -> Neighbours:
+        """Of weights in order of their rows. What it needs beside them is a few bytes a weight, for the driver makes it."""
         width = -(-n_rows // BLOCK) * BLOCK
         size = np.bincount(term, minlength=n_terms)
         most = np.sort(np.argsort(-size, kind="stable")[: WHOLE_BYTES // (8 * width)])
         slot = np.full(n_terms, -1, np.int32)
         slot[most] = np.arange(len(most))
         often = np.zeros((len(most), width))
-        whole = slot[term] >= 0
+        whole = np.flatnonzero(slot[term] >= 0)
         often[slot[term[whole]], row[whole]] = weight[whole]
-        row, term, weight = row[~whole], term[~whole], weight[~whole]
-        order = np.lexsort((row, term))
-        first = np.searchsorted(term[order], np.arange(n_terms + 1))
-        return Neighbours(n_rows, slot, often, often.reshape(len(most), -1, BLOCK).max(axis=2), first.astype(np.int32), row[order].astype(np.int32), weight[order])
+        rare = np.argsort(term, kind="stable").astype(np.int32, copy=False)
+        rare = rare[slot[term[rare]] < 0]
+        first = np.append(0, np.cumsum(np.where(slot < 0, size, 0)))
+        return Neighbours(n_rows, slot, often, often.reshape(len(most), -1, BLOCK).max(axis=2), first.astype(np.int32), row[rare].astype(np.int32, copy=False), weight[rare])
 
     @staticmethod
     def of(weights: np.ndarray) -> Neighbours:
@@ -164,6 +166,33 @@ def _counted(batch_text, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return code // len(hashes), code % len(hashes), count, len(w.first) - 1
 
 
+def _examples(got: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, label and number of terms of the examples, and their terms and counts one after the other, in order of key,
+    label and content. The driver holds the terms of all examples here, so they are never Python objects nor 64 bits wide."""
+    ids, label_of = got["key"].to_numpy(), got["y"].to_numpy()
+    size = np.concatenate([np.diff(c.offsets) for c in got["term"].chunks]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    term, count = (np.concatenate([np.zeros(0, np.int32), *(c.flatten() for c in got[x].chunks)]) for x in ("term", "count"))
+    first, repeats = np.cumsum(size) - size, Counter(zip(ids.tolist(), label_of.tolist()))
+
+    def place(i: int) -> tuple:
+        at = slice(first[i], first[i] + size[i])
+        return (ids[i], label_of[i], *((x[at].tobytes() for x in (term, count)) if repeats[ids[i], label_of[i]] > 1 else ()))
+
+    order = np.array(sorted(range(len(ids)), key=place), np.int64)
+    at = [slice(a, b) for a, b in zip(first[order].tolist(), (first + size)[order].tolist())]
+    term, count = (np.concatenate([x[:0], *(x[s] for s in at)]) for x in (term, count))
+    return ids[order], label_of[order], size[order], term, count
+
+
+def _unit(row: np.ndarray, term: np.ndarray, count: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Weights of the terms of every row, as vectors of length 1."""
+    weight = np.log(count)
+    weight += 1
+    weight *= scale[term]
+    weight /= np.sqrt(np.bincount(row, weight**2))[row]
+    return weight
+
+
 def _rising(share: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Isotonic fit: pooled means in order of the share."""
     order = np.argsort(share, kind="stable")
@@ -206,6 +235,7 @@ def fit(
     order = np.argsort(hashes)
     terms, hashes = found["w"].take(order).to_pylist(), hashes[order]
     a, b = (found[c].to_numpy()[order] for c in "ab")
+    del found, order
     strength = 1 + np.sqrt(_likelihood_ratio(a, b, min(totals[1], max_per_class), min(totals[0], max_per_class)))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,6 +250,7 @@ def fit(
     df = np.zeros(len(terms) + 1)
     df[counts["term"].to_numpy() + 1] = counts["df"].to_numpy()
     scale = (np.log((1 + df[0]) / (1 + df[1:])) + 1) * strength
+    del counts, df, a, b, strength
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 2, 1 << 20):
@@ -232,23 +263,19 @@ def fit(
             )
 
     got = sample.select("key", F.col("y").cast("bigint").alias("y"), "text").mapInArrow(vectors, "key bigint, y bigint, term array<int>, count array<int>").toArrow()
-    ids, label_of = got["key"].to_numpy(), got["y"].to_numpy()
-    held = [(np.asarray(t.values, np.int64), np.asarray(c.values, np.int64)) for t, c in zip(got["term"], got["count"])]
-    order = sorted(range(len(ids)), key=lambda i: (ids[i], label_of[i], held[i][0].tobytes(), held[i][1].tobytes()))
+    ids, label_of, size, term, count = _examples(got)
+    del got
     n = np.array([(label_of == y).sum() for y in (0, 1)])
     class_weight = np.array([totals[0], totals[1]]) / np.maximum(n, 1)
-    some = np.array([i for i in order if len(held[i][0])], np.int64)
-    none = np.array([sum(label_of[i] == y for i in order if not len(held[i][0])) for y in (0, 1)]) * class_weight
+    some = np.flatnonzero(size)
+    none = np.array([((label_of == y) & (size == 0)).sum() for y in (0, 1)]) * class_weight
     without = float((none[1] + 0.5) / (none.sum() + 1)) if none.sum() else totals[1] / (totals[0] + totals[1])
     toxic = label_of[some].astype(float)
     model = Model(terms, hashes, scale, None, ids[some], toxic, class_weight[toxic.astype(int)], without=without, k=k)
     if len(some):
-        row = np.repeat(np.arange(len(some)), [len(held[i][0]) for i in some])
-        term, count = (np.concatenate([held[i][part] for i in some]) for part in (0, 1))
-        weight = (1 + np.log(count)) * scale[term]
-        weight /= np.sqrt(np.bincount(row, weight**2))[row]
-        model.index = Neighbours.build(row, term, weight, len(some), len(terms))
-        cut = np.searchsorted(row, np.arange(len(some) + 1))
+        row = np.repeat(np.arange(len(some), dtype=np.int32), size[some])
+        model.index = Neighbours.build(row, term, _unit(row, term, count, scale), len(some), len(terms))
+        cut = np.append(0, np.cumsum(size[some]))
         share = []
         for at in range(0, len(some), TEXTS):
             own = slice(cut[at], cut[min(at + TEXTS, len(some))])

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -289,6 +290,29 @@ def test_postings_are_searched_exactly():
             assert list(rows) == want and np.allclose(cosine, whole[want])
 
 
+def test_index_needs_few_bytes_a_weight_beside_it():
+    rng = np.random.default_rng(1)
+    n_rows, n_terms = 2000, 50_000
+    term = np.sort(rng.integers(0, n_terms, (n_rows, 300)), axis=1).ravel().astype(np.int32)
+    row, weight = np.repeat(np.arange(n_rows, dtype=np.int32), 300), rng.random(n_rows * 300)
+    tracemalloc.start()
+    index = toxicity.Neighbours.build(row, term, weight, n_rows, n_terms)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (most - index.often.nbytes) / len(row) < 24
+
+
+def test_examples_are_in_order_of_key_label_and_content():
+    rows = [(5, 1, [2, 7], [1, 1]), (3, 0, [], []), (5, 0, [1], [4]), (5, 1, [2], [9]), (5, 1, [2, 7], [1, 1]), (5, 1, [2, 3], [1, 2])]
+    lists = pa.list_(pa.int32())
+    schema = pa.schema([("key", pa.int64()), ("y", pa.int64()), ("term", lists), ("count", lists)])
+    parts = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows[s]], schema) for s in (slice(0, 2), slice(2, 2), slice(2, 6))]
+    key, y, size, term, count = toxicity._examples(pa.Table.from_batches(parts, schema))
+    assert list(zip(key, y, size)) == [(3, 0, 0), (5, 0, 1), (5, 1, 1), (5, 1, 2), (5, 1, 2), (5, 1, 2)]
+    assert term.tolist() == [1, 2, 2, 3, 2, 7, 2, 7] and count.tolist() == [4, 9, 1, 2, 1, 1, 1, 1]
+    assert [len(x) for x in toxicity._examples(pa.Table.from_batches([], schema))] == [0] * 5
+
+
 def test_alignment_and_leaks(spark):
     assert decontaminate.align(np.array([1, 2, 3]), np.array([9, 1, 2, 3, 9])) == (6, 4)
     rng = random.Random(6)
