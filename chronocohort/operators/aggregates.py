@@ -30,12 +30,14 @@ def signed_sum(df: DataFrame, keys: Sequence[str], code: str, value: str, negati
     )
 
 
-def merge_on_spine(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
+def merge_on_spine(sources: Sequence[DataFrame], keys: Sequence[str], tasks: int | None = None) -> DataFrame:
     """Full merge of sources that each have one row per key: all keys, every source's columns.
 
-    The sources are stacked and folded by one aggregation, a single shuffle however many there are.
+    The sources are stacked and folded by one aggregation, a single shuffle however many there are. With ``tasks`` the
+    rows are dealt by the first key over that many tasks, and none is folded before.
     """
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sources)
+    stacked = stacked if tasks is None else stacked.repartition(tasks, keys[0])
     values = [c for c in stacked.columns if c not in keys]
     return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
 

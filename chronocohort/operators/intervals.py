@@ -1,6 +1,6 @@
 """Joins in time: windows around an index time, membership in intervals, as-of lookups.
 
-``sizing`` is what ``KeyedOrder`` takes: ``split`` where the group sizes are known, or ``max_group``.
+``sizing`` is what ``KeyedOrder`` takes: ``split`` where the group sizes are known, or ``max_group``, and ``tasks``.
 """
 
 from __future__ import annotations

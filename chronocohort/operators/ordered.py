@@ -67,8 +67,15 @@ def bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str], large: Data
     return lists.groupBy(*[f"_b{i}" for i in range(len(keys))]).agg(F.sort_array(F.collect_list(F.struct("_l", "_part"))).alias("_lists"))
 
 
-def labelled(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group: int, split: bool | None) -> tuple[DataFrame, bool]:
-    """The rows with their range of the key (null for keys of one range), and whether any key has several."""
+def labelled(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group: int, split: bool | None, tasks: int | None = None) -> tuple[DataFrame, bool]:
+    """The rows with their range of the key (null for keys of one range), and whether any key has several.
+
+    With ``tasks`` they are dealt by key and range over that many tasks. Otherwise the number follows the bytes shuffled, and
+    a side of a union that is a small part of it may be left to one task.
+    """
+    if tasks is not None and keys:
+        rows, split = labelled(df, keys, order, max_group, split)
+        return rows.repartition(tasks, *keys, *([RANGE] if split else [])), split
     if split is False:
         return df.withColumn(RANGE, F.lit(None).cast("int")), False
     if not keys:  # one group, dealt over all tasks however small it is; stored, so that a row's range is found once
@@ -120,11 +127,12 @@ class KeyedOrder:
 
     Results are asked for one after the other and computed together by ``rows``. ``split=False`` says that no key is too
     large for one task; otherwise the rows of each key are counted. With no keys all rows are one group, always cut.
+    ``tasks`` is the number of tasks the rows are dealt over by key, where the caller knows it.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_group: int = MAX_GROUP_ROWS, split: bool | None = None):
+    def __init__(self, df: DataFrame, keys: list[str], order: list[str], max_group: int = MAX_GROUP_ROWS, split: bool | None = None, tasks: int | None = None):
         self.keys, self.order = keys, order
-        self.df, self.split = labelled(df, keys, order, max_group, split)
+        self.df, self.split = labelled(df, keys, order, max_group, split, tasks)
         self.results: list[_Result] = []
 
     def _window(self):

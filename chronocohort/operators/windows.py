@@ -139,7 +139,7 @@ def sessionize(
     """
     max_group = sizing.get("max_group", MAX_GROUP_ROWS)
     in_state = (F.col(on) == 1) | (F.col(end) == 1)
-    rows, split = labelled(df, [key], [t], max_group, sizing.get("split"))
+    rows, split = labelled(df, [key], [t], max_group, sizing.get("split"), sizing.get("tasks"))
     own = [key, RANGE] if split else [key]
     w = Window.partitionBy(*own).orderBy(t, *tie)
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)

@@ -38,16 +38,22 @@ def _within_admission(
 
 
 class Sizes:
-    """Group sizes of one source table, measured on first use."""
+    """Group sizes and number of rows of one source table, measured on first use."""
 
     def __init__(self, tables: Mapping[str, DataFrame] | Tables, name: str):
-        self._tables, self._name, self._sizes = tables, name, None
+        self._tables, self._name, self._sizes, self._tasks = tables, name, None, None
 
     def __call__(self) -> GroupSizes:
         if self._sizes is None:
             self._sizes = GroupSizes(self._tables[self._name])
         return self._sizes
 
+    def tasks(self) -> int:
+        """Tasks for the rows of the table, or of a table made of it, in order of a key."""
+        if self._tasks is None:
+            self._tasks = R.tasks_for(self._tables[self._name], F.lit(1))
+        return self._tasks
+
 
 # --- suspicion of infection -------------------------------------------------------------------
 def antibiotic_drugs(prescriptions: DataFrame) -> DataFrame:
@@ -140,12 +146,12 @@ def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
     return R.union_distinct([charted, procedural])
 
 
-def vent_durations(settings: DataFrame, split: bool | None = None) -> DataFrame:
+def vent_durations(settings: DataFrame, split: bool | None = None, tasks: int | None = None) -> DataFrame:
     """Numbered ventilation episodes per stay. Rows of one time run ventilation first, extubation last."""
     ties = settings.withColumn("_not_vent", 1 - F.col("mechvent"))
     episodes = W.sessionize(
         ties, "icustay_id", "charttime", "mechvent", "oxygentherapy", "extubated", K.VENT_GAP_HOURS,
-        ["_not_vent", "extubated", "selfextubated", "oxygentherapy"], split=split,
+        ["_not_vent", "extubated", "selfextubated", "oxygentherapy"], split=split, tasks=tasks,
     )
     return episodes.select(
         "icustay_id", F.col("episode").alias("ventnum"), F.col("start").alias("starttime"),
@@ -187,16 +193,16 @@ def _fio2(chartevents: DataFrame) -> DataFrame:
     return rows.groupBy("hadm_id", "charttime").agg(F.max(percent).alias("fio2_read"))
 
 
-def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None = None) -> DataFrame:
+def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None = None, tasks: int | None = None) -> DataFrame:
     """PaO2/FiO2 of the arterial samples, with the freshest oxygen setting of the last four hours.
 
     A sample is arterial if it says so or if the regression on its values exceeds the cutoff.
     """
     rows = gases.where(F.col("po2").isNotNull())
-    rows = I.asof(rows, _spo2(chartevents), "hadm_id", "charttime", "charttime", "spo2", 2, split=split)
+    rows = I.asof(rows, _spo2(chartevents), "hadm_id", "charttime", "charttime", "spo2", 2, split=split, tasks=tasks)
     rows = I.asof_two_sources(
         rows, "fio2", _fio2(chartevents), "hadm_id", "charttime", "charttime", "fio2_read", 4, "fio2_val", "fio2_chart",
-        split=split,
+        split=split, tasks=tasks,
     )
     rows = rows.withColumn("specimen_prob", S.logistic_score(K.ARTERIAL_INTERCEPT, K.ARTERIAL_TERMS))
     arterial = (F.col("specimen") == "ART") | (F.col("specimen_prob") > K.ARTERIAL_CUTOFF)
@@ -206,13 +212,14 @@ def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None
 
 
 def respiration_hours(
-    ratios: DataFrame, episodes: DataFrame, icustays: DataFrame, admissions: DataFrame, split: bool | None = None
+    ratios: DataFrame, episodes: DataFrame, icustays: DataFrame, admissions: DataFrame, split: bool | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Lowest PaO2/FiO2 per admission hour, apart for ventilated and free-breathing samples."""
     spans = episodes.join(icustays.select("icustay_id", "hadm_id"), "icustay_id").select("hadm_id", "starttime", "endtime")
     flagged = I.point_in_interval(
         ratios.select("hadm_id", "charttime", "pao2fio2"), spans, "hadm_id", "charttime", "starttime", "endtime", "isvent",
-        split=split,
+        split=split, tasks=tasks,
     )
     timed = flagged.join(admissions.select("hadm_id", "admittime"), "hadm_id").withColumn("hlos", _hour("charttime"))
     return A.min_by_state(
@@ -280,7 +287,7 @@ def pressure_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence
 
 
 # --- consciousness ----------------------------------------------------------------------------
-def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None, tasks: int | None = None) -> DataFrame:
     """Lowest coma score per admission hour; missing parts come from a reading under six hours old,
     else count as normal, and a verbal score of 0 (intubated) stands for a full score."""
     value = S.sentinel("itemid", "value", "valuenum", K.COMA_SENTINELS)
@@ -292,7 +299,7 @@ def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | No
     parts = A.conditional_pivot(
         _within_admission(rows, admissions, hot=hot), ["hadm_id", "charttime"], "part", "v", {p: ("max", p) for p in K.COMA_NORMAL}
     )
-    seen = W.previous_within(parts, "hadm_id", "charttime", list(K.COMA_NORMAL), 6, split=None if hot is None else bool(hot))
+    seen = W.previous_within(parts, "hadm_id", "charttime", list(K.COMA_NORMAL), 6, split=None if hot is None else bool(hot), tasks=tasks)
 
     def total(with_previous: bool) -> Column:
         cols = [
@@ -336,7 +343,7 @@ def urine_hours(admissions: DataFrame, outputs: DataFrame, icustays: DataFrame)
     return A.signed_sum(keyed, ["hadm_id", "icustay_id", "hlos", "iculos"], "itemid", "value", [K.IRRIGANT_IN], "urineoutput")
 
 
-def running_urine(hourly: DataFrame, repeat_stays: bool = False) -> DataFrame:
+def running_urine(hourly: DataFrame, repeat_stays: bool = False, tasks: int | None = None) -> DataFrame:
     """Urine of the last 24 h for hours at least a day into a stay.
 
     ``repeat_stays`` multiplies by the number of such stay rows of the hour, as a join of the table
@@ -346,6 +353,7 @@ def running_urine(hourly: DataFrame, repeat_stays: bool = False) -> DataFrame:
         F.sum(F.when(F.col("iculos") >= 0, F.col("urineoutput"))).alias("_out"),
         F.sum(F.when(F.col("iculos") >= 24, 1).otherwise(0)).alias("_rows"),
     )
+    per_hour = per_hour if tasks is None else per_hour.repartition(tasks, "hadm_id")
     summed = W.trailing_hours(per_hour, "hadm_id", "hlos", {"running_uo_24h": ("sum", "_out")}, 24)
     out = summed.where(F.col("_rows") > 0)
     if repeat_stays:
@@ -406,10 +414,10 @@ def hourly_score(
     Low urine output counts in its own hour only, since its measurement already spans a day.
     """
     sources = [respiration, pressors, pressure, coma, labs, urine]
-    measured = A.merge_on_spine([s.where(F.col("hlos").isNotNull()) for s in sources], ["hadm_id", "hlos"])
+    tasks = R.spine_tasks(admissions, "admittime", "dischtime")
+    measured = A.merge_on_spine([s.where(F.col("hlos").isNotNull()) for s in sources], ["hadm_id", "hlos"], tasks)
     ladders = score_ladders()
     scores = measured.select("hadm_id", F.col("hlos").alias("hour"), *[c.alias(n) for n, c in ladders.items()])
-    tasks = R.spine_tasks(admissions, "admittime", "dischtime")
     spine = R.hour_spine(admissions, "hadm_id", "admittime", "dischtime", tasks=tasks)
     out = L.look_back_scores(spine, scores, "hadm_id", SCORES, {"sofaren": "renal_uo"}, 24, "sofa", tasks=tasks)
     return out.drop("end_time").withColumnRenamed("hour", "hlos")
@@ -453,10 +461,11 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
     """All derived label tables from the source tables, each built when asked for.
 
     ``keep`` stores the tables that several others read (pass ``session.durable``): ventilation
-    episodes, the hourly score and the onsets. The chart and the laboratory table are measured for
-    hot admissions and stays once.
+    episodes, the hourly score and the onsets; and the parts of the hourly score, each made by a job
+    of its own, since sides of one union share the tasks of a job by their bytes and the smallest get
+    one. The chart and the laboratory table are measured for hot admissions and stays once.
     """
-    chart, labs = Sizes(t, "chartevents"), Sizes(t, "labevents")
+    chart, labs, outputs = Sizes(t, "chartevents"), Sizes(t, "labevents"), Sizes(t, "outputevents")
 
     def given(_):
         return antibiotic_times(t["prescriptions"], antibiotic_drugs(t["prescriptions"]))
@@ -469,11 +478,13 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
 
     def ratios(own):
         split = chart().split("hadm_id") or labs().split("hadm_id")
-        return arterial_ratios(own["blood_gases"], t["chartevents"], split=split)
+        return arterial_ratios(own["blood_gases"], t["chartevents"], split=split, tasks=max(chart.tasks(), labs.tasks()))
 
     def respiration(own):
         split = labs().split("hadm_id")
-        return respiration_hours(own["arterial_ratios"], own["vent_durations"], t["icustays"], t["admissions"], split=split)
+        return respiration_hours(
+            own["arterial_ratios"], own["vent_durations"], t["icustays"], t["admissions"], split=split, tasks=labs.tasks()
+        )
 
     def pressors(own):
         sources = (t["inputevents_cv"], t["inputevents_mv"], t["chartevents"], own["echo"])
@@ -481,7 +492,7 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
 
     def scores(own):
         parts = ("respiration", "pressors", "pressure", "coma", "labs", "running_urine")
-        return keep(hourly_score(t["admissions"], *[own[p] for p in parts]))
+        return keep(hourly_score(t["admissions"], *[keep(own[p]) for p in parts]))
 
     return Tables(
         {
@@ -491,7 +502,7 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
             "infection_windows": windows,
             "vent_settings": lambda own: vent_settings(t["chartevents"], t["procedureevents_mv"]),
             "vent_durations": lambda own: keep(
-                vent_durations(own["vent_settings"], split=chart().split("icustay_id"))
+                vent_durations(own["vent_settings"], split=chart().split("icustay_id"), tasks=chart.tasks())
             ),
             "blood_gases": lambda own: blood_gases(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
             "arterial_ratios": ratios,
@@ -499,10 +510,10 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
             "echo": lambda own: echo_weights(t["noteevents"]),
             "pressors": pressors,
             "pressure": lambda own: pressure_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id")),
-            "coma": lambda own: coma_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id")),
+            "coma": lambda own: coma_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id"), tasks=chart.tasks()),
             "labs": lambda own: lab_hours(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
             "urine": lambda own: urine_hours(t["admissions"], t["outputevents"], t["icustays"]),
-            "running_urine": lambda own: running_urine(own["urine"]),
+            "running_urine": lambda own: running_urine(own["urine"], tasks=outputs.tasks()),
             "scores": scores,
             "onsets": lambda own: keep(onsets(own["scores"], own["infection_windows"], t["admissions"])),
             "onset_stays": lambda own: onset_stays(own["onsets"], t["icustays"], t["diagnoses_icd"]),

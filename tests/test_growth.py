@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronocohort.operators import models as M, reshape as R, sampling as P
-from chronocohort.plans import labels as L
+from chronocohort.operators import aggregates as A, models as M, reshape as R, sampling as P
+from chronocohort.operators.ordered import KeyedOrder
+from chronocohort.plans import icu_codes as K, icu_labels as IL, labels as L
 
 
 def _stays(spark, n):
@@ -39,6 +40,55 @@ def test_look_back_and_onset_shuffle_no_spine_row(spark, monkeypatch):
     assert first(dealt, tasks=tasks) == first(plain) and len(first(plain)) == 60
 
 
+@pytest.mark.parametrize("split", [None, False, True])
+def test_ordered_rows_are_dealt_over_the_tasks_asked_for(spark, split):
+    rows = spark.range(400).select((F.col("id") % 7 - 1).alias("_k"), F.col("id").alias("t"), (F.col("id") * 37 % 11).alias("v"))
+    rows = rows.select(F.when(F.col("_k") >= 0, F.col("_k")).alias("e"), "t", "v")
+
+    def ran(**sizing):
+        ordered = KeyedOrder(rows, ["e"], ["t"], max_group=20 if split is not False else 1000, split=split, **sizing)
+        return ordered.running("max", F.col("v"), "m").previous(F.col("v"), "p").rows()
+
+    dealt = ran(tasks=13)
+    assert "REPARTITION_BY_NUM" in dealt._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, ran().collect()))
+
+
+def test_parts_of_a_score_are_made_apart_and_dealt_by_their_rows(spark, monkeypatch):
+    """Small sides of one union would share its tasks by bytes: coma scores and running urine get one per TASK_ROWS rows instead."""
+    monkeypatch.setattr(R, "TASK_ROWS", 40)
+    at = F.lit("2024-01-01 00:30:00").cast("timestamp_ntz")
+    hours = spark.range(600).select((F.col("id") % 30).alias("hadm_id"), (at + F.make_dt_interval(F.lit(0), (F.col("id") / 30).cast("int"))).alias("charttime"), "id")
+    chart = hours.select("hadm_id", F.col("hadm_id").alias("icustay_id"), F.lit(454).alias("itemid"), "charttime", F.lit("x").alias("value"), (F.col("id") % 6 + 1.0).alias("valuenum"), F.lit(0).alias("error"))
+    stays = spark.range(30).select(F.col("id").alias("hadm_id"), at.alias("admittime"), (at + F.make_dt_interval(F.lit(2))).alias("dischtime"), F.col("id").alias("icustay_id"), at.alias("intime"))
+    outputs = hours.select("hadm_id", F.col("hadm_id").alias("icustay_id"), F.lit(40055).alias("itemid"), "charttime", F.lit(1.0).alias("value"))
+    tables = {"chartevents": chart, "admissions": stays, "icustays": stays, "outputevents": outputs}
+    labels = IL.label_tables(tables)
+    for name in ("coma", "running_urine"):
+        assert "REPARTITION_BY_NUM" in labels[name]._jdf.queryExecution().executedPlan().toString()
+        assert labels[name].rdd.getNumPartitions() == 600 // 40
+    plain = IL.coma_hours(stays, chart, hot={})
+    assert sorted(map(tuple, labels["coma"].collect())) == sorted(map(tuple, plain.collect())) != []
+
+    kept = []
+    keep = lambda df: kept.append(tuple(df.columns)) or df
+    empty = lambda columns: spark.createDataFrame([], "hadm_id long, hlos int, " + columns)
+    labels = IL.label_tables(tables, keep)
+    labels._built |= {"coma": plain, "running_urine": IL.running_urine(labels["urine"]), "pressure": empty("minbp double"),
+                      "respiration": empty("pao2fio2_novent_min double, pao2fio2_vent_min double"), "labs": empty("platelet double, bilirubin double, creatinine double"),
+                      "pressors": empty(", ".join(f"rate_{k} double" for k in K.PRESSOR_CODES_OLD))}
+    scores = labels["scores"]
+    assert len(kept) == 7 and ("hadm_id", "hlos", "gcs") in kept and scores.count() == 30 * (25 + 48)
+
+
+def test_merge_is_dealt_over_the_tasks_asked_for(spark):
+    a = spark.range(100).select(F.col("id").alias("e"), F.lit(1).alias("h"), F.lit(2).alias("x"))
+    b = spark.range(50, 150).select(F.col("id").alias("e"), F.lit(1).alias("h"), F.lit(3).alias("y"))
+    dealt = A.merge_on_spine([a, b], ["e", "h"], 17)
+    assert dealt.rdd.getNumPartitions() == 17
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, A.merge_on_spine([a, b], ["e", "h"]).collect()))
+
+
 def test_global_order_compares_no_row_with_a_list_of_bounds(spark):
     """A row's range is stored with it: the plan of the ranks holds no function over arrays, and reads no source row."""
     ids = spark.range(500).select((F.col("id") % 100).alias("e"))
