@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from chronocohort.operators.skew import heavy_keys, key_join
+from chronocohort.operators.skew import heavy_keys, is_hot, key_join
 
 
 def conditional_pivot(
@@ -121,17 +121,20 @@ def weighted_rate(
     rate: str,
     columns: dict[str, tuple[Sequence, Sequence]],
     hot: dict | DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Highest rate per key and column ``{name: (codes per weight unit, codes as given)}``.
 
     Codes of the first list are divided by the entity's first known weight; each table of
     ``weights`` has columns (entity, weight) with one row per entity. An entity with very many rates is split
-    (``hot`` as in ``key_join``, counted once where it is not given).
+    (``hot`` as in ``key_join``, counted once where it is not given). ``tasks`` is the number of tasks that the rates are dealt
+    over by entity: with split entities they are dealt anew.
     """
     known = []
     hot = heavy_keys(rates, entity) if hot is None else hot
+    anew = tasks if is_hot(hot) else None
     for i, table in enumerate(weights):
-        rates = key_join(rates, table.select(entity, F.col("weight").alias(f"_w{i}")), entity, how="left", hot=hot)
+        rates = key_join(rates, table.select(entity, F.col("weight").alias(f"_w{i}")), entity, how="left", hot=hot, tasks=anew)
         known.append(F.col(f"_w{i}"))
     per_unit = F.try_divide(F.col(rate), F.coalesce(*known))
     aggs = []
@@ -141,6 +144,7 @@ def weighted_rate(
             test = F.col(code).isin(list(given))
             value = F.when(test, F.col(rate)) if value is None else value.when(test, F.col(rate))
         aggs.append(F.max(value).alias(name))
+    rates = rates if anew is None else rates.repartition(anew, *keys)
     return rates.groupBy(*keys).agg(*aggs)
 
 

@@ -1,6 +1,7 @@
 """Joins in time: windows around an index time, membership in intervals, as-of lookups.
 
 ``sizing`` is what ``KeyedOrder`` takes: ``split`` where the group sizes are known, or ``max_group``, and ``tasks``.
+``hot`` and ``tasks`` are those of ``key_join``.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ def around_index(
     before: int = 48,
     after: int = 7,
     hot: Sequence | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Events of each entity from ``before`` hours ahead of its index time to ``after`` hours past it."""
     t0 = F.col(index_time)
     inside = F.col(t).between(t0 - hours(before), t0 + hours(after))
-    return key_join(events, index, key, inside, "inner", hot)
+    return key_join(events, index, key, inside, "inner", hot, tasks=tasks)
 
 
 def in_stay(
@@ -39,11 +41,12 @@ def in_stay(
     end: str,
     lead: Column | None = None,
     hot: Sequence | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Events between ``start - lead`` (one day by default) and ``end`` of their stay."""
     lead = F.make_dt_interval(F.lit(1)) if lead is None else lead
     inside = F.col(t).between(F.col(start) - lead, F.col(end))
-    return key_join(events, stays, key, inside, "inner", hot)
+    return key_join(events, stays, key, inside, "inner", hot, tasks=tasks)
 
 
 def point_in_interval(

@@ -28,6 +28,11 @@ def heavy_keys(df: DataFrame, key: str, max_group: int = MAX_GROUP_ROWS, max_lis
     return durable(counts) if len(first) > max_listed else {row[0]: row[1] for row in first}
 
 
+def is_hot(hot: dict | DataFrame) -> bool:
+    """Are there any hot keys (as ``heavy_keys`` gives them)?"""
+    return not isinstance(hot, dict) or bool(hot)
+
+
 def _dealt_by_table(events: DataFrame, index: DataFrame, key: str, other: str, hot: DataFrame, max_group: int) -> tuple[DataFrame, Column, DataFrame, Column]:
     """Both sides with the number of sub-keys of their key, null where it is not hot."""
     salts = hot.select("_hot", F.ceil(F.col("_rows") / max_group).cast("int").alias("_salts"))
@@ -63,8 +68,7 @@ class GroupSizes:
         return self._hot[key]
 
     def split(self, key: str) -> bool:
-        hot = self.hot(key)
-        return not isinstance(hot, dict) or bool(hot)
+        return is_hot(self.hot(key))
 
 
 def key_join(
@@ -76,6 +80,7 @@ def key_join(
     hot: dict | DataFrame | None = None,
     max_group: int = MAX_GROUP_ROWS,
     max_listed: int = MAX_LISTED,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Join a long event table to an index table on ``key``, spreading the keys with most events.
 
@@ -83,7 +88,8 @@ def key_join(
     key's index rows are repeated once per sub-key, so the copy grows with the hot keys and not with the index table.
     ``hot`` gives the hot keys and their rows (see ``heavy_keys``) where they are known; otherwise they are counted first.
     Up to ``max_listed`` hot keys are listed in the plan; more of them are a table that is joined to both sides.
-    ``how`` is inner, left, left_semi or left_anti: the event side is never repeated.
+    ``how`` is inner, left, left_semi or left_anti: the event side is never repeated. With ``tasks`` both sides are dealt by key
+    and sub-key over that many tasks, which stay dealt by key where none is hot.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how}")
@@ -92,7 +98,8 @@ def key_join(
     on = F.col(key) == F.col(other)
     hot = heavy_keys(events, key, max_group, max_listed) if hot is None else hot
     listed = isinstance(hot, dict)
-    if not listed or hot:
+    dealt_by, repeated_by = [key], [other]
+    if is_hot(hot):
         hashed = [F.col(f.name) for f in events.schema.fields if "map<" not in f.dataType.simpleString()]
         if listed:
             salts = {k: -(-rows // max_group) for k, rows in hot.items()}
@@ -108,6 +115,9 @@ def key_join(
         events = events.withColumn("_salt", dealt)
         index = index.withColumn("_salt_index", F.explode(every))
         on = on & (F.col("_salt") == F.col("_salt_index"))
+        dealt_by, repeated_by = [key, "_salt"], [other, "_salt_index"]
     if condition is not None:
         on = on & condition
+    if tasks is not None:
+        events, index = events.repartition(tasks, *dealt_by), index.repartition(tasks, *repeated_by)
     return events.join(index, on, how).drop(other, "_salt", "_salt_index", "_salts", "_salts_index")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronocohort.functions import scalars as S, timefn as T
 from chronocohort.operators import aggregates as A, cohort as C, intervals as I, reshape as R, windows as W
-from chronocohort.operators.skew import GroupSizes, key_join
+from chronocohort.operators.skew import GroupSizes, heavy_keys, key_join
 from chronocohort.plans import icu_codes as K, labels as L
 from chronocohort.plans.tables import Tables
 
@@ -33,8 +33,17 @@ def _within_admission(
     t: str = "charttime",
     lead: Column | None = None,
     hot: Sequence | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    return I.in_stay(events, _admission_spans(admissions), "hadm_id", t, "admittime", "dischtime", lead, hot)
+    return I.in_stay(events, _admission_spans(admissions), "hadm_id", t, "admittime", "dischtime", lead, hot, tasks)
+
+
+def _dealt(rows: DataFrame, tasks: int | None, *keys: str, hot: Sequence | None = None) -> DataFrame:
+    """Rows dealt over ``tasks`` tasks by the keys they are folded by, as they are where no number is given.
+
+    Where ``hot`` names no hot key, the join before has dealt the rows alike.
+    """
+    return rows if tasks is None or hot == {} else rows.repartition(tasks, *keys)
 
 
 class Sizes:
@@ -70,25 +79,26 @@ def antibiotic_drugs(prescriptions: DataFrame) -> DataFrame:
     return counts.orderBy(F.desc("numobs"), "drug")
 
 
-def antibiotic_times(prescriptions: DataFrame, drugs: DataFrame) -> DataFrame:
+def antibiotic_times(prescriptions: DataFrame, drugs: DataFrame, tasks: int | None = None) -> DataFrame:
     """Antibiotic orders per admission and start."""
     given = prescriptions.join(drugs.select("drug"), "drug", "left_semi")
-    return given.groupBy("hadm_id", F.col("startdate").alias("antibiotic_time")).agg(
+    return _dealt(given, tasks, "hadm_id", "startdate").groupBy("hadm_id", F.col("startdate").alias("antibiotic_time")).agg(
         F.count("drug").alias("no_antibiotic")
     )
 
 
-def cultures(microbiology: DataFrame) -> DataFrame:
-    return microbiology.select("hadm_id", "chartdate", "charttime", "spec_type_desc").distinct()
+def cultures(microbiology: DataFrame, tasks: int | None = None) -> DataFrame:
+    samples = microbiology.select("hadm_id", "chartdate", "charttime", "spec_type_desc")
+    return _dealt(samples, tasks, "hadm_id", "charttime", "chartdate").distinct()
 
 
-def suspicions(antibiotics: DataFrame, samples: DataFrame, admissions: DataFrame, pairs: bool = True) -> DataFrame:
+def suspicions(antibiotics: DataFrame, samples: DataFrame, admissions: DataFrame, pairs: bool = True, **sizing) -> DataFrame:
     """Antibiotics with a culture in the 72 h before or the 24 h after, and hours since admission.
 
-    With ``pairs`` there is a row per pair of cultures; the infection window needs only the other form.
+    With ``pairs`` there is a row per pair of cultures; the infection window needs only the other form, which takes ``sizing``.
     """
     near = (I.two_sided_proximity if pairs else I.earliest_on_sides)(
-        antibiotics.select("hadm_id", "antibiotic_time"), samples, "hadm_id", "antibiotic_time", "charttime", "chartdate"
+        antibiotics.select("hadm_id", "antibiotic_time"), samples, "hadm_id", "antibiotic_time", "charttime", "chartdate", **sizing
     )
     suspected = F.least(F.coalesce("last_time", "next_time"), "antibiotic_time")
     timed = near.withColumn("suspected_infection_time", suspected).join(
@@ -112,7 +122,7 @@ def infection_windows(suspected: DataFrame) -> DataFrame:
 
 
 # --- respiration ------------------------------------------------------------------------------
-def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
+def vent_settings(chartevents: DataFrame, procedures: DataFrame, tasks: int | None = None) -> DataFrame:
     """Ventilation, oxygen and extubation flags per stay and time, from chart and procedures."""
     code, text = F.col("itemid"), F.col("value")
     read = sorted(
@@ -134,7 +144,7 @@ def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
         "selfextubated": (code == K.EXTUBATION_CODE) & (text == K.SELF_EXTUBATED_TEXT),
     }
     rows = chartevents.where(text.isNotNull() & S.is_not("error", 1) & code.isin(read))
-    charted = A.flag_max(rows, ["icustay_id", "charttime"], flags)
+    charted = A.flag_max(_dealt(rows, tasks, "icustay_id", "charttime"), ["icustay_id", "charttime"], flags)
     procedural = procedures.where(F.col("itemid").isin(K.EXTUBATION_PROCEDURES)).select(
         "icustay_id",
         F.col("starttime").alias("charttime"),
@@ -143,7 +153,7 @@ def vent_settings(chartevents: DataFrame, procedures: DataFrame) -> DataFrame:
         F.lit(1).alias("extubated"),
         F.when(F.col("itemid") == K.SELF_EXTUBATION_PROCEDURE, 1).otherwise(0).alias("selfextubated"),
     )
-    return R.union_distinct([charted, procedural])
+    return _dealt(charted.union(procedural), tasks, "icustay_id", "charttime").distinct()
 
 
 def vent_durations(settings: DataFrame, split: bool | None = None, tasks: int | None = None) -> DataFrame:
@@ -159,10 +169,11 @@ def vent_durations(settings: DataFrame, split: bool | None = None, tasks: int |
     )
 
 
-def blood_gases(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def blood_gases(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None, tasks: int | None = None) -> DataFrame:
     """Blood gas values per admission and time, one column per analyte; implausible values are null."""
     labs = labevents.where(F.col("itemid").isin(list(K.GAS_LABELS))).select("hadm_id", "itemid", "charttime", "value", "valuenum")
-    stay = _within_admission(labs, admissions, hot=hot).join(admissions.select("hadm_id", "subject_id"), "hadm_id")
+    stay = _within_admission(labs, admissions, hot=hot, tasks=tasks)
+    stay = key_join(stay, admissions.select("hadm_id", "subject_id"), "hadm_id", hot=hot or {}, tasks=tasks if hot else None)
     v = F.col("valuenum")
     for item, low in K.GAS_LOWER.items():
         v = F.when((F.col("itemid") == item) & (F.col("valuenum") < low), None).otherwise(v)
@@ -171,17 +182,17 @@ def blood_gases(admissions: DataFrame, labevents: DataFrame, hot: Sequence | Non
         F.max(F.when(F.col("itemid") == item, F.col("value" if label == "specimen" else "_v"))).alias(label)
         for item, label in K.GAS_LABELS.items()
     ]
-    return kept.groupBy("subject_id", "hadm_id", "charttime").agg(*aggs)
+    return _dealt(kept, tasks, "hadm_id", "charttime", hot=hot).groupBy("subject_id", "hadm_id", "charttime").agg(*aggs)
 
 
-def _spo2(chartevents: DataFrame) -> DataFrame:
+def _spo2(chartevents: DataFrame, tasks: int | None = None) -> DataFrame:
     v = F.col("valuenum")
     valid = F.when((v <= 0) | (v > 100), None).otherwise(v)
     rows = chartevents.where(F.col("itemid").isin(K.SPO2_CODES))
-    return rows.groupBy("hadm_id", "charttime").agg(F.max(valid).alias("spo2"))
+    return _dealt(rows, tasks, "hadm_id", "charttime").groupBy("hadm_id", "charttime").agg(F.max(valid).alias("spo2"))
 
 
-def _fio2(chartevents: DataFrame) -> DataFrame:
+def _fio2(chartevents: DataFrame, tasks: int | None = None) -> DataFrame:
     code, v = F.col("itemid"), F.col("valuenum")
     percent = (
         F.when(code == K.FIO2_BANDED_CODE, S.banded(v, [(0, 1, True, 100), (21, 100, False, 1)]))
@@ -190,7 +201,7 @@ def _fio2(chartevents: DataFrame) -> DataFrame:
     )
     codes = [K.FIO2_BANDED_CODE, K.FIO2_FRACTION_CODE, *K.FIO2_PERCENT_CODES]
     rows = chartevents.where(code.isin(codes) & S.is_not("error", 1))
-    return rows.groupBy("hadm_id", "charttime").agg(F.max(percent).alias("fio2_read"))
+    return _dealt(rows, tasks, "hadm_id", "charttime").groupBy("hadm_id", "charttime").agg(F.max(percent).alias("fio2_read"))
 
 
 def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None = None, tasks: int | None = None) -> DataFrame:
@@ -199,9 +210,9 @@ def arterial_ratios(gases: DataFrame, chartevents: DataFrame, split: bool | None
     A sample is arterial if it says so or if the regression on its values exceeds the cutoff.
     """
     rows = gases.where(F.col("po2").isNotNull())
-    rows = I.asof(rows, _spo2(chartevents), "hadm_id", "charttime", "charttime", "spo2", 2, split=split, tasks=tasks)
+    rows = I.asof(rows, _spo2(chartevents, tasks), "hadm_id", "charttime", "charttime", "spo2", 2, split=split, tasks=tasks)
     rows = I.asof_two_sources(
-        rows, "fio2", _fio2(chartevents), "hadm_id", "charttime", "charttime", "fio2_read", 4, "fio2_val", "fio2_chart",
+        rows, "fio2", _fio2(chartevents, tasks), "hadm_id", "charttime", "charttime", "fio2_read", 4, "fio2_val", "fio2_chart",
         split=split, tasks=tasks,
     )
     rows = rows.withColumn("specimen_prob", S.logistic_score(K.ARTERIAL_INTERCEPT, K.ARTERIAL_TERMS))
@@ -238,15 +249,18 @@ def echo_weights(notes: DataFrame) -> DataFrame:
     )
 
 
-def _weights(admissions: DataFrame, chartevents: DataFrame, echo: DataFrame, hot: Sequence | None) -> list[DataFrame]:
+def _weights(admissions: DataFrame, chartevents: DataFrame, echo: DataFrame, hot: Sequence | None, tasks: int | None) -> DataFrame:
+    """Weight per admission: the mean of the charted ones, else of those in echo notes."""
     charted = chartevents.where(
         F.col("itemid").isin(list(K.WEIGHT_FACTORS)) & (F.col("valuenum") != 0) & S.is_not("error", 1)
     ).select("hadm_id", "itemid", "charttime", "valuenum")
-    stay = _within_admission(charted, admissions, lead=F.make_ym_interval(F.lit(0), F.lit(2)), hot=hot)
+    stay = _within_admission(charted, admissions, lead=F.make_ym_interval(F.lit(0), F.lit(2)), hot=hot, tasks=tasks)
     scale = L.mean_weight(stay, "hadm_id", "itemid", "valuenum", K.WEIGHT_FACTORS)
     seen = (F.col("charttime") > F.col("admittime") - F.make_dt_interval(F.lit(7))) & (F.col("charttime") < F.col("dischtime"))
-    echoed = key_join(echo.select("hadm_id", "charttime", "weight"), _admission_spans(admissions), "hadm_id", seen)
-    return [scale, echoed.groupBy("hadm_id").agg(F.avg(F.col("weight") * K.LB_TO_KG).alias("weight"))]
+    echoed = key_join(echo.select("hadm_id", "charttime", "weight"), _admission_spans(admissions), "hadm_id", seen, tasks=tasks)
+    noted = echoed.groupBy("hadm_id").agg(F.avg(F.col("weight") * K.LB_TO_KG).alias("noted"))
+    both = A.merge_on_spine([scale, noted], ["hadm_id"])
+    return both.select("hadm_id", F.coalesce("weight", "noted").alias("weight"))
 
 
 def pressor_hours(
@@ -256,34 +270,42 @@ def pressor_hours(
     chartevents: DataFrame,
     echo: DataFrame,
     hot: Sequence | None = None,
+    tasks: int | None = None,
+    keep: Callable = lambda df: df,
 ) -> DataFrame:
-    """Highest vasopressor rates per admission hour; the older recording system counts first."""
-    weights = _weights(admissions, chartevents, echo, hot)
+    """Highest vasopressor rates per admission hour; the older recording system counts first.
+
+    Both systems read the weights, which ``keep`` stores.
+    """
+    weights = keep(_weights(admissions, chartevents, echo, hot, tasks))
     old_codes = [c for pair in K.PRESSOR_CODES_OLD.values() for codes in pair for c in codes]
     new_codes = [c for pair in K.PRESSOR_CODES_NEW.values() for codes in pair for c in codes]
     old = inputs_old.where(F.col("itemid").isin(old_codes) & F.col("rate").isNotNull()).select(
         "hadm_id", "itemid", "charttime", "rate"
     )
-    old = _within_admission(old, admissions).withColumn("hlos", _hour("charttime"))
+    hot_old = heavy_keys(old, "hadm_id")
+    old = _within_admission(old, admissions, hot=hot_old, tasks=tasks).withColumn("hlos", _hour("charttime"))
     new = inputs_new.where(F.col("itemid").isin(new_codes) & (F.col("statusdescription") != K.REWRITTEN)).select(
         "hadm_id", "itemid", "starttime", "rate"
     )
-    new = _within_admission(new, admissions, "starttime").withColumn("hlos", _hour("starttime"))
+    hot_new = heavy_keys(new, "hadm_id")
+    new = _within_admission(new, admissions, "starttime", hot=hot_new, tasks=tasks).withColumn("hlos", _hour("starttime"))
     keys = ["hadm_id", "hlos"]
-    a = A.weighted_rate(old, weights, "hadm_id", keys, "itemid", "rate", {f"old_{k}": v for k, v in K.PRESSOR_CODES_OLD.items()})
-    b = A.weighted_rate(new, weights, "hadm_id", keys, "itemid", "rate", {f"new_{k}": v for k, v in K.PRESSOR_CODES_NEW.items()})
-    both = A.merge_on_spine([a, b], keys)
+    old_columns, new_columns = ({f"{s}_{k}": v for k, v in codes.items()} for s, codes in (("old", K.PRESSOR_CODES_OLD), ("new", K.PRESSOR_CODES_NEW)))
+    a = A.weighted_rate(old, [weights], "hadm_id", keys, "itemid", "rate", old_columns, hot=hot_old, tasks=tasks)
+    b = A.weighted_rate(new, [weights], "hadm_id", keys, "itemid", "rate", new_columns, hot=hot_new, tasks=tasks)
+    both = A.merge_on_spine([a, b], keys, tasks)
     return both.select(*keys, *[F.coalesce(f"old_{k}", f"new_{k}").alias(f"rate_{k}") for k in K.PRESSOR_CODES_OLD])
 
 
-def pressure_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def pressure_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | None = None, tasks: int | None = None) -> DataFrame:
     """Lowest plausible mean arterial pressure per admission hour."""
     v = F.col("valuenum")
     rows = chartevents.where(F.col("itemid").isin(K.MEAN_PRESSURE_CODES) & S.is_not("error", 1)).select(
         "hadm_id", "charttime", F.when((v > 0) & (v < 300), v).alias("v")
     )
-    timed = _within_admission(rows, admissions, hot=hot)
-    return timed.groupBy("hadm_id", _hour("charttime")).agg(F.min("v").alias("minbp"))
+    timed = _within_admission(rows, admissions, hot=hot, tasks=tasks).withColumn("hlos", _hour("charttime"))
+    return _dealt(timed, tasks, "hadm_id", "hlos", hot=hot).groupBy("hadm_id", "hlos").agg(F.min("v").alias("minbp"))
 
 
 # --- consciousness ----------------------------------------------------------------------------
@@ -296,8 +318,9 @@ def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | No
             part: [str(c) for c, p in K.COMA_CODES.items() if p == part] for part in K.COMA_NORMAL
         }).alias("part"), value.alias("v"),
     )
+    timed = _within_admission(rows, admissions, hot=hot, tasks=tasks)
     parts = A.conditional_pivot(
-        _within_admission(rows, admissions, hot=hot), ["hadm_id", "charttime"], "part", "v", {p: ("max", p) for p in K.COMA_NORMAL}
+        _dealt(timed, tasks, "hadm_id", "charttime", hot=hot), ["hadm_id", "charttime"], "part", "v", {p: ("max", p) for p in K.COMA_NORMAL}
     )
     seen = W.previous_within(parts, "hadm_id", "charttime", list(K.COMA_NORMAL), 6, split=None if hot is None else bool(hot), tasks=tasks)
 
@@ -320,26 +343,29 @@ def coma_hours(admissions: DataFrame, chartevents: DataFrame, hot: Sequence | No
 
 
 # --- laboratory and kidney --------------------------------------------------------------------
-def lab_hours(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None) -> DataFrame:
+def lab_hours(admissions: DataFrame, labevents: DataFrame, hot: Sequence | None = None, tasks: int | None = None) -> DataFrame:
     """Worst platelet, bilirubin and creatinine value per admission hour, in one pass over the labs."""
     codes = {code: high for code, high, _ in K.SCORE_LABS.values()}
     rows = labevents.where(F.col("itemid").isin(list(codes)) & (F.col("valuenum") > 0)).select(
         "hadm_id", "itemid", "charttime", S.clamp_null("itemid", "valuenum", codes).alias("v")
     )
-    timed = _within_admission(rows, admissions, hot=hot).withColumn("hlos", _hour("charttime"))
+    timed = _within_admission(rows, admissions, hot=hot, tasks=tasks).withColumn("hlos", _hour("charttime"))
     return A.conditional_pivot(
-        timed, ["hadm_id", "hlos"], "itemid", "v", {name: (fn, code) for name, (code, _, fn) in K.SCORE_LABS.items()}
+        _dealt(timed, tasks, "hadm_id", "hlos", hot=hot), ["hadm_id", "hlos"], "itemid", "v", {name: (fn, code) for name, (code, _, fn) in K.SCORE_LABS.items()}
     )
 
 
-def urine_hours(admissions: DataFrame, outputs: DataFrame, icustays: DataFrame) -> DataFrame:
+def urine_hours(admissions: DataFrame, outputs: DataFrame, icustays: DataFrame, tasks: int | None = None) -> DataFrame:
     """Net urine per admission, stay and hour (``hlos`` since admission, ``iculos`` since the stay)."""
     rows = outputs.where(F.col("itemid").isin(K.URINE_CODES)).select("hadm_id", "icustay_id", "itemid", "charttime", "value")
-    timed = key_join(_within_admission(rows, admissions), icustays.select("icustay_id", "intime"), "icustay_id")
+    hot = heavy_keys(rows, "icustay_id")
+    timed = _within_admission(rows, admissions, tasks=tasks)
+    timed = key_join(timed, icustays.select("icustay_id", "intime"), "icustay_id", hot=hot, tasks=tasks)
     keyed = timed.select(
         "hadm_id", "icustay_id", _hour("charttime"),
         T.age_hour_index("charttime", "intime").cast("int").alias("iculos"), "itemid", "value",
     )
+    keyed = _dealt(keyed, tasks, "icustay_id", "hlos", hot=hot)
     return A.signed_sum(keyed, ["hadm_id", "icustay_id", "hlos", "iculos"], "itemid", "value", [K.IRRIGANT_IN], "urineoutput")
 
 
@@ -349,11 +375,10 @@ def running_urine(hourly: DataFrame, repeat_stays: bool = False, tasks: int | No
     ``repeat_stays`` multiplies by the number of such stay rows of the hour, as a join of the table
     with itself does where stays of one admission overlap.
     """
-    per_hour = hourly.groupBy("hadm_id", "hlos").agg(
+    per_hour = _dealt(hourly, tasks, "hadm_id").groupBy("hadm_id", "hlos").agg(
         F.sum(F.when(F.col("iculos") >= 0, F.col("urineoutput"))).alias("_out"),
         F.sum(F.when(F.col("iculos") >= 24, 1).otherwise(0)).alias("_rows"),
     )
-    per_hour = per_hour if tasks is None else per_hour.repartition(tasks, "hadm_id")
     summed = W.trailing_hours(per_hour, "hadm_id", "hlos", {"running_uo_24h": ("sum", "_out")}, 24)
     out = summed.where(F.col("_rows") > 0)
     if repeat_stays:
@@ -461,20 +486,27 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
     """All derived label tables from the source tables, each built when asked for.
 
     ``keep`` stores the tables that several others read (pass ``session.durable``): ventilation
-    episodes, the hourly score and the onsets; and the parts of the hourly score, each made by a job
+    episodes, the weights, the hourly score and the onsets; and the parts of the hourly score, each made by a job
     of its own, since sides of one union share the tasks of a job by their bytes and the smallest get
     one. The chart and the laboratory table are measured for hot admissions and stays once.
     """
-    chart, labs, outputs = Sizes(t, "chartevents"), Sizes(t, "labevents"), Sizes(t, "outputevents")
+    chart, labs, outputs, orders, samplings, rates_old, rates_new, notes = (
+        Sizes(t, name) for name in (
+            "chartevents", "labevents", "outputevents", "prescriptions", "microbiologyevents", "inputevents_cv",
+            "inputevents_mv", "noteevents",
+        )
+    )
 
     def given(_):
-        return antibiotic_times(t["prescriptions"], antibiotic_drugs(t["prescriptions"]))
+        return antibiotic_times(t["prescriptions"], antibiotic_drugs(t["prescriptions"]), tasks=orders.tasks())
 
     def samples():
-        return cultures(t["microbiologyevents"])
+        return cultures(t["microbiologyevents"], tasks=samplings.tasks())
 
     def windows(own):
-        return infection_windows(suspicions(own["antibiotic_times"], samples(), t["admissions"], pairs=False))
+        tasks = orders.tasks() + 2 * samplings.tasks()  # a sample stands twice
+        near = suspicions(own["antibiotic_times"], samples(), t["admissions"], pairs=False, tasks=tasks)
+        return infection_windows(near)
 
     def ratios(own):
         split = chart().split("hadm_id") or labs().split("hadm_id")
@@ -488,7 +520,8 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
 
     def pressors(own):
         sources = (t["inputevents_cv"], t["inputevents_mv"], t["chartevents"], own["echo"])
-        return pressor_hours(t["admissions"], *sources, hot=chart().hot("hadm_id"))
+        tasks = max(size.tasks() for size in (rates_old, rates_new, chart, notes))
+        return pressor_hours(t["admissions"], *sources, hot=chart().hot("hadm_id"), tasks=tasks, keep=keep)
 
     def scores(own):
         parts = ("respiration", "pressors", "pressure", "coma", "labs", "running_urine")
@@ -500,19 +533,19 @@ def label_tables(t: Mapping[str, DataFrame] | Tables, keep: Callable = lambda df
             "antibiotic_times": given,
             "suspicions": lambda own: suspicions(own["antibiotic_times"], samples(), t["admissions"]),
             "infection_windows": windows,
-            "vent_settings": lambda own: vent_settings(t["chartevents"], t["procedureevents_mv"]),
+            "vent_settings": lambda own: vent_settings(t["chartevents"], t["procedureevents_mv"], tasks=chart.tasks()),
             "vent_durations": lambda own: keep(
                 vent_durations(own["vent_settings"], split=chart().split("icustay_id"), tasks=chart.tasks())
             ),
-            "blood_gases": lambda own: blood_gases(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
+            "blood_gases": lambda own: blood_gases(t["admissions"], t["labevents"], hot=labs().hot("hadm_id"), tasks=labs.tasks()),
             "arterial_ratios": ratios,
             "respiration": respiration,
             "echo": lambda own: echo_weights(t["noteevents"]),
             "pressors": pressors,
-            "pressure": lambda own: pressure_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id")),
+            "pressure": lambda own: pressure_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id"), tasks=chart.tasks()),
             "coma": lambda own: coma_hours(t["admissions"], t["chartevents"], hot=chart().hot("hadm_id"), tasks=chart.tasks()),
-            "labs": lambda own: lab_hours(t["admissions"], t["labevents"], hot=labs().hot("hadm_id")),
-            "urine": lambda own: urine_hours(t["admissions"], t["outputevents"], t["icustays"]),
+            "labs": lambda own: lab_hours(t["admissions"], t["labevents"], hot=labs().hot("hadm_id"), tasks=labs.tasks()),
+            "urine": lambda own: urine_hours(t["admissions"], t["outputevents"], t["icustays"], tasks=outputs.tasks()),
             "running_urine": lambda own: running_urine(own["urine"], tasks=outputs.tasks()),
             "scores": scores,
             "onsets": lambda own: keep(onsets(own["scores"], own["infection_windows"], t["admissions"])),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from chronocohort.operators import aggregates as A, models as M, reshape as R, sampling as P
 from chronocohort.operators.ordered import KeyedOrder
 from chronocohort.plans import icu_codes as K, icu_labels as IL, labels as L
+from chronocohort.queries.icu_sources import icu_tables
 
 
 def _stays(spark, n):
@@ -81,6 +82,61 @@ def test_parts_of_a_score_are_made_apart_and_dealt_by_their_rows(spark, monkeypa
     assert len(kept) == 7 and ("hadm_id", "hlos", "gcs") in kept and scores.count() == 30 * (25 + 48)
 
 
+def _icu(spark, folder):
+    """Intensive-care tables of 3,000 events of twelve users, a null one among them."""
+    i = F.col("id")
+    at = F.timestamp_micros((F.lit(1704070800) + (i * 7919 % 40000) * 60) * 1_000_000)
+    kinds = F.array(*map(F.lit, ["view", "click", "signup", "purchase", "error"]))
+    user = F.when(i % 12 > 0, (i * 5) % 12)
+    spark.range(3000).select(
+        i.alias("event_id"), at.alias("ts"), user.alias("user_id"), F.get(kinds, (i * 31 % 5).cast("int")).alias("event_type"),
+        (i * 13 % 60 + 0.5).alias("value"), F.lit("").alias("props"),
+    ).write.parquet(f"{folder}/events.parquet")
+    return icu_tables(spark, str(folder))
+
+
+def _rows(df):
+    return sorted(str([round(v, 6) if isinstance(v, float) else v for v in row]) for row in df.collect())
+
+
+@pytest.mark.parametrize("hot", [{}, {5: 5_000_000, None: 2_000_000}])
+def test_label_steps_are_dealt_over_the_tasks_asked_for(spark, tmp_path, hot):
+    """Joins, folds and windows of the label tables follow the rows of their source, not the number of shuffle partitions."""
+    t = _icu(spark, tmp_path)
+    adm, chart, labs = t["admissions"], t["chartevents"], t["labevents"]
+    sources = (t["inputevents_cv"], t["inputevents_mv"], chart, IL.echo_weights(t["noteevents"]))
+    drugs, kept = IL.antibiotic_drugs(t["prescriptions"]), []
+    given, samples = IL.antibiotic_times(t["prescriptions"], drugs), IL.cultures(t["microbiologyevents"])
+    steps = {
+        "pressors": lambda **o: IL.pressor_hours(adm, *sources, hot=hot, keep=lambda df: kept.append(df) or df, **o),
+        "pressure": lambda **o: IL.pressure_hours(adm, chart, hot=hot, **o),
+        "coma": lambda **o: IL.coma_hours(adm, chart, hot=hot, **o),
+        "labs": lambda **o: IL.lab_hours(adm, labs, hot=hot, **o),
+        "gases": lambda **o: IL.blood_gases(adm, labs, hot=hot, **o),
+        "spo2": lambda **o: IL._spo2(chart, **o),
+        "fio2": lambda **o: IL._fio2(chart, **o),
+        "settings": lambda **o: IL.vent_settings(chart, t["procedureevents_mv"], **o),
+        "urine": lambda **o: IL.urine_hours(adm, t["outputevents"], t["icustays"], **o),
+        "given": lambda **o: IL.antibiotic_times(t["prescriptions"], drugs, **o),
+        "samples": lambda **o: IL.cultures(t["microbiologyevents"], **o),
+        "suspicions": lambda **o: IL.suspicions(given, samples, adm, pairs=False, **o),
+    }
+    for name, step in steps.items():
+        dealt = step(tasks=13)
+        assert dealt.rdd.getNumPartitions() == 13, name
+        assert _rows(dealt) == _rows(step()) != [], name
+    assert len(kept) == 2  # the weights are one table, read by both recording systems
+
+
+def test_rates_of_a_split_entity_are_dealt_anew(spark):
+    rates = spark.range(200).select((F.col("id") % 4).alias("e"), (F.col("id") % 9).alias("h"), F.lit(1).alias("c"), (F.col("id") * 1.5).alias("r"))
+    weights = [spark.range(3).select(F.col("id").alias("e"), (F.col("id") + 2.0).alias("weight"))]
+    rate = lambda **o: A.weighted_rate(rates, weights, "e", ["e", "h"], "c", "r", {"x": ([1], [])}, **o)
+    dealt = rate(hot={1: 3_000_000}, tasks=13)
+    assert dealt.rdd.getNumPartitions() == 13
+    assert _rows(dealt) == _rows(rate()) and dealt.count() == 36
+
+
 def test_merge_is_dealt_over_the_tasks_asked_for(spark):
     a = spark.range(100).select(F.col("id").alias("e"), F.lit(1).alias("h"), F.lit(2).alias("x"))
     b = spark.range(50, 150).select(F.col("id").alias("e"), F.lit(1).alias("h"), F.lit(3).alias("y"))
