@@ -10,6 +10,7 @@ from chronocohort.functions import scalars as S, timefn as T
 from chronocohort.operators import aggregates as A, cohort as C, coding as CD, intervals as I, reshape as R, windows as W
 from chronocohort.operators.ordered import KeyedOrder, keyed_rank
 from chronocohort.plans import icu_codes as K
+from chronocohort.plans.icu_labels import Sizes
 from chronocohort.plans.tables import Tables
 
 
@@ -110,12 +111,12 @@ def _index(stays: DataFrame, onset: str, icustays: DataFrame) -> DataFrame:
 
 def vitals_around_onset(
     stays: DataFrame, onset: str, icustays: DataFrame, chartevents: DataFrame, target: str = "sepsis_target",
-    null_error_ok: bool = False, keep_empty: bool = False,
+    null_error_ok: bool = False, keep_empty: bool = False, tasks: int | None = None,
 ) -> DataFrame:
     """Vital signs from 48 h before to 7 h after onset: one filled column per row.
 
     A missing error mark drops the row unless ``null_error_ok``. ``keep_empty`` keeps rows whose
-    concept has no column.
+    concept has no column. With ``tasks`` the rows are dealt over that many tasks by stay and time.
     """
     rules = [
         (code, None if low is None else float(low), None if high is None else float(high), high_in, low_in, name)
@@ -129,7 +130,7 @@ def vitals_around_onset(
         "icustay_id", "itemid", F.col("charttime").alias("chart_time"), "valuenum"
     )
     index = _index(stays, onset, icustays).drop("hadm_id")
-    near = I.around_index(rows, index, "icustay_id", "chart_time", "_onset", 48, 7)
+    near = _dealt(I.around_index(rows, index, "icustay_id", "chart_time", "_onset", 48, 7, tasks=tasks), tasks)
     coded = CD.map_codes_in_range(near, rules, "itemid", "valuenum")
     celsius = {c: (1 / 1.8, -32 / 1.8) for c in K.FAHRENHEIT_CODES}
     coded = coded.withColumn("_v", S.convert_units("itemid", "valuenum", celsius))
@@ -138,19 +139,27 @@ def vitals_around_onset(
 
 
 def labs_around_onset(
-    stays: DataFrame, onset: str, icustays: DataFrame, labevents: DataFrame, target: str = "sepsis_target"
+    stays: DataFrame, onset: str, icustays: DataFrame, labevents: DataFrame, target: str = "sepsis_target",
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Laboratory values from 48 h before to 7 h after onset: one filled column per row."""
+    """Laboratory values from 48 h before to 7 h after onset: one filled column per row.
+
+    With ``tasks`` the rows are dealt over that many tasks by stay and time.
+    """
     rows = labevents.where(F.col("itemid").isin(list(K.LABS)) & (F.col("valuenum") > 0)).select(
         "hadm_id", "itemid", F.col("charttime").alias("chart_time"), "valuenum"
     )
-    near = I.around_index(rows, _index(stays, onset, icustays), "hadm_id", "chart_time", "_onset", 48, 7)
+    near = _dealt(I.around_index(rows, _index(stays, onset, icustays), "hadm_id", "chart_time", "_onset", 48, 7, tasks=tasks), tasks)
     labelled = CD.label_codes(near, [(c, n) for c, (n, _) in K.LABS.items()], "itemid")
     limits = {c: high for c, (_, high) in K.LABS.items()}
     labelled = labelled.withColumn("_v", S.clamp_null("itemid", "valuenum", limits))
     return _sparse(labelled, "label", list(dict.fromkeys(n for n, _ in K.LABS.values())), target, False)
 
 
+def _dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    return rows if tasks is None else rows.repartition(tasks, "icustay_id", "chart_time")
+
+
 def _sparse(rows: DataFrame, concept: str, names: Sequence[str], target: str, keep_empty: bool) -> DataFrame:
     marked = rows.withColumn(target, T.phase_label("chart_time", "_onset"))
     ids = ["icustay_id", "subject_id", "chart_time", target]
@@ -169,18 +178,19 @@ def cohort_tables(t: Mapping[str, DataFrame] | Tables, labels: Tables, keep: Cal
 
     ``keep`` stores the tables that several others read: the cohort flags and the cases.
     """
+    chart, analyses = Sizes(t, "chartevents"), Sizes(t, "labevents")
     sides = {"case": ("cases", "sepsis_onset", "sepsis_target"), "control": ("matched_controls", "control_onset_time", "pseudo_target")}
 
     def vitals(side):
         stays, onset, target = sides[side]
         return lambda own: per_timestamp(
-            vitals_around_onset(own[stays], onset, t["icustays"], t["chartevents"], target), K.VITAL_COLUMNS, target
+            vitals_around_onset(own[stays], onset, t["icustays"], t["chartevents"], target, tasks=chart.tasks()), K.VITAL_COLUMNS, target
         )
 
     def labs(side):
         stays, onset, target = sides[side]
         return lambda own: per_timestamp(
-            labs_around_onset(own[stays], onset, t["icustays"], t["labevents"], target), K.LAB_COLUMNS, target
+            labs_around_onset(own[stays], onset, t["icustays"], t["labevents"], target, analyses.tasks()), K.LAB_COLUMNS, target
         )
 
     def static(side):

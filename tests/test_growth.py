@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronocohort.operators import aggregates as A, models as M, reshape as R, sampling as P
 from chronocohort.operators.ordered import KeyedOrder
-from chronocohort.plans import icu_codes as K, icu_labels as IL, labels as L
+from chronocohort.plans import icu_codes as K, icu_cohort as IC, icu_labels as IL, labels as L
 from chronocohort.queries.icu_sources import icu_tables
 
 
@@ -128,6 +128,16 @@ def test_label_steps_are_dealt_over_the_tasks_asked_for(spark, tmp_path, hot):
     assert len(kept) == 2  # the weights are one table, read by both recording systems
 
 
+def test_readings_around_onset_are_dealt_over_the_tasks_asked_for(spark, tmp_path):
+    t = _icu(spark, tmp_path)
+    stays = t["icustays"].where("hadm_id % 3 > 0").select("icustay_id", (F.col("intime") + F.make_dt_interval(F.lit(3))).alias("onset"))
+    for step, source, columns in ((IC.labs_around_onset, "labevents", K.LAB_COLUMNS), (IC.vitals_around_onset, "chartevents", K.VITAL_COLUMNS)):
+        means = lambda **o: IC.per_timestamp(step(stays, "onset", t["icustays"], t[source], **o), columns)  # noqa: B023, E731
+        dealt = means(tasks=13)
+        assert dealt.rdd.getNumPartitions() == 13
+        assert _rows(dealt) == _rows(means()) != []
+
+
 def test_rates_of_a_split_entity_are_dealt_anew(spark):
     rates = spark.range(200).select((F.col("id") % 4).alias("e"), (F.col("id") % 9).alias("h"), F.lit(1).alias("c"), (F.col("id") * 1.5).alias("r"))
     weights = [spark.range(3).select(F.col("id").alias("e"), (F.col("id") + 2.0).alias("weight"))]
